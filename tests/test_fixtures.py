@@ -18,7 +18,7 @@ NAMES = [n for n in VIEWS if n != "trades"]
 def test_fixture(spark, name):
     schema = getattr(Research(spark, SF), name).schema
     text = {f.name for f in schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz")}
-    doubles = {f.name: 4 if name.startswith("dense") else 9 for f in schema.fields if f.dataType.typeName() == "double"}
+    doubles = {f.name: 4 if name.startswith("dense") or name == "facts" else 9 for f in schema.fields if f.dataType.typeName() == "double"}
     names = [f.name for f in schema.fields]
     sql_cols = ", ".join(f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}" if n in text else n for n in names)
     build = lambda r: getattr(r, name).select(*[

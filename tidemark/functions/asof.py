@@ -12,9 +12,17 @@ from .ranks import top_rows
 EARLIEST = "1900-01-01"
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Best row per key. The ``row_number() = 1`` filter is pruned map-side, so a hot key is cut to one row per task."""
-    return top_rows(df, keys, order, 1, rank="_latest").drop("_latest")
+def best_first(order: Sequence[str | Column]) -> list[Column]:
+    """Sort keys for "larger is better" columns, nulls last."""
+    return [(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order]
+
+
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Row with the largest ``order`` per key.
+
+    The ``row_number() = 1`` filter is pruned map-side, so a hot key is cut to one row per task.
+    """
+    return top_rows(df, keys, best_first(order), 1, rank="_latest").drop("_latest")
 
 
 def decision_intervals(decisions: DataFrame) -> DataFrame:
@@ -51,16 +59,19 @@ def with_first_decision(df: DataFrame, decisions: DataFrame, at: str) -> DataFra
     )
 
 
-def version_intervals(versions: DataFrame, keys: Sequence[str], decisions: DataFrame, at: str, order: Sequence[Column]) -> DataFrame:
-    """Latest version per key with the decision range [decision_ord, until_ord) over which it holds.
+def version_intervals(versions: DataFrame, keys: Sequence[str], decisions: DataFrame, at: str, order: Sequence[str]) -> DataFrame:
+    """Best version per key with the decision range [decision_ord, until_ord) over which it holds.
 
-    Versions are first cut to one per (key, decision), so the per-key window holds at most
-    one row per decision.
+    Versions are first cut to one per (key, decision), so the per-key windows hold at most
+    one row per decision. A late version that ranks below an earlier one never takes over.
     """
     bounded = latest_per_key(with_first_decision(versions, decisions, at), [*keys, "decision_ord"], order)
     by_key = Window.partitionBy(*keys).orderBy("decision_ord")
+    so_far = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    standing = F.struct(*order)
+    kept = bounded.withColumn("_best", F.max(standing).over(so_far)).where(F.col("_best").isNull() | (standing > F.col("_best")))
     until = F.coalesce(F.lead("decision_ord").over(by_key), F.col("_end_ord"))
-    return bounded.withColumn("until_ord", until).drop("_end_ord")
+    return kept.withColumn("until_ord", until).drop("_end_ord", "_best")
 
 
 def expand_versions(intervals: DataFrame, decisions: DataFrame) -> DataFrame:
