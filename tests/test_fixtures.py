@@ -11,7 +11,7 @@ from tidemark.fixtures import Research
 from pyspark.sql import functions as F
 
 SF = os.environ.get("TIDEMARK_TEST_SF", "/root/testdata/sf0.001")
-NAMES = [n for n in VIEWS if n != "trades"]
+NAMES = [n for n in VIEWS if n not in ("trades", "sector_ranks", "linear_all", "linear_active", "composite")]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import ranks
 from .functions.scalars import bar_available_at, decision_at, filing_available_at
+from .operators import ranking
 
 # Fixed values of the fixtures.
 SPLIT_DATE = "1998-06-08"
@@ -380,6 +381,10 @@ class Research:
         rows = ", ".join(f"('{k}', 'v1', {d})" for k, d in BASELINE_FEATURES.items())
         return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(feature_key, feature_version, direction)")
 
+    @cached_property
+    def sector_ranks(self) -> DataFrame:
+        return ranking.sector_percentiles(self.outcomes, self.sectors, self.registry)
+
     @cached_property
     def scores(self) -> DataFrame:
         """Published snapshots per supplier and month: eligible first, ranked by raw prediction."""

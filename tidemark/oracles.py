@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .fixtures import FIRST_DAY, LISTING_BREAK, MODEL_INPUTS, MODEL_VERSION, SPLIT_DATE, BASELINE_FEATURES
+from .fixtures import FIRST_DAY, LISTING_BREAK, MODEL_INPUTS, MODEL_VERSION, SPLIT_DATE, TARGET_MEAN, BASELINE_FEATURES
 
 
 def local(day: str, hour: int) -> str:
@@ -162,6 +162,31 @@ VIEWS: dict[str, str] = {
                    FROM trades GROUP BY security_id, session_date)
         SELECT 'reference' AS model_key, d / n / 100.0 AS prediction, outer_fold, formation_date, "month", security_id, (t * 2 + q - n * 33) / n / 100.0 AS actual FROM w
         UNION ALL SELECT 'candidate', (d * 2 + t) / n / 300.0, outer_fold, formation_date, "month", security_id, (t * 2 + q - n * 33) / n / 100.0 FROM w""",
+    "sector_ranks": """
+        WITH o AS (SELECT x.*, sector_code, feature_version, direction FROM outcomes x JOIN sectors USING (security_id) JOIN registry USING (feature_key)),
+        k AS (SELECT *, count(value) OVER g AS peer_count,
+                     (rank() OVER (PARTITION BY formation_date, feature_key, sector_code, value IS NULL ORDER BY value) - 1
+                      + (count(*) OVER (PARTITION BY formation_date, feature_key, sector_code, value) - 1) / 2.0)
+                     / nullif(count(value) OVER g - 1, 0) AS raw
+              FROM o WINDOW g AS (PARTITION BY formation_date, feature_key, sector_code)),
+        z AS (SELECT *, CASE WHEN value IS NULL THEN 'feature_unavailable:' || unavailable_reason WHEN peer_count < 2 THEN 'insufficient_sector_peers' END AS reason FROM k)
+        SELECT security_id, formation_date, feature_key, sector_code, feature_version, peer_count, reason,
+               CASE WHEN reason IS NULL THEN CASE WHEN direction > 0 THEN raw ELSE 1 - raw END END AS percentile FROM z""",
+    "linear_all": f"""
+        WITH t AS (SELECT formation_date, security_id, sum(coefficient * (coalesce(percentile, mean) - mean) / scale) AS s, count(*) FILTER (percentile IS NULL) AS miss,
+                          string_agg(feature_key || '@' || feature_version || ':' || reason, ',' ORDER BY feature_key) FILTER (percentile IS NULL) AS why
+                   FROM sector_ranks JOIN model_inputs USING (feature_key) GROUP BY 1, 2)
+        SELECT formation_date, security_id, miss = 0 AS eligible, CASE WHEN miss = 0 THEN {TARGET_MEAN} + s END AS prediction,
+               'required_feature_rank_unavailable=' || why AS reason FROM t""",
+    "linear_active": f"""
+        WITH t AS (SELECT formation_date, security_id, sum(coefficient * (coalesce(percentile, mean) - mean) / scale) AS s, count(*) FILTER (percentile IS NULL AND coefficient <> 0) AS miss
+                   FROM sector_ranks JOIN model_inputs USING (feature_key) GROUP BY 1, 2)
+        SELECT formation_date, security_id, miss = 0 AS eligible, CASE WHEN miss = 0 THEN {TARGET_MEAN} + s END AS prediction FROM t""",
+    "composite": """
+        SELECT formation_date, security_id, count(*) FILTER (percentile IS NULL) = 0 AS eligible,
+               CASE WHEN count(*) FILTER (percentile IS NULL) = 0 THEN avg(percentile) END AS normalized_score,
+               'required_feature_rank_unavailable=' || string_agg(feature_key || '@' || feature_version || ':' || reason, ',' ORDER BY feature_key) FILTER (percentile IS NULL) AS reason
+        FROM sector_ranks GROUP BY 1, 2""",
 }
 
 
@@ -188,4 +213,4 @@ def rounded(sql: str, columns: dict[str, int]) -> str:
     if not columns:
         return sql
     parts = ", ".join(f"round(CAST({c} AS DOUBLE), {d}) + 0.0 AS {c}" for c, d in columns.items())
-    return f"SELECT * REPLACE ({parts}) FROM ({sql})"
+    return f"SELECT * REPLACE ({parts}) FROM ({sql})"
\ No newline at end of file

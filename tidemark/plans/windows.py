@@ -81,7 +81,7 @@ def _(r):
 
 @query("WIN05_median_dollar_volume_20d", feature_sql("median_dollar_volume_20d",
        "sorted[10] * 0.5 + sorted[11] * 0.5", 20,
-       f"SELECT security_id, session_date, list_sort(list(close * volume) OVER ({OWN} ROWS 19 PRECEDING)) AS sorted FROM unadjusted_bars"), digits="median_dollar_volume_20d:9")
+       f"SELECT security_id, session_date, list_sort(list(close * volume) OVER ({OWN} ROWS 19 PRECEDING)) AS sorted FROM unadjusted_bars"), digits="median_dollar_volume_20d:8")
 def _(r):
     return cells(w.median_dollar_volume_20d(w.price_history(r.unadjusted_bars)), "median_dollar_volume_20d")
 
