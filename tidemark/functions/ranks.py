@@ -17,27 +17,30 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 64
+STEPS_PER_OCTAVE = 16
 SMALLEST_STEP = 2.0**20
 
 
 def order_bucket(value: Column) -> Column:
-    """Monotone coarse key of a number: linear near zero, 64 steps per power of two."""
+    """Monotone coarse key of a number: linear near zero, 16 steps per power of two.
+
+    Never null, so that Spark adds no null filter and both uses of it share one exchange.
+    """
     number = value.cast("double")
     octave = F.log2(F.lit(1.0) + F.abs(number) * F.lit(SMALLEST_STEP))
-    return F.floor(F.signum(number) * octave * F.lit(float(STEPS_PER_OCTAVE)))
+    return F.coalesce(F.floor(F.signum(number) * octave * F.lit(float(STEPS_PER_OCTAVE))), F.lit(0))
 
 
 def cumulative_below(
-    rows: DataFrame, keys: Sequence[str], value: str, weight: str, *,
+    counts: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, weight: str, *,
     below: str = "below", total: str = "total",
 ) -> DataFrame:
-    """Add the weight strictly below each row's value and the group's total weight.
+    """Add the weight strictly below each row in ``order`` and the group's total weight.
 
-    ``(keys, value)`` must be unique in ``rows``.
+    ``(keys, order)`` is unique in ``counts`` and ``bucket`` is monotone in ``order``.
     """
     keys = list(keys)
-    bucketed = rows.withColumn("_bucket", order_bucket(F.col(value)))
+    bucketed = counts.select("*", bucket.alias("_bucket"))
     group = Window.partitionBy(*keys)
     before = (Window.unboundedPreceding, -1)
     offsets = (
@@ -48,13 +51,10 @@ def cumulative_below(
             F.sum("_weight").over(group).alias(total),
         )
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(*before)
-    return (
-        bucketed.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(below, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_before", "_inside")
-    )
+    inside = F.sum(weight).over(Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*before))
+    placed = bucketed.select("*", F.coalesce(inside, F.lit(0)).alias("_inside")).join(offsets, [*keys, "_bucket"])
+    kept = [c for c in counts.columns]
+    return placed.select(*kept, (F.col("_before") + F.col("_inside")).alias(below), total)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, ties: str = "ties") -> DataFrame:
@@ -63,9 +63,19 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, ties: str =
 
 
 def with_tie_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``below`` (rows with a smaller value), ``ties`` and ``total`` (non-null rows of the group)."""
-    ranked = cumulative_below(value_counts(df, keys, value), keys, value, "ties")
-    return df.join(ranked, [*keys, value], "left")
+    """Add ``below`` (rows with a smaller value), ``ties`` and ``total`` (non-null rows of the group).
+
+    Rows without a value keep their group's ``total``, with null ``below`` and ``ties``.
+    """
+    keys = list(keys)
+    rows = df.select("*", F.col(value).isNull().alias("_null"), F.coalesce(F.col(value), F.lit(0)).alias("_value"))
+    counts = rows.groupBy(*keys, "_null", "_value").agg(F.count(value).alias("ties"))
+    bucket = F.when(F.col("_null"), F.lit(2**62)).otherwise(order_bucket(F.col("_value")))
+    ranked = cumulative_below(counts, keys, ["_null", "_value"], bucket, "ties")
+    joined = rows.join(ranked, [*keys, "_null", "_value"])
+    known = ~F.col("_null")
+    return joined.select(
+        *df.columns, F.when(known, F.col("below")).alias("below"), F.when(known, F.col("ties")).alias("ties"), "total")
 
 
 def tie_percentile() -> Column:
@@ -89,20 +99,17 @@ def with_position(
     """
     keys = list(keys)
     signed = F.col(value) * (-1 if descending else 1)
-    rows = df.withColumn("_sort", signed).withColumn("_one", F.lit(1))
-    inside_tie = cumulative_below(rows, [*keys, "_sort"], tie_break, "_one", below="_tie_below", total="_ties")
-    values = cumulative_below(value_counts(rows, keys, "_sort"), keys, "_sort", "ties", below="_below", total=size)
-    return (
-        inside_tie.join(values.drop("ties"), [*keys, "_sort"])
-        .withColumn(position, (F.col("_below") + F.col("_tie_below") + 1).cast("long"))
-        .withColumn(size, F.col(size).cast("long"))
-        .drop("_sort", "_one", "_tie_below", "_ties", "_below")
-    )
+    rows = df.select("*", signed.alias("_sort"), order_bucket(F.col(tie_break)).alias("_tie"))
+    counts = rows.groupBy(*keys, "_sort", "_tie").agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = cumulative_below(counts, keys, ["_sort", "_tie"], order_bucket(F.col("_sort")), "_rows", below="_below", total=size)
+    place = F.row_number().over(Window.partitionBy(*keys, "_sort", "_tie").orderBy(tie_break))
+    return rows.join(ranked, [*keys, "_sort", "_tie"]).select(
+        *df.columns, (F.col("_below") + place).cast("long").alias(position), F.col(size).cast("long").alias(size))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group."""
-    ranked = cumulative_below(value_counts(df, keys, value), keys, value, "ties")
+    ranked = cumulative_below(value_counts(df, keys, value), keys, [value], order_bucket(F.col(value)), "ties")
     outputs = []
     for name, probability in probabilities.items():
         place = (F.col("total") - 1) * F.lit(float(probability))

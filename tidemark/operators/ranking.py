@@ -33,8 +33,7 @@ def sector_percentiles(outcomes: DataFrame, sectors: DataFrame, registry: DataFr
     """
     keys = ["formation_date", "feature_key", "sector_code"]
     placed = outcomes.join(sectors, "security_id").join(registry.select("feature_key", "feature_version", "direction"), "feature_key")
-    peers = placed.groupBy(*keys).agg(F.count("value").alias("peer_count"))
-    ranked = with_tie_ranks(placed, keys, "value").join(peers, keys)
+    ranked = with_tie_ranks(placed, keys, "value").withColumnRenamed("total", "peer_count").withColumn("total", F.col("peer_count"))
     raw = F.when(F.col("direction") > 0, tie_percentile()).otherwise(1 - tie_percentile())
     reason = F.when(F.col("value").isNull(), F.concat(F.lit("feature_unavailable:"), "unavailable_reason")).when(
         F.col("peer_count") < minimum_peers, F.lit("insufficient_sector_peers"))
