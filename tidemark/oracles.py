@@ -11,6 +11,20 @@ def local(day: str, hour: int) -> str:
     return f"timezone('UTC', timezone('America/Toronto', CAST({day} AS TIMESTAMP) + INTERVAL {hour} HOUR))"
 
 
+def sector_rank_sql(source: str) -> str:
+    """Sector percentiles of a long value-or-reason source."""
+    return f"""
+        WITH o AS (SELECT x.*, sector_code, feature_version, direction FROM {source} x JOIN sectors USING (security_id) JOIN registry USING (feature_key)),
+        k AS (SELECT *, count(value) OVER g AS peer_count,
+                     (rank() OVER (PARTITION BY formation_date, feature_key, sector_code, value IS NULL ORDER BY value) - 1
+                      + (count(*) OVER (PARTITION BY formation_date, feature_key, sector_code, value) - 1) / 2.0)
+                     / nullif(count(value) OVER g - 1, 0) AS raw
+              FROM o WINDOW g AS (PARTITION BY formation_date, feature_key, sector_code)),
+        z AS (SELECT *, CASE WHEN value IS NULL THEN 'feature_unavailable:' || unavailable_reason WHEN peer_count < 2 THEN 'insufficient_sector_peers' END AS reason FROM k)
+        SELECT security_id, formation_date, feature_key, sector_code, feature_version, peer_count, reason,
+               CASE WHEN reason IS NULL THEN CASE WHEN direction > 0 THEN raw ELSE 1 - raw END END AS percentile FROM z"""
+
+
 _INPUT_ROWS = ", ".join(f"('{k}', CAST({c} AS DOUBLE), CAST({m} AS DOUBLE), CAST({s} AS DOUBLE), {i})" for i, (k, c, m, s) in enumerate(MODEL_INPUTS))
 _REGISTRY_ROWS = ", ".join(f"('{k}', 'v1', {d})" for k, d in BASELINE_FEATURES.items())
 
@@ -162,16 +176,7 @@ VIEWS: dict[str, str] = {
                    FROM trades GROUP BY security_id, session_date)
         SELECT 'reference' AS model_key, d / n / 100.0 AS prediction, outer_fold, formation_date, "month", security_id, (t * 2 + q - n * 33) / n / 100.0 AS actual FROM w
         UNION ALL SELECT 'candidate', (d * 2 + t) / n / 300.0, outer_fold, formation_date, "month", security_id, (t * 2 + q - n * 33) / n / 100.0 FROM w""",
-    "sector_ranks": """
-        WITH o AS (SELECT x.*, sector_code, feature_version, direction FROM outcomes x JOIN sectors USING (security_id) JOIN registry USING (feature_key)),
-        k AS (SELECT *, count(value) OVER g AS peer_count,
-                     (rank() OVER (PARTITION BY formation_date, feature_key, sector_code, value IS NULL ORDER BY value) - 1
-                      + (count(*) OVER (PARTITION BY formation_date, feature_key, sector_code, value) - 1) / 2.0)
-                     / nullif(count(value) OVER g - 1, 0) AS raw
-              FROM o WINDOW g AS (PARTITION BY formation_date, feature_key, sector_code)),
-        z AS (SELECT *, CASE WHEN value IS NULL THEN 'feature_unavailable:' || unavailable_reason WHEN peer_count < 2 THEN 'insufficient_sector_peers' END AS reason FROM k)
-        SELECT security_id, formation_date, feature_key, sector_code, feature_version, peer_count, reason,
-               CASE WHEN reason IS NULL THEN CASE WHEN direction > 0 THEN raw ELSE 1 - raw END END AS percentile FROM z""",
+    "sector_ranks": sector_rank_sql("outcomes"),
     "linear_all": f"""
         WITH t AS (SELECT formation_date, security_id, sum(coefficient * (coalesce(percentile, mean) - mean) / scale) AS s, count(*) FILTER (percentile IS NULL) AS miss,
                           string_agg(feature_key || '@' || feature_version || ':' || reason, ',' ORDER BY feature_key) FILTER (percentile IS NULL) AS why
