@@ -425,3 +425,13 @@ class Research:
             ((F.col("t") * 2 + F.col("q") - n * 33) / n / 100.0).alias("actual"),
             F.explode(models).alias("m"),
         ).select("m.*", "outer_fold", "formation_date", "month", "security_id", "actual")
+
+    @cached_property
+    def examples(self) -> DataFrame:
+        """Training examples per supplier and month: three bounded features, a target, an outcome date."""
+        n = F.col("n")
+        return self.monthly.select(
+            "security_id", "formation_date", F.add_months("formation_date", 1).alias("outcome_date"),
+            (F.col("d") / n / 10.0).alias("f1"), (F.col("q") / n / 50.0).alias("f2"), (F.col("r") / n).alias("f3"),
+            ((F.col("t") * 2 + F.col("q") - n * 33) / n / 100.0).alias("target"),
+        )

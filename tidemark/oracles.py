@@ -176,6 +176,9 @@ VIEWS: dict[str, str] = {
                    FROM trades GROUP BY security_id, session_date)
         SELECT 'reference' AS model_key, d / n / 100.0 AS prediction, outer_fold, formation_date, "month", security_id, (t * 2 + q - n * 33) / n / 100.0 AS actual FROM w
         UNION ALL SELECT 'candidate', (d * 2 + t) / n / 300.0, outer_fold, formation_date, "month", security_id, (t * 2 + q - n * 33) / n / 100.0 FROM w""",
+    "examples": """
+        SELECT security_id, formation_date, CAST(formation_date + INTERVAL 1 MONTH AS DATE) AS outcome_date, CAST(d AS DOUBLE) / n / 10.0 AS f1, CAST(q AS DOUBLE) / n / 50.0 AS f2,
+               CAST(r AS DOUBLE) / n AS f3, CAST(t * 2 + q - n * 33 AS DOUBLE) / n / 100.0 AS target FROM monthly""",
     "sector_ranks": sector_rank_sql("outcomes"),
     "linear_all": f"""
         WITH t AS (SELECT formation_date, security_id, sum(coefficient * (coalesce(percentile, mean) - mean) / scale) AS s, count(*) FILTER (percentile IS NULL) AS miss,

@@ -231,11 +231,11 @@ FOLDS = "(1, DATE '1995-01-01', DATE '1996-12-31'), (2, DATE '1997-01-01', DATE
 
 
 @query("PRT14_month_end_fold_scores", f"""
-    WITH f AS (SELECT * FROM (VALUES {FOLDS}) AS v(outer_fold, a, b)), o AS (SELECT formation_date, feature_key, security_id, value FROM outcomes),
+    WITH f AS (SELECT * FROM (VALUES {FOLDS}) AS v(outer_fold, a, b)), o AS (SELECT formation_date, feature_key, security_id, value FROM outcomes WHERE feature_key <> 'median_dollar_volume_20d'),
     m AS (SELECT formation_date, max(outer_fold) AS outer_fold FROM (SELECT DISTINCT formation_date FROM o) JOIN f ON formation_date BETWEEN a AND b GROUP BY 1 HAVING count(*) = 1)
     SELECT outer_fold, formation_date, security_id, sum(coefficient * outer_fold * (value - mean) / scale) AS prediction FROM o JOIN m USING (formation_date) JOIN model_inputs USING (feature_key)
-    GROUP BY 1, 2, 3 HAVING count(value) = count(*)""", digits="prediction:4")
+    GROUP BY 1, 2, 3 HAVING count(value) = count(*)""", digits="prediction:9")
 def _(r):
     folds = r.spark.sql(f"SELECT * FROM VALUES {FOLDS} AS t(outer_fold, valid_from, valid_to)")
     inputs = r.model_inputs.withColumn("outer_fold", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("coefficient", F.col("coefficient") * F.col("outer_fold"))
-    return p.score_by_fold(r.outcomes.select("formation_date", "security_id", "feature_key", "value"), folds, inputs.drop("ordinal"))
+    return p.score_by_fold(r.outcomes.where("feature_key <> 'median_dollar_volume_20d'").select("formation_date", "security_id", "feature_key", "value"), folds, inputs.drop("ordinal"))
