@@ -18,7 +18,11 @@ from ..functions.scalars import first_reason
 ENTER, KEEP = 20, 30
 COSTS = (5, 10, 25, 50)
 YEAR = 252.0
-BY_DATE = Window.partitionBy(F.lit(1)).orderBy("formation_date")
+
+
+def by_date():
+    """Formations in order; one row per formation, so the unpartitioned window is bounded."""
+    return Window.partitionBy(F.lit(1)).orderBy("formation_date")
 
 
 def equal_weight_targets(scores: DataFrame, score: str, size: int = ENTER) -> DataFrame:
@@ -39,7 +43,7 @@ def rebalance_chain(targets: DataFrame, periods: DataFrame, opens: DataFrame, st
     exits = opens.select("security_id", F.col("session_date").alias("exit_date"), F.col("open").alias("exit_open"))
     rows = targets.join(periods, "formation_date").join(marks, ["security_id", "execution_date"]).join(exits, ["security_id", "exit_date"], "left")
     growth = rows.groupBy("formation_date").agg(F.sum(F.col("target_weight") * F.col("exit_open") / F.col("open")).alias("growth"))
-    before = BY_DATE.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_date().rowsBetween(Window.unboundedPreceding, -1)
     nav = growth.withColumn("starting_nav", F.lit(starting_nav) * F.coalesce(F.product("growth").over(before), F.lit(1.0))).drop("growth")
     return rows.join(nav, "formation_date").withColumn("notional", F.col("starting_nav") * F.col("target_weight")).withColumn(
         "quantity", F.col("notional") / F.col("open")).drop("exit_open")
@@ -92,12 +96,12 @@ def hysteresis(ranked: DataFrame, enter: int = ENTER, keep: int = KEEP) -> DataF
 
 def turnover_periods(selected: DataFrame, size: int = ENTER) -> DataFrame:
     """Retained, added and removed names and one-way turnover against the previous formation (PRT05)."""
-    dates = selected.select("formation_date").distinct().withColumn("next_date", F.lead("formation_date").over(BY_DATE))
+    dates = selected.select("formation_date").distinct().withColumn("next_date", F.lead("formation_date").over(by_date()))
     carried = selected.join(dates, "formation_date").where("next_date IS NOT NULL").select(
         F.col("next_date").alias("formation_date"), "security_id", F.lit(1).alias("_prior"))
     counts = selected.join(carried, ["formation_date", "security_id"], "left").groupBy("formation_date").agg(
         F.count(F.lit(1)).alias("names"), F.count("_prior").alias("retained"))
-    first = F.lag("formation_date").over(BY_DATE).isNull()
+    first = F.lag("formation_date").over(by_date()).isNull()
     return counts.select(
         "formation_date", "names", "retained", (size - F.col("retained")).alias("additions"),
         F.when(first, 0).otherwise(size - F.col("retained")).alias("removals"),
@@ -167,7 +171,7 @@ def performance(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def portfolio_history(runs: DataFrame, weights: DataFrame, missed: DataFrame, limit: int) -> DataFrame:
     """Official runs with the previous run and turnover, united with missed formations, newest first (PRT11)."""
-    linked = runs.withColumn("previous", F.lag("formation_date").over(BY_DATE))
+    linked = runs.withColumn("previous", F.lag("formation_date").over(by_date()))
     carried = linked.select("formation_date", F.col("previous").alias("_p")).where("_p IS NOT NULL").join(
         weights.withColumnRenamed("formation_date", "_p"), "_p").select("formation_date", "security_id", F.col("target_weight").alias("_before"))
     change = weights.join(carried, ["formation_date", "security_id"], "full").groupBy("formation_date").agg(

@@ -16,13 +16,25 @@ from ..functions.ranks import exact_quantiles
 from ..functions.scalars import first_reason, safe_divide
 
 YEAR = 252
-OWN = Window.partitionBy("security_id").orderBy("session_date")
-SO_FAR = OWN.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def own():
+    """A security's sessions in order. Built on demand: window specs need a running session."""
+    return Window.partitionBy("security_id").orderBy("session_date")
+
+
+def so_far():
+    return own().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def series():
+    """A benchmark series: one row per session, so the unpartitioned window is calendar-bounded."""
+    return Window.partitionBy(F.lit(1)).orderBy("session_date")
 
 
 def last(n: int):
     """Frame of the last ``n`` own sessions including the current one."""
-    return OWN.rowsBetween(-(n - 1), 0)
+    return own().rowsBetween(-(n - 1), 0)
 
 
 def price_history(bars: DataFrame) -> DataFrame:
@@ -35,10 +47,10 @@ def price_history(bars: DataFrame) -> DataFrame:
     )
     return daily.select(
         "security_id", "session_date", "close", "volume",
-        F.row_number().over(OWN).alias("history"),
+        F.row_number().over(own()).alias("history"),
         first_reason(
-            (F.max("copies").over(SO_FAR) > 1, "duplicate_price_observation"),
-            (F.min("_low").over(SO_FAR) <= 0, "nonpositive_price"),
+            (F.max("copies").over(so_far()) > 1, "duplicate_price_observation"),
+            (F.min("_low").over(so_far()) <= 0, "nonpositive_price"),
         ).alias("guard"),
     )
 
@@ -56,7 +68,7 @@ def guarded(df: DataFrame, name: str, value: Column, size: int, *extra: tuple[Co
 
 
 def back(column: str, n: int) -> Column:
-    return F.lag(column, n).over(OWN)
+    return F.lag(column, n).over(own())
 
 
 def span_return(column: str, newest: int, oldest: int) -> Column:
@@ -143,13 +155,12 @@ def idiosyncratic_volatility_60d(df: DataFrame, benchmark: DataFrame) -> DataFra
     ).drop("_sxx", "_sse")
 
 
-# ---- benchmark series: one row per session, so the unpartitioned window is calendar-bounded ----
-SERIES = Window.partitionBy(F.lit(1)).orderBy("session_date")
+# ---- benchmark series ----
 
 
 def market_trend_signal(benchmark: DataFrame, lookback: int = 60, clip: float = 0.30) -> DataFrame:
     """Clipped and scaled benchmark return (WIN12)."""
-    raw = F.col("close") / F.lag("close", lookback).over(SERIES) - 1
+    raw = F.col("close") / F.lag("close", lookback).over(series()) - 1
     return benchmark.select("session_date", raw.alias("raw_return")).where("raw_return IS NOT NULL").withColumn(
         "market_signal", F.greatest(F.least(F.col("raw_return"), F.lit(clip)), F.lit(-clip)) / clip)
 
@@ -168,9 +179,9 @@ def trend_key(trend: Column) -> Column:
 def benchmark_regimes(benchmark: DataFrame) -> DataFrame:
     """Trend and volatility regime per session (WIN14), trend alone (WIN15), trend and 59-return volatility (WIN18)."""
     rows = benchmark.select("session_date", "close").withColumn(
-        "r", F.col("close") / F.lag("close", 1).over(SERIES) - 1).withColumn("n", F.row_number().over(SERIES))
-    frame = lambda n: SERIES.rowsBetween(-(n - 1), 0)
-    rows = rows.withColumn("trend", F.when(F.col("n") >= 61, F.col("close") / F.lag("close", 60).over(SERIES) - 1)).withColumn(
+        "r", F.col("close") / F.lag("close", 1).over(series()) - 1).withColumn("n", F.row_number().over(series()))
+    frame = lambda n: series().rowsBetween(-(n - 1), 0)
+    rows = rows.withColumn("trend", F.when(F.col("n") >= 61, F.col("close") / F.lag("close", 60).over(series()) - 1)).withColumn(
         "vol", F.when(F.col("n") >= 61, F.stddev_pop("r").over(frame(60)) * math.sqrt(YEAR))).withColumn(
         "vol59", F.when(F.col("n") >= 61, F.stddev_pop("r").over(frame(59))))
     vol = F.when(F.col("vol") < 0.15, "low_vol").when(F.col("vol") >= 0.25, "high_vol").otherwise("normal_vol")
