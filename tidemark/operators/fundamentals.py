@@ -262,15 +262,20 @@ def split_factor(actions: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``spans`` has formation_date, security_id, span_start, span_end, decision_at.
     """
-    joined = spans.join(actions, "security_id", "left")
+    usable = (F.col("ratio_numerator") > 0) & (F.col("ratio_denominator") > 0)
+    split = F.col("action_type").isin(*SPLITS)
+    # A security's actions collapse to one row per date and knowledge time before they meet its spans.
+    daily = actions.groupBy("security_id", "effective_date", "available_at").agg(
+        F.coalesce(F.product(F.when(split & usable, F.col("ratio_numerator") / F.col("ratio_denominator"))), F.lit(1.0)).alias("_ratio"),
+        F.max(F.col("action_type").isin(*STRUCTURAL)).alias("_is_structural"),
+        F.max(split & ~F.coalesce(usable, F.lit(False))).alias("_is_bad"))
+    joined = spans.join(daily, "security_id", "left")
     inside = (F.col("effective_date") > F.col("span_start")) & (F.col("effective_date") <= F.col("span_end")) & (
         F.col("available_at") <= F.col("decision_at"))
-    split = inside & F.col("action_type").isin(*SPLITS)
-    usable = (F.col("ratio_numerator") > 0) & (F.col("ratio_denominator") > 0)
     grouped = joined.groupBy(*CELL).agg(
-        F.coalesce(F.product(F.when(split & usable, F.col("ratio_numerator") / F.col("ratio_denominator"))), F.lit(1.0)).alias("_factor"),
-        F.coalesce(F.max(inside & F.col("action_type").isin(*STRUCTURAL)), F.lit(False)).alias("_structural"),
-        F.coalesce(F.max(split & ~F.coalesce(usable, F.lit(False))), F.lit(False)).alias("_bad"))
+        F.coalesce(F.product(F.when(inside, F.col("_ratio"))), F.lit(1.0)).alias("_factor"),
+        F.coalesce(F.max(inside & F.col("_is_structural")), F.lit(False)).alias("_structural"),
+        F.coalesce(F.max(inside & F.col("_is_bad")), F.lit(False)).alias("_bad"))
     reason = first_reason((F.col("_structural"), "structural_corporate_action"), (F.col("_bad"), "invalid_split_ratio"))
     return grouped.select(*CELL, F.when(reason.isNull(), F.col("_factor")).alias("factor"), reason.alias("factor_reason"))
 

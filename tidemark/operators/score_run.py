@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_position
+from ..session import cut_lineage
 from . import fundamentals as fnd
 from . import ranking as rk
 from . import windows as w
@@ -44,10 +46,16 @@ def feature_outcomes(market: DataFrame, facts: DataFrame, formations: DataFrame)
 
 
 def score_run(outcomes: DataFrame, sectors: DataFrame, registry: DataFrame) -> DataFrame:
-    """Ranks, composite and 1..n rank per formation; unscored securities keep their reason (RNK16)."""
-    scores = rk.equal_weight_composite(rk.sector_percentiles(outcomes, sectors, registry))
-    ranked = rk.display_ranks(scores.withColumn("prediction", F.col("normalized_score")), digits=10).select(*CELL, "score_rank")
-    return scores.join(ranked, CELL, "left")
+    """Ranks, composite and 1..n rank per formation; unscored securities keep their reason (RNK16).
+
+    Outcomes are written once to the shared checkpoint folder: ranking reads them several times,
+    and the features behind them are the costly part. Ineligible rows are placed below every
+    eligible one, so one pass ranks both.
+    """
+    scores = rk.equal_weight_composite(rk.sector_percentiles(cut_lineage(outcomes), sectors, registry))
+    keyed = scores.withColumn("_p", F.coalesce(F.round("normalized_score", 10), F.lit(-1.0)))
+    placed = with_position(keyed, ["formation_date"], "_p", "security_id", descending=True, position="_place", size="_n")
+    return placed.select(*scores.columns, F.when(F.col("eligible"), F.col("_place")).alias("score_rank"))
 
 
 def pending_formations(formations: DataFrame, completed: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import filing_available_at
 from ..operators import fundamentals as f
+from ..session import cut_lineage
 from . import query
 
 CELL = f.CELL
@@ -194,8 +195,11 @@ FEATURES = f"WITH w AS MATERIALIZED (SELECT * FROM ({CLOSES}) LEFT JOIN ({SNAPSH
 
 
 def features(r):
-    snapshot = f.accounting_snapshot(r.facts, r.formations)
-    return f.accounting_features(snapshot, closes(r), f.split_factor(r.actions, spans(r)))
+    """Snapshots are written once; spans and features both read them."""
+    snapshot = cut_lineage(f.accounting_snapshot(r.facts, r.formations))
+    held = snapshot.where("shares IS NOT NULL AND prior_shares_end IS NOT NULL").join(r.formations, "formation_date").select(
+        *CELL, F.col("prior_shares_end").alias("span_start"), F.col("shares_end").alias("span_end"), "decision_at")
+    return f.accounting_features(snapshot, closes(r), f.split_factor(r.actions, held))
 
 
 @query("FND12_accounting_features", FEATURES, digits="value:8")
