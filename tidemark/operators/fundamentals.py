@@ -199,8 +199,22 @@ def latest_quarters(quarters: DataFrame) -> DataFrame:
     return latest_per_key(tied, PERIOD, ["available_at"]).where("NOT ambiguous")
 
 
-def true_ttm(quarters: DataFrame, formations: DataFrame, concepts: Sequence[str], name: str) -> DataFrame:
-    """Sum of the latest four consecutive standalone quarters known at each formation, by concept priority (FND08)."""
+def metric_of(groups: dict[str, Sequence[str]]) -> Column:
+    """Name of the metric a concept belongs to."""
+    pairs = [F.lit(x) for name, concepts in groups.items() for c in concepts for x in (c, name)]
+    return F.create_map(*pairs)[F.col("concept")]
+
+
+def wide_metrics(rows: DataFrame, names: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """One row per cell from rows keyed by metric; ``columns`` maps a source column to a name pattern."""
+    pick = lambda name, source: F.max(F.when(F.col("metric") == name, F.col(source)))
+    return rows.groupBy(*CELL).agg(*[
+        pick(name, source).alias(pattern.format(name)) for name in names for source, pattern in columns.items()])
+
+
+def ttm_rows(quarters: DataFrame, formations: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Latest four consecutive standalone quarters per formation and metric, by concept priority."""
+    concepts = [c for group in groups.values() for c in group]
     wanted = quarters.where(F.col("concept").isin(*concepts))
     known = expand_versions(version_intervals(wanted, PERIOD, formations, "available_at", ["available_at", "value"]), formations)
     newest = Window.partitionBy(*CELL, "concept").orderBy(F.col("period_end").desc())
@@ -208,10 +222,16 @@ def true_ttm(quarters: DataFrame, formations: DataFrame, concepts: Sequence[str]
     ordered = Window.partitionBy(*CELL, "concept").orderBy("period_end")
     gap = days("period_start", F.lag("period_end").over(ordered)) - 1
     summed = four.withColumn("_gap", F.coalesce(gap, F.lit(0))).groupBy(*CELL, "concept").agg(
-        F.sum("value").alias(name), F.count(F.lit(1)).alias("_quarters"), F.max("period_end").alias(f"{name}_end"),
+        F.sum("value").alias("value"), F.count(F.lit(1)).alias("_quarters"), F.max("period_end").alias("period_end"),
         F.min(F.col("_gap").between(0, ASSET_GAP_DAYS)).alias("_consecutive"))
-    good = summed.where("_quarters = 4 AND _consecutive").withColumn("_priority", priority(concepts))
-    return latest_per_key(good, CELL, ["_priority"]).select(*CELL, name, f"{name}_end", F.col("concept").alias(f"{name}_concept"))
+    good = summed.where("_quarters = 4 AND _consecutive").withColumn("metric", metric_of(groups)).withColumn("_priority", priority(concepts))
+    return latest_per_key(good, [*CELL, "metric"], ["_priority"]).select(*CELL, "metric", "value", "period_end", "concept")
+
+
+def true_ttm(quarters: DataFrame, formations: DataFrame, concepts: Sequence[str], name: str) -> DataFrame:
+    """Sum of the latest four consecutive standalone quarters known at each formation (FND08)."""
+    return ttm_rows(quarters, formations, {name: concepts}).select(
+        *CELL, F.col("value").alias(name), F.col("period_end").alias(f"{name}_end"), F.col("concept").alias(f"{name}_concept"))
 
 
 # ---- endpoints ---------------------------------------------------------------
@@ -220,41 +240,55 @@ def endpoint_versions(facts: DataFrame, concepts: Sequence[str]) -> DataFrame:
     return resolve_ties(instants, ["security_id", "concept", "period_end"]).withColumn("priority", priority(concepts))
 
 
+def endpoint_rows(facts: DataFrame, formations: DataFrame, groups: dict[str, Sequence[str]], positive: Sequence[str]) -> DataFrame:
+    """Latest instant fact per formation and metric; ambiguous or non-positive ones carry a reason."""
+    concepts = [c for group in groups.values() for c in group]
+    versions = endpoint_versions(facts, concepts).withColumn("metric", metric_of(groups))
+    order = ["priority", "period_end", "available_at", "accepted_at"]
+    rows = expand_versions(version_intervals(versions, ["security_id", "metric"], formations, "available_at", order), formations)
+    must_be_positive = F.col("metric").isin(*positive) if positive else F.lit(False)
+    reason = first_reason(
+        (F.col("ambiguous"), "ambiguous_latest_endpoint_context"), (must_be_positive & (F.col("value") <= 0), "nonpositive_latest_endpoint"))
+    return rows.select(*CELL, "metric", F.when(reason.isNull(), F.col("value")).alias("value"), "period_end", "concept", reason.alias("reason"))
+
+
 def latest_endpoint(facts: DataFrame, formations: DataFrame, concepts: Sequence[str], name: str, *, positive: bool = False) -> DataFrame:
-    """Latest instant fact of the first concept with candidates; ambiguous or non-positive ones are excluded (FND09)."""
-    versions = version_intervals(
-        endpoint_versions(facts, concepts), ["security_id"], formations, "available_at", ["priority", "period_end", "available_at", "accepted_at"])
-    rows = expand_versions(versions, formations)
-    rules = [(F.col("ambiguous"), "ambiguous_latest_endpoint_context")]
-    if positive:
-        rules.append((F.col("value") <= 0, "nonpositive_latest_endpoint"))
-    reason = first_reason(*rules)
-    return rows.select(*CELL, F.when(reason.isNull(), F.col("value")).alias(name), F.col("period_end").alias(f"{name}_end"),
-                       "concept", reason.alias(f"{name}_reason"))
+    """Latest instant fact of the first concept with candidates (FND09)."""
+    rows = endpoint_rows(facts, formations, {name: concepts}, [name] if positive else [])
+    return rows.select(*CELL, F.col("value").alias(name), F.col("period_end").alias(f"{name}_end"), "concept", F.col("reason").alias(f"{name}_reason"))
 
 
 def month_number(day: str | Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def comparable_prior(facts: DataFrame, formations: DataFrame, current: DataFrame, concept: str, name: str) -> DataFrame:
-    """Endpoint whose period ends 330-400 days before the current one, as known at the formation (FND10).
+def prior_rows(facts: DataFrame, formations: DataFrame, current: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Endpoint whose period ends 330-400 days before the current one, as known at the formation.
 
     The day band is turned into an equi key: a current row names the months its prior can end in.
+    ``current`` has formation_date, security_id, metric, period_end.
     """
-    periods = version_intervals(
-        endpoint_versions(facts, [concept]), ["security_id", "period_end"], formations, "available_at", ["available_at", "accepted_at"])
+    concepts = [c for group in groups.values() for c in group]
+    versions = endpoint_versions(facts, concepts).withColumn("metric", metric_of(groups))
+    periods = version_intervals(versions, ["security_id", "metric", "period_end"], formations, "available_at", ["available_at", "accepted_at"])
     prior = periods.select(
-        "security_id", F.col("period_end").alias("prior_end"), F.col("value").alias("prior_value"), "ambiguous",
+        "security_id", "metric", F.col("period_end").alias("prior_end"), F.col("value").alias("prior_value"), "ambiguous",
         "decision_ord", "until_ord", month_number("period_end").alias("month"))
-    months = F.sequence(month_number(F.date_sub(f"{name}_end", PRIOR_DAYS[1])), month_number(F.date_sub(f"{name}_end", PRIOR_DAYS[0])))
-    asks = current.where(F.col(name).isNotNull()).join(numbered(formations), "formation_date").select(
-        *CELL, F.col(f"{name}_end").alias("_end"), "ord", F.explode(months).alias("month"))
+    months = F.sequence(month_number(F.date_sub("period_end", PRIOR_DAYS[1])), month_number(F.date_sub("period_end", PRIOR_DAYS[0])))
+    asks = current.join(numbered(formations), "formation_date").select(
+        *CELL, "metric", F.col("period_end").alias("_end"), "ord", F.explode(months).alias("month"))
     held = (F.col("decision_ord") <= F.col("ord")) & (F.col("ord") < F.col("until_ord"))
-    found = asks.join(prior, ["security_id", "month"]).where(held & days("_end", "prior_end").between(*PRIOR_DAYS))
-    best = found.groupBy(*CELL).agg(
-        F.max("prior_end").alias(f"prior_{name}_end"), F.max_by("prior_value", "prior_end").alias("_v"), F.max_by("ambiguous", "prior_end").alias("_a"))
-    return best.select(*CELL, f"prior_{name}_end", F.when(~F.col("_a") & (F.col("_v") > 0), F.col("_v")).alias(f"prior_{name}"))
+    found = asks.join(prior, ["security_id", "metric", "month"]).where(held & days("_end", "prior_end").between(*PRIOR_DAYS))
+    best = found.groupBy(*CELL, "metric").agg(
+        F.max("prior_end").alias("period_end"), F.max_by("prior_value", "prior_end").alias("_v"), F.max_by("ambiguous", "prior_end").alias("_a"))
+    return best.select(*CELL, "metric", "period_end", F.when(~F.col("_a") & (F.col("_v") > 0), F.col("_v")).alias("value"))
+
+
+def comparable_prior(facts: DataFrame, formations: DataFrame, current: DataFrame, concept: str, name: str) -> DataFrame:
+    """Comparable prior endpoint of one metric (FND10)."""
+    asks = current.where(F.col(name).isNotNull()).select(*CELL, F.lit(name).alias("metric"), F.col(f"{name}_end").alias("period_end"))
+    rows = prior_rows(facts, formations, asks, {name: [concept]})
+    return rows.select(*CELL, F.col("period_end").alias(f"prior_{name}_end"), F.col("value").alias(f"prior_{name}"))
 
 
 def split_factor(actions: DataFrame, spans: DataFrame) -> DataFrame:
@@ -281,19 +315,20 @@ def split_factor(actions: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def accounting_snapshot(facts: DataFrame, formations: DataFrame) -> DataFrame:
-    """TTM income and cash flow, assets, equity, shares and the comparable priors, one row per cell (FND13)."""
-    quarters = standalone_quarters(facts)
-    assets = latest_endpoint(facts, formations, ["Assets"], "assets", positive=True).drop("concept")
-    shares = latest_endpoint(facts, formations, [SHARES], "shares", positive=True).drop("concept")
-    equity = latest_endpoint(facts, formations, EQUITY, "equity").drop("concept")
-    rows = assets
-    for part in (
-        shares, equity, true_ttm(quarters, formations, INCOME, "income").drop("income_concept"),
-        true_ttm(quarters, formations, CASH_FLOW, "cash").drop("cash_concept"),
-        comparable_prior(facts, formations, assets, "Assets", "assets"), comparable_prior(facts, formations, shares, SHARES, "shares"),
-    ):
-        rows = rows.join(part, CELL, "full")
-    return rows
+    """TTM income and cash flow, assets, equity, shares and the comparable priors, one row per cell (FND13).
+
+    Metrics of one kind share a pass and are unfolded by a conditional aggregation.
+    """
+    compared = {"assets": ["Assets"], "shares": [SHARES]}
+    ends = endpoint_rows(facts, formations, {**compared, "equity": EQUITY}, list(compared))
+    priors = prior_rows(facts, formations, ends.where(F.col("value").isNotNull() & F.col("metric").isin(*compared)), compared)
+    flows = ttm_rows(standalone_quarters(facts), formations, {"income": INCOME, "cash": CASH_FLOW})
+    shape = {"value": "{}", "period_end": "{}_end"}
+    return (
+        wide_metrics(ends, ["assets", "shares", "equity"], shape)
+        .join(wide_metrics(flows, ["income", "cash"], shape), CELL, "full")
+        .join(wide_metrics(priors, list(compared), {"value": "prior_{}", "period_end": "prior_{}_end"}), CELL, "full")
+    )
 
 
 def usable(name: str, label: str) -> Column:

@@ -340,6 +340,16 @@ def fit_pairwise(rows: DataFrame, features: Sequence[str], penalty: float, *, mi
     return base, b
 
 
+def recalibrate(rows: DataFrame, features: Sequence[str], base: Moments, b: np.ndarray) -> tuple[Moments, np.ndarray]:
+    """Scale pair coefficients to the target by a regression of target on raw score (MDL19)."""
+    flat = Moments(base.total, base.means, base.scales, 0.0, base.gram, base.covariance)
+    line = rows.select("target", prediction(features, flat, b).alias("s")).agg(
+        F.regr_slope("target", "s").alias("slope"), F.regr_intercept("target", "s").alias("intercept"), F.avg("target").alias("mean")).first()
+    slope = line["slope"] or 0.0
+    centre = line["intercept"] if line["slope"] is not None else line["mean"]
+    return Moments(base.total, base.means, base.scales, float(centre), base.gram, base.covariance), b * slope
+
+
 def fold_rows(rows: DataFrame, roles: DataFrame, role: str, keys: Sequence[str] = ("outer_fold",)) -> DataFrame:
     """Examples of one role per fold; the role table is bounded by dates x folds."""
     return rows.join(roles.where(F.col("role") == role).select(*keys, "formation_date"), "formation_date")

@@ -286,7 +286,8 @@ def _(r):
 
 @query("MDL19_pairwise_ranker")
 def _(r):
-    return single(r, m.fit_pairwise(r.examples, FEATURES, 0.01, mirrored=False, steps=5))
+    found = m.fit_pairwise(r.examples, FEATURES, 0.01, mirrored=False, steps=5)
+    return single(r, m.recalibrate(r.examples, FEATURES, *found))
 
 
 @query("MDL20_mirrored_pairs", """
