@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
+from .quality import fit_quality, learnable, quality_scores
 from .simhash import simhash_groups
 from .token_counts import token_counts
 
@@ -43,3 +44,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality_scores(docs, machine)
+    return scored.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), "score", "predicted")
