@@ -1,8 +1,63 @@
-"""Placeholder until the stages are in."""
+"""From raw documents to a mixed, tokenised corpus, in five stages."""
 
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.bpe import byte_bpe
+from tidemark.llm.mixing import mixture
+from tidemark.llm.pii import redact
+from tidemark.llm.quality import fit_quality, quality_scores
+from tidemark.llm.simhash import representatives
+from tidemark.llm.tables import cut
+
+#: The fits and similarity searches have no SQL form; tests/llm/test_pipeline.py holds the stages to brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled ones among them."""
+    machine = fit_quality(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    return quality_scores(docs, machine, tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return representatives(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixture(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row (little-endian unsigned 32-bit integers), and a digest of what they decode to."""
+    coded = byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for place, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs

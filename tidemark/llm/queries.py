@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
+from .mixing import mix
+from .pii import KINDS, find_pii, span_text
 from .quality import fit_quality, learnable, quality_scores
 from .simhash import simhash_groups
 from .token_counts import token_counts
@@ -52,3 +54,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality_scores(docs, machine)
     return scored.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text(F.concat("base", "further")).alias("spans"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -156,3 +156,22 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3, key: str =
     grouped = components(near_links(distinct, radius))
     roots = distinct.join(grouped, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component_id"))
     return prints.join(roots, "fingerprint", "left").select(key, "fingerprint", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 3, width: int = 3, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those whose key is the group's component, one row for each key.
+
+    Rows of one key are one document; the row with the smallest hash of its text stays. Rows without a key
+    stay, one for each fingerprint, where no keyed row is in their group. Columns stay as they are.
+    """
+    names = docs.columns
+    groups = simhash_groups(docs, radius, width, key)
+    roots = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_root")).distinct()
+    order = (F.xxhash64("text"), F.length("text"), F.col("text"))
+    keyed = docs.join(roots, F.col(key) == F.col("_root"), "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    bare = docs.filter(F.col(key).isNull()).withColumn("_mark", F.xxhash64("text"))
+    prints = fingerprints(bare.select("_mark", "text").distinct(), width, "_mark").withColumnRenamed("fingerprint", "_print").withColumnRenamed("_mark", "_same")
+    lone = groups.filter(F.col(key).isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("_lone")).distinct()
+    bare = bare.join(prints, F.col("_mark") == F.col("_same")).join(lone, F.col("_print") == F.col("_lone"), "left_semi")
+    bare = bare.withColumn("_row", F.row_number().over(Window.partitionBy("_print").orderBy(*order)))
+    return keyed.filter("_row = 1").select(*names).unionAll(bare.filter("_row = 1").select(*names))
