@@ -12,6 +12,7 @@ from .bpe import byte_bpe
 from .html_extract import extract_pages
 from .language import fit_languages, predict_languages
 from .mixing import mix
+from .neighbours import search
 from .pii import KINDS, find_pii, span_text
 from .quality import fit_quality, learnable, quality_scores
 from .simhash import simhash_groups
@@ -82,3 +83,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
