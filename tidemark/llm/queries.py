@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
+from .embedding_dedup import near_embeddings
 from .html_extract import extract_pages
 from .language import fit_languages, predict_languages
 from .mixing import mix
@@ -89,3 +90,25 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op1_embedding_dedup"] = """
+with recursive v as (
+    select vec_id, label, embedding::double[] as e from embeddings
+    where embedding is not null and label is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+    select a.vec_id as src, b.vec_id as dst from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select src, dst from links union select r.src, l.dst from reach r join links l on r.dst = l.src),
+roots as (select src, min(dst) as least from reach group by src),
+counts as (select src, count(*) as n from links group by src)
+select t.vec_id, coalesce(c.n, 0)::bigint as n_links, least(t.vec_id, coalesce(r.least, t.vec_id))::bigint as component_id,
+       t.vec_id <= coalesce(r.least, t.vec_id) as kept
+from embeddings t left join roots r on r.src = t.vec_id left join counts c on c.src = t.vec_id
+"""
