@@ -44,10 +44,10 @@ class PerfectHash:
     def build(entries: dict[bytes, int]) -> PerfectHash:
         keys = list(entries)
         n = len(keys)
-        ends = np.cumsum([len(k) for k in keys])
-        starts = ends - np.array([len(k) for k in keys], np.int64)
+        size = np.array([len(k) for k in keys], np.int64)
+        ends = np.cumsum(size)
+        starts = ends - size
         low, high = packed(b"".join(keys), starts, ends)
-        size = ends - starts
         h = mixed(low, high, size)
         if len(np.unique(h)) < n:
             raise ValueError("two vocabulary entries share a 64-bit hash")
