@@ -125,13 +125,14 @@ def test_late_rows_never_change_a_closed_decision(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
     decisions = spark.createDataFrame([(D(2024, 1, d), dt.datetime(2024, 1, d, 20)) for d in (1, 2, 3)], "formation_date date, decision_at timestamp")
     write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    run = lambda: logs.run_to_end(logs.file_stream(spark, source, spark.createDataFrame([], schema).schema), f"{root}/cp", batch=logs.close_decisions(f"{root}/rows", decisions, "available_at"))
+    run = lambda: logs.run_to_end(logs.file_stream(spark, source, spark.createDataFrame([], schema).schema), f"{root}/cp", batch=logs.close_decisions(f"{root}/rows", decisions, "available_at", "available_at", "0 seconds"))
     write([(1, dt.datetime(2024, 1, 1, 10)), (2, dt.datetime(2024, 1, 2, 10))])
     run()
     write([(3, dt.datetime(2024, 1, 1, 11)), (4, dt.datetime(2024, 1, 3, 10))])
     run()
     found = {(r.event_id, r.formation_date) for r in spark.read.parquet(f"{root}/rows").collect()}
-    assert found == {(1, D(2024, 1, 1)), (2, D(2024, 1, 2)), (4, D(2024, 1, 3))}
+    # row 3 is late for the first decision, which keeps its rows, and joins the next open one
+    assert found == {(1, D(2024, 1, 1)), (2, D(2024, 1, 2)), (3, D(2024, 1, 2)), (4, D(2024, 1, 3))}
 
 
 def test_stream_deduplicates_across_batches(spark, tmp_path):

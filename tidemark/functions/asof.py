@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .ranks import top_rows
 
-EARLIEST = "1900-01-01"
-
 
 def best_first(order: Sequence[str | Column]) -> list[Column]:
     """Sort keys for "larger is better" columns, nulls last."""
@@ -29,18 +27,17 @@ def decision_intervals(decisions: DataFrame) -> DataFrame:
     """One row per calendar day of the half-open interval (previous decision, decision].
 
     ``decisions`` has ``formation_date`` and ``decision_at``, one row per session, so the
-    result is bounded by the number of calendar days and serves as an equi-join side.
+    result is bounded by the number of calendar days and serves as an equi-join side. The first
+    interval is open to the left: its ``previous_at`` is null, and it has only its own day, to which
+    earlier rows are moved.
     """
     ordered = Window.partitionBy(F.lit(1)).orderBy("decision_at")
     return (
         decisions.select("formation_date", "decision_at")
         .withColumn("decision_ord", F.row_number().over(ordered))
         .withColumn("_end_ord", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) + 1)
-        .withColumn(
-            "previous_at",
-            F.coalesce(F.lag("decision_at").over(ordered), F.lit(EARLIEST).cast("timestamp")),
-        )
-        .withColumn("_day", F.explode(F.sequence(F.to_date("previous_at"), F.to_date("decision_at"))))
+        .withColumn("previous_at", F.lag("decision_at").over(ordered))
+        .withColumn("_day", F.explode(F.sequence(F.to_date(F.coalesce("previous_at", "decision_at")), F.to_date("decision_at"))))
     )
 
 
@@ -51,11 +48,12 @@ def with_first_decision(df: DataFrame, decisions: DataFrame, at: str) -> DataFra
     so the cost does not grow with formations x rows.
     """
     days = decision_intervals(decisions)
+    first = decisions.agg(F.to_date(F.min("decision_at")).alias("_first"))  # one row
     return (
-        df.withColumn("_day", F.to_date(at))
+        df.crossJoin(F.broadcast(first)).withColumn("_day", F.greatest(F.to_date(at), "_first"))
         .join(days, "_day")
-        .where((F.col(at) > F.col("previous_at")) & (F.col(at) <= F.col("decision_at")))
-        .drop("_day", "previous_at")
+        .where((F.col("previous_at").isNull() | (F.col(at) > F.col("previous_at"))) & (F.col(at) <= F.col("decision_at")) & F.col(at).isNotNull())
+        .drop("_day", "_first", "previous_at")
     )
 
 

@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_next_session(df: DataFrame, sessions: DataFrame, day: str, *, on_or_after: bool = False) -> DataFrame:
+    """Add the first session after ``day`` (or on it) as ``following_session``.
+
+    Every day before the calendar maps to its first session; rows after the last session drop out.
+    """
+    first = sessions.agg(F.date_sub(F.min("session_date"), 1).alias("_first"))  # one row
+    asked = F.date_sub(day, 1) if on_or_after else F.col(day)
+    placed = df.crossJoin(F.broadcast(first)).withColumn("_day", F.when(F.col(day).isNotNull(), F.greatest(asked, "_first")))
+    return placed.join(next_session_map(sessions).withColumnRenamed("day", "_day"), "_day").drop("_day", "_first")
+
+
 def next_session_map(sessions: DataFrame) -> DataFrame:
-    """calendar ``day`` -> first session strictly after it, for an equi join on the day."""
+    """calendar ``day`` -> first session strictly after it, from the day before the first session on."""
     ordered = Window.partitionBy(F.lit(1)).orderBy("session_date")
     return (
         sessions.select("session_date")
-        .withColumn("_from", F.coalesce(F.lag("session_date").over(ordered), F.date_sub("session_date", 31)))
+        .withColumn("_from", F.coalesce(F.lag("session_date").over(ordered), F.date_sub("session_date", 1)))
         .withColumn("day", F.explode(F.sequence("_from", F.date_sub("session_date", 1))))
         .select("day", F.col("session_date").alias("following_session"))
     )
 
 
-def on_or_next_session_map(sessions: DataFrame) -> DataFrame:
-    """calendar ``day`` -> the session on that day or the first one after it."""
-    return next_session_map(sessions).select(F.date_add("day", 1).alias("day"), F.col("following_session").alias("session_date"))
-
-
 def forward_sessions(sessions: DataFrame, offsets: dict[str, int]) -> DataFrame:
     """Each session with the sessions at the given forward offsets."""
     ordered = Window.partitionBy(F.lit(1)).orderBy("session_date")

@@ -17,18 +17,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 16
+STEPS_PER_OCTAVE = 1024
 SMALLEST_STEP = 2.0**20
+#: Beyond every bucket of a finite number, for infinities and NaN, which Spark orders last.
+LAST_BUCKET = 2**22
 
 
 def order_bucket(value: Column) -> Column:
-    """Monotone coarse key of a number: linear near zero, 16 steps per power of two.
+    """Monotone coarse key of a number: linear near zero, 1024 steps per power of two, NaN last.
 
-    Never null, so that Spark adds no null filter and both uses of it share one exchange.
+    Values around 100 that differ by 2 % fall in about thirty buckets, ids of one million to two million in
+    a thousand; a group has at most some ten thousand. Never null, so that Spark adds no null
+    filter and both uses of it share one exchange.
     """
     number = value.cast("double")
     octave = F.log2(F.lit(1.0) + F.abs(number) * F.lit(SMALLEST_STEP))
-    return F.coalesce(F.floor(F.signum(number) * octave * F.lit(float(STEPS_PER_OCTAVE))), F.lit(0))
+    step = F.signum(number) * octave * F.lit(float(STEPS_PER_OCTAVE))
+    bounded = F.least(F.greatest(step, F.lit(-float(LAST_BUCKET))), F.lit(float(LAST_BUCKET)))
+    return F.when(F.isnan(number), F.lit(LAST_BUCKET + 1)).otherwise(F.coalesce(F.floor(bounded), F.lit(0)))
 
 
 def cumulative_below(

@@ -180,8 +180,8 @@ def segment_analysis(rows: DataFrame, dimensions: Sequence[str], minimum: int =
     aggregates = [F.count(F.lit(1)).alias("observations"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias")]
     long = rows.select("prediction", "actual", F.explode(cells).alias("x"))
     parts = long.groupBy("x.dimension", "x.segment").agg(*aggregates, zero_if_flat(F.corr("prediction", "actual")).alias("_c"))
-    overall = rows.agg(F.avg(F.abs(error)).alias("_all")).withColumn("_k", F.lit(1))
-    return parts.withColumn("_k", F.lit(1)).join(overall, "_k").select(
+    overall = rows.agg(F.avg(F.abs(error)).alias("_all"))
+    return parts.crossJoin(F.broadcast(overall)).select(
         "dimension", "segment", "observations", "mae", "bias", F.when(F.col("observations") >= minimum, F.col("_c")).alias("correlation"),
         (F.col("mae") - F.col("_all")).alias("mae_delta"))
 

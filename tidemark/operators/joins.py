@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import expand_versions, latest_per_key, version_intervals
-from ..functions.calendar import next_session_map, on_or_next_session_map, window_sessions
+from ..functions.calendar import window_sessions, with_next_session
 from ..functions.ranks import top_rows
 from ..functions.scalars import filing_available_at, observed_available_at
 
@@ -68,7 +68,7 @@ def latest_ticker(rows: DataFrame, listings: DataFrame, day: str) -> DataFrame:
 
 def next_session(days: DataFrame, sessions: DataFrame, day: str = "day") -> DataFrame:
     """First session strictly after any calendar date (JN08)."""
-    return days.join(next_session_map(sessions).withColumnRenamed("day", day), day)
+    return with_next_session(days, sessions, day)
 
 
 def outcome_offsets(executions: DataFrame, sessions: DataFrame, horizons: Sequence[int]) -> DataFrame:
@@ -85,7 +85,8 @@ def actions_in_windows(actions: DataFrame, sessions: DataFrame, windows: DataFra
     An action is moved to the session on or after its date, which lies in the window exactly when
     the date does; the small window x session table then joins on equality.
     """
-    dated = actions.withColumn("day", F.coalesce("effective_date", "process_date")).join(on_or_next_session_map(sessions), "day")
+    dated = with_next_session(actions.withColumn("day", F.coalesce("effective_date", "process_date")), sessions, "day", on_or_after=True)
+    dated = dated.withColumnRenamed("following_session", "session_date")
     path = window_sessions(sessions, windows, horizon).where("step > 0")
     return dated.join(path.select("session_date", "formation_date", "entry_date", "outcome_date"), "session_date").drop("day")
 
@@ -135,11 +136,10 @@ def completed_snapshots(scores: DataFrame, runs: DataFrame) -> DataFrame:
 
 def due_unlabelled(scores: DataFrame, outcomes: DataFrame, sessions: DataFrame, horizon: int) -> DataFrame:
     """Eligible snapshots with at least ``horizon`` later sessions and no outcome yet (JN18)."""
-    later = next_session_map(sessions).join(
-        sessions.select(F.col("session_date").alias("following_session"), "idx"), "following_session")
     last = Window.partitionBy(F.lit(1))
-    reach = later.withColumn("_last", F.max("idx").over(last)).where(F.col("_last") - F.col("idx") + 1 >= horizon)
-    due = scores.where("eligible").join(reach.select(F.col("day").alias("score_date")), "score_date", "left_semi")
+    reach = sessions.select("session_date", (F.max("idx").over(last) - F.col("idx") + 1).alias("_ahead")).where(F.col("_ahead") >= horizon)
+    placed = with_next_session(scores.where("eligible"), sessions, "score_date")
+    due = placed.join(reach.select(F.col("session_date").alias("following_session")), "following_session", "left_semi").select(*scores.columns)
     return due.join(outcomes.where(F.col("horizon") == horizon), ["security_id", "score_date"], "left_anti")
 
 
@@ -207,8 +207,8 @@ def session_gaps(bars: DataFrame, symbols: DataFrame, sessions: DataFrame) -> Da
     Only missing sessions are produced; no symbol x session product is formed.
     """
     have = bars.join(sessions.select("session_date", "idx"), "session_date").join(symbols, "security_id", "left_semi").select("security_id", "idx")
-    end = sessions.agg((F.max("idx") + 1).alias("idx")).withColumn("_k", F.lit(1))
-    sentinels = symbols.select("security_id").distinct().withColumn("_k", F.lit(1)).join(end, "_k").select("security_id", F.col("idx").cast("int").alias("idx"))
+    end = sessions.agg((F.max("idx") + 1).alias("idx"))
+    sentinels = symbols.select("security_id").distinct().crossJoin(F.broadcast(end)).select("security_id", F.col("idx").cast("int").alias("idx"))
     ordered = Window.partitionBy("security_id").orderBy("idx")
     holes = have.unionByName(sentinels).withColumn("before", F.coalesce(F.lag("idx").over(ordered), F.lit(0))).where("idx - before > 1")
     missing = holes.select("security_id", F.explode(F.sequence(F.col("before") + 1, F.col("idx") - 1)).alias("idx"))

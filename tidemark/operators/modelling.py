@@ -152,9 +152,17 @@ class Moments:
 
 
 def moments(rows: DataFrame, features: Sequence[str], target: str = "target", weight: str | None = None, keys: Sequence[str] = ()) -> dict[tuple, Moments]:
-    """Moments per key in one aggregation (MDL15): standardised gram and covariance over the total weight."""
+    """Moments per key (MDL15): standardised gram and covariance over the total weight.
+
+    One aggregation finds the overall means; the second sums products around them, so that a feature
+    whose mean is far above its spread keeps its digits.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
     names = [*features, target]
+    centre = rows.agg(*[F.avg(a).alias(a) for a in names]).first()
+    shift = {a: float(centre[a]) if centre[a] is not None and np.isfinite(float(centre[a])) else 0.0 for a in names}
+    rows = rows.select(*keys, w.alias("_w"), *[(F.col(a) - F.lit(shift[a])).alias(a) for a in names])
+    w = F.col("_w")
     sums = [F.sum(w).alias("sw")] + [F.sum(w * F.col(a)).alias(f"s_{a}") for a in names]
     cross = [F.sum(w * F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[i:] if a != target]
     found = {}
@@ -171,7 +179,8 @@ def moments(rows: DataFrame, features: Sequence[str], target: str = "target", we
             for k, b in enumerate(features[i:], start=i):
                 gram[i, k] = gram[k, i] = central(a, b) / scales[i] / scales[k]
         covariance = np.array([central(a, target) for a in features]) / scales
-        found[tuple(row[k] for k in keys)] = Moments(total, np.array([mean[a] for a in features]), scales, mean[target], gram, covariance)
+        found[tuple(row[k] for k in keys)] = Moments(
+            total, np.array([mean[a] + shift[a] for a in features]), scales, mean[target] + shift[target], gram, covariance)
     return found
 
 
@@ -191,8 +200,8 @@ def solve(m: Moments, l1: float, l2: float, per_row: bool = True) -> np.ndarray:
             partial = covariance[i] - gram[i] @ b + gram[i, i] * b[i]
             b[i] = np.sign(partial) * max(abs(partial) - l1, 0.0) / (gram[i, i] + l2)
         if np.max(np.abs(b - before)) < 1e-10:
-            break
-    return b
+            return b
+    raise RuntimeError("coordinate descent did not converge")
 
 
 def coefficient_frame(spark, features: Sequence[str], fits: dict[tuple, tuple[Moments, np.ndarray]], keys: Sequence[str] = ()) -> DataFrame:
@@ -250,7 +259,11 @@ def fit_huber(rows: DataFrame, features: Sequence[str], l2: float, delta: float,
         if median * MAD_TO_SIGMA <= 1e-12:
             break
         cutoff = F.lit(delta * median * MAD_TO_SIGMA)
-        robust = F.when(residual <= cutoff, 1.0).otherwise(cutoff / residual)
+        fresh = F.when(residual <= cutoff, 1.0).otherwise(cutoff / residual)
+        change = frame.agg(F.max(F.abs(fresh - robust)).alias("change")).first()["change"]
+        robust = fresh
+        if change < 1e-6:  # of the largest weight change
+            break
     return Moments(base.total, base.means, base.scales, float(centre), base.gram, base.covariance), b
 
 
@@ -336,8 +349,8 @@ def fit_pairwise(rows: DataFrame, features: Sequence[str], penalty: float, *, mi
         step = np.linalg.solve(hessian, gradient)
         b = b - step
         if np.max(np.abs(step)) < 1e-9:
-            break
-    return base, b
+            return base, b
+    raise RuntimeError(f"the pairwise fit did not converge in {steps} steps")
 
 
 def recalibrate(rows: DataFrame, features: Sequence[str], base: Moments, b: np.ndarray) -> tuple[Moments, np.ndarray]:

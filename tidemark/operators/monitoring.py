@@ -172,8 +172,8 @@ def freshness_alerts(runs: DataFrame, latest_price: DataFrame, expected: Column)
     two = runs.withColumn("_n", F.row_number().over(newest)).where("_n <= 2")
     at = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
     row = two.agg(at(1, "score_date").alias("day"), at(1, "eligible_count").alias("now"), at(2, "eligible_count").alias("before"),
-                  at(1, "mean_score").alias("mean_now"), at(2, "mean_score").alias("mean_before")).withColumn("_k", F.lit(1))
-    row = row.join(latest_price.withColumn("_k", F.lit(1)), "_k")
+                  at(1, "mean_score").alias("mean_now"), at(2, "mean_score").alias("mean_before"))
+    row = row.crossJoin(F.broadcast(latest_price))
     found = F.array_compact(F.array(
         F.when(F.col("session_date").isNull() | (F.col("session_date") < expected), "stale_market_data"), F.when(F.col("day").isNull() | (F.col("day") < expected), "stale_scores"),
         F.when(F.col("now") < 1, "insufficient_eligible_scores"), F.when(safe_divide(F.col("before") - F.col("now"), F.col("before")) > 0.30, "eligible_count_drop"),
@@ -183,15 +183,15 @@ def freshness_alerts(runs: DataFrame, latest_price: DataFrame, expected: Column)
 
 def market_coverage(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """Rows, sessions, companies, range and missing company-sessions per basis (MON11)."""
-    total = sessions.agg(F.count(F.lit(1)).alias("_s")).withColumn("_k", F.lit(1))
+    total = sessions.agg(F.count(F.lit(1)).alias("_s"))
     late = F.count_if(F.col("available_at") < F.col("session_date").cast("timestamp"))
     companies = bars.groupBy("basis", "security_id").agg(
         F.count(F.lit(1)).alias("_rows"), F.count_distinct("session_date").alias("_have"), F.min("session_date").alias("_first"), F.max("session_date").alias("_last"), late.alias("_late"))
     per_basis = companies.groupBy("basis").agg(
         F.sum("_rows").alias("rows_count"), F.count(F.lit(1)).alias("companies"), F.min("_first").alias("first_session"), F.max("_last").alias("last_session"),
         F.sum("_have").alias("_have"), F.sum("_late").alias("wrong_availability"))
-    return per_basis.withColumn("_k", F.lit(1)).join(total, "_k").withColumn(
-        "missing_company_sessions", F.col("companies") * F.col("_s") - F.col("_have")).drop("_k", "_s", "_have")
+    return per_basis.crossJoin(F.broadcast(total)).withColumn(
+        "missing_company_sessions", F.col("companies") * F.col("_s") - F.col("_have")).drop("_s", "_have")
 
 
 def fact_inventory(facts: DataFrame, concepts: Sequence[str]) -> DataFrame:
@@ -208,10 +208,10 @@ def fact_inventory(facts: DataFrame, concepts: Sequence[str]) -> DataFrame:
 def action_coverage(chunks: DataFrame, actions: DataFrame) -> DataFrame:
     """Chunk completion and action counts of a backfill, with the readiness verdict (MON13)."""
     done = chunks.agg(F.count(F.lit(1)).alias("requested_chunks"), F.count_if(F.col("status") == "completed").alias("completed_chunks"),
-                      F.count_if((F.col("status") == "completed") & ~F.col("has_document")).alias("without_document")).withColumn("_k", F.lit(1))
-    found = actions.agg(F.count(F.lit(1)).alias("action_count")).withColumn("_k", F.lit(1))
+                      F.count_if((F.col("status") == "completed") & ~F.col("has_document")).alias("without_document"))
+    found = actions.agg(F.count(F.lit(1)).alias("action_count"))
     ready = (F.col("requested_chunks") > 0) & (F.col("requested_chunks") == F.col("completed_chunks")) & (F.col("without_document") == 0) & (F.col("action_count") > 0)
-    return done.join(found, "_k").drop("_k").withColumn("coverage_ready", ready)
+    return done.crossJoin(F.broadcast(found)).withColumn("coverage_ready", ready)
 
 
 def complete_fiscal_years(facts: DataFrame) -> DataFrame:
@@ -235,8 +235,8 @@ def backfill_chunks(symbols: DataFrame, dates: DataFrame, bases: Sequence[str],
     """
     quarters = dates.groupBy(F.date_trunc("quarter", "day").alias("_q")).agg(F.min("day").alias("range_start"), F.max("day").alias("range_end")).drop("_q")
     batches = symbols.groupBy(F.floor(F.col("place") / batch).cast("int").alias("batch")).agg(F.min("ticker").alias("first_ticker"), F.max("ticker").alias("last_ticker"), F.count(F.lit(1)).alias("symbols"))
-    spans = quarters.agg(F.array_sort(F.collect_list(F.struct("range_start", "range_end"))).alias("q")).withColumn("_k", F.lit(1))
-    plan = batches.withColumn("_k", F.lit(1)).join(spans, "_k").withColumn("x", F.explode("q")).withColumn("basis", F.explode(F.array(*[F.lit(b) for b in bases])))
+    spans = quarters.agg(F.array_sort(F.collect_list(F.struct("range_start", "range_end"))).alias("q"))
+    plan = batches.crossJoin(F.broadcast(spans)).withColumn("x", F.explode("q")).withColumn("basis", F.explode(F.array(*[F.lit(b) for b in bases])))
     key = F.sha2(F.concat_ws("|", F.col("x.range_start").cast("string"), F.col("x.range_end").cast("string"), "first_ticker", "last_ticker", "basis"), 256)
     return plan.select("batch", "x.range_start", "x.range_end", "basis", "symbols", "first_ticker", "last_ticker", key.alias("chunk_key"))
 
@@ -250,10 +250,10 @@ def canonical_tickers(listings: DataFrame) -> DataFrame:
 
 def evidence_report(health: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels and relative returns per horizon with the newest health status (MON15)."""
-    newest = health.agg(F.max_by("status", "score_date").alias("latest_status")).withColumn("_k", F.lit(1))
+    newest = health.agg(F.max_by("status", "score_date").alias("latest_status"))
     done = F.col("status") == "completed"
     rows = labels.groupBy("horizon").agg(
         F.count(F.lit(1)).alias("labels"), F.count_if(done).alias("completed"), F.count_if(~done).alias("withheld"),
         F.avg("relative_return").alias("mean_relative"), (F.count_if(F.col("relative_return") > 0) / F.count_if(done)).alias("share_ahead"))
     reconciled = F.col("labels") == F.col("completed") + F.col("withheld")
-    return rows.withColumn("reconciles", reconciled).withColumn("_k", F.lit(1)).join(newest, "_k").drop("_k")
+    return rows.withColumn("reconciles", reconciled).crossJoin(F.broadcast(newest))

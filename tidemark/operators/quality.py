@@ -121,10 +121,10 @@ def missing_bar_securities(listings: DataFrame, bars: DataFrame, sessions: DataF
     """
     on_calendar = bars.join(sessions.select("session_date"), "session_date", "left_semi").distinct()
     have = on_calendar.groupBy("security_id").agg(F.count(F.lit(1)).alias("have"))
-    want = sessions.agg(F.count(F.lit(1)).alias("want")).withColumn("_k", F.lit(1))
+    want = sessions.agg(F.count(F.lit(1)).alias("want"))
     return (
-        listings.where(F.col("valid_to").isNull()).join(have, "security_id", "left").withColumn("_k", F.lit(1))
-        .join(want, "_k").where(F.coalesce("have", F.lit(0)) < F.col("want"))
+        listings.where(F.col("valid_to").isNull()).join(have, "security_id", "left")
+        .crossJoin(F.broadcast(want)).where(F.coalesce("have", F.lit(0)) < F.col("want"))
         .select("ticker", (F.col("want") - F.coalesce("have", F.lit(0))).alias("missing_sessions")).distinct()
     )
 
@@ -149,8 +149,8 @@ def point_in_time_panel(
     for concept in required:
         complete = complete & F.col(concept).isNotNull()
     complete = F.coalesce(complete, F.lit(False))
-    verdict = rows.agg(F.min(complete).alias("panel_ready"), F.count_if(~complete).alias("incomplete_members")).withColumn("_k", F.lit(1))
-    return rows.withColumn("member_complete", complete).withColumn("_k", F.lit(1)).join(verdict, "_k").drop("_k", "bar_copies", "bar_at")
+    verdict = rows.agg(F.min(complete).alias("panel_ready"), F.count_if(~complete).alias("incomplete_members"))
+    return rows.withColumn("member_complete", complete).crossJoin(F.broadcast(verdict)).drop("bar_copies", "bar_at")
 
 
 def with_drop_reason(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -158,9 +158,9 @@ def display_ranks(predictions: DataFrame, *, digits: int | None = None) -> DataF
 def model_contributions(ranks: DataFrame, inputs: DataFrame) -> DataFrame:
     """coefficient x z per active input and its share of the absolute coefficients (RNK11)."""
     active = inputs.where("coefficient <> 0")
-    total = active.agg(F.sum(F.abs("coefficient")).alias("_total")).withColumn("_k", F.lit(1))
-    weighted = active.withColumn("_k", F.lit(1)).join(total, "_k").withColumn("weight", F.abs("coefficient") / F.col("_total"))
-    rows = ranks.join(weighted.drop("_k", "_total"), "feature_key")
+    total = active.agg(F.sum(F.abs("coefficient")).alias("_total"))
+    weighted = active.crossJoin(F.broadcast(total)).withColumn("weight", F.abs("coefficient") / F.col("_total"))
+    rows = ranks.join(weighted.drop("_total"), "feature_key")
     return rows.select(
         "formation_date", "security_id", "feature_key", "weight",
         (F.col("coefficient") * (F.col("percentile") - F.col("mean")) / F.col("scale")).alias("contribution"), "reason")

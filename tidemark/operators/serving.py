@@ -45,8 +45,8 @@ def filings_since(filings: DataFrame, runs: DataFrame, day: Column) -> DataFrame
     """Filings accepted on local dates after the previous completed run, up to the day (SRV05)."""
     local = F.to_date(F.from_utc_timestamp("accepted_at", LOCAL_ZONE))
     previous = runs.where((F.col("status") == "completed") & (F.col("score_date") < day)).agg(F.max("score_date").alias("previous"))
-    rows = filings.withColumn("local_date", local).where(F.col("local_date") <= day).withColumn("_k", F.lit(1))
-    later = rows.join(previous.withColumn("_k", F.lit(1)), "_k").where(F.col("local_date") > F.col("previous"))
+    rows = filings.withColumn("local_date", local).where(F.col("local_date") <= day)
+    later = rows.crossJoin(F.broadcast(previous)).where(F.col("local_date") > F.col("previous"))
     return later.groupBy("form").agg(F.count(F.lit(1)).alias("filings"), F.count_distinct("security_id").alias("companies"))
 
 

@@ -208,6 +208,6 @@ def _(r):
     return e.gate_table(ic.unionByName(rmse).unionByName(churn), gates)
 
 
-@query("EVL19_paired_summary", bootstrap_sql(DELTAS, 7, 2000), digits="bootstrap_mean probability_positive low high")
+@query("EVL19_paired_summary", bootstrap_sql(DELTAS, 7, 10000), digits="bootstrap_mean probability_positive low high")
 def _(r):
-    return e.moving_block_bootstrap(e.paired_deltas(r.predictions), 7, 2000)
+    return e.moving_block_bootstrap(e.paired_deltas(r.predictions), 7, 10000)

@@ -227,18 +227,15 @@ def _(r):
     return out.select("security_id", "current_end", "prior_end", (F.col("current_value") / F.col("prior_value") - 1).alias("asset_growth"))
 
 
-EARLY = "period_end <= DATE '1998-12-31'"
-
-
 @query("FND15_net_share_issuance_monthly", f"""
     SELECT security_id, CASE WHEN structural THEN 'structural_corporate_action' END AS reason, CASE WHEN NOT structural THEN current_value / (prior_value * factor) - 1 END AS net_share_issuance FROM (
       SELECT s.security_id, current_value, prior_value, coalesce(bool_or(action_type = 'spin_off'), false) AS structural,
              coalesce(product(ratio_numerator / ratio_denominator) FILTER (action_type = 'forward_split'), 1.0) AS factor
-      FROM ({change_sql(f.SHARES, EARLY)}) s LEFT JOIN actions a ON a.security_id = s.security_id AND a.effective_date > prior_end AND a.effective_date <= current_end GROUP BY 1, 2, 3)""",
+      FROM ({change_sql(f.SHARES, 'true')}) s LEFT JOIN actions a ON a.security_id = s.security_id AND a.effective_date > prior_end AND a.effective_date <= current_end GROUP BY 1, 2, 3)""",
        digits="net_share_issuance:8")
 def _(r):
-    change = f.annual_prior_change(r.facts.where(EARLY), f.SHARES)
-    cells = change.select(F.lit("1999-12-31").cast("date").alias("formation_date"), "security_id", F.col("prior_end").alias("span_start"),
+    change = f.annual_prior_change(r.facts, f.SHARES)
+    cells = change.select(F.lit("2099-12-31").cast("date").alias("formation_date"), "security_id", F.col("prior_end").alias("span_start"),
                           F.col("current_end").alias("span_end"), F.lit("2100-01-01").cast("timestamp").alias("decision_at"))
     joined = change.join(f.split_factor(r.actions, cells), "security_id")
     return joined.select("security_id", F.col("factor_reason").alias("reason"), (F.col("current_value") / (F.col("prior_value") * F.col("factor")) - 1).alias("net_share_issuance"))

@@ -140,10 +140,10 @@ def _(r):
 
 
 @query("JN13_benchmark_alignment", """
-    SELECT security_id, session_date, lag(idx, 30) OVER (PARTITION BY security_id ORDER BY session_date) = idx - 30 AS aligned
-    FROM bars JOIN sessions USING (session_date)""")
+    SELECT security_id, session_date, lag(idx, 126) OVER (PARTITION BY security_id ORDER BY session_date) = idx - 126 AS aligned
+    FROM dense_bars JOIN sessions USING (session_date)""")
 def _(r):
-    return j.benchmark_alignment(r.bars, r.sessions, 31).drop("idx")
+    return j.benchmark_alignment(r.dense_bars, r.sessions).drop("idx")
 
 
 @query("JN14_two_basis_bars", """

@@ -13,7 +13,10 @@ from . import windows as wplans
 
 FEATURES = ["f1", "f2", "f3"]
 KEYS = ["formation_date", "security_id"]
-BLOCKS = "(1, DATE '1997-01-01', DATE '1997-06-30'), (2, DATE '1997-07-01', DATE '1997-12-31'), (3, DATE '1998-01-01', DATE '1998-06-30'), (4, DATE '1998-07-01', DATE '1998-12-31')"
+#: Half-years from 1997 to 2001: every example from then on is validated once, and earlier ones train.
+BLOCKS = ", ".join(
+    f"({2 * (year - 1997) + half}, DATE '{year}-{'01-01' if half == 1 else '07-01'}', DATE '{year}-{'06-30' if half == 1 else '12-31'}')"
+    for year in range(1997, 2002) for half in (1, 2))
 
 
 def blocks(r):
@@ -250,12 +253,12 @@ def single(r, found):
 
 @query("MDL16_robust_monthly_fit")
 def _(r):
-    return single(r, m.fit_huber(m.formation_weights(r.examples), FEATURES, 0.1, 1.5, weight="weight", steps=3))
+    return single(r, m.fit_huber(m.formation_weights(r.examples), FEATURES, 0.1, 1.5, weight="weight"))
 
 
 @query("MDL17_huber_regression")
 def _(r):
-    return single(r, m.fit_huber(r.examples, FEATURES, 0.1, 1.5, steps=3))
+    return single(r, m.fit_huber(r.examples, FEATURES, 0.1, 1.5))
 
 
 BIN = lambda f: f"least(9, greatest(0, CAST(floor({f} * 10) AS INT)))"
@@ -273,7 +276,7 @@ def _(r):
 
 @query("MDL18_boosted_stumps_rounds")
 def _(r):
-    found = m.fit_stumps(r.examples, FEATURES, 4, 0.1)
+    found = m.fit_stumps(r.examples, FEATURES, 24, 0.1)
     return r.spark.createDataFrame([(i, *s) for i, s in enumerate(found, 1)], "round int, feature string, split_bin int, left_value double, right_value double")
 
 
@@ -286,7 +289,7 @@ def _(r):
 
 @query("MDL19_pairwise_ranker")
 def _(r):
-    found = m.fit_pairwise(r.examples, FEATURES, 0.01, mirrored=False, steps=5)
+    found = m.fit_pairwise(r.examples, FEATURES, 0.01, mirrored=False)
     return single(r, m.recalibrate(r.examples, FEATURES, *found))
 
 
@@ -302,7 +305,7 @@ def _(r):
 
 @query("MDL20_pairwise_linear")
 def _(r):
-    return single(r, m.fit_pairwise(r.examples, FEATURES, 0.1, mirrored=True, steps=6))
+    return single(r, m.fit_pairwise(r.examples, FEATURES, 0.1, mirrored=True))
 
 
 BALANCED = "(SELECT *, 1.0 / count(*) OVER (PARTITION BY date_trunc('month', formation_date)) AS mw FROM examples)"

@@ -33,6 +33,14 @@ def _(r):
     return r.spark.read.parquet(f"{root}/rows").select("event_id", "security_id", "concept", "period_end", "value")
 
 
+@query("STR01_watermarked_observations", "SELECT DISTINCT event_id, security_id, concept, period_end, value FROM observations", digits="value")
+def _(r):
+    """The bounded form: a key leaves the state once the watermark has passed it."""
+    root = logs.work_dir(r.spark, "dedupe")
+    logs.run_to_end(logs.deduplicated(observations(r), event_time="observed_at", horizon="1 day"), f"{root}/checkpoint", sink=f"{root}/rows")
+    return r.spark.read.parquet(f"{root}/rows").select("event_id", "security_id", "concept", "period_end", "value")
+
+
 @query("STR02_latest_fact_state", f"""
     SELECT security_id, concept, period_end, value, lineage_key FROM observations
     QUALIFY row_number() OVER (PARTITION BY security_id, concept, period_end ORDER BY {OBSERVED} DESC, observed_at DESC, lineage_key DESC) = 1""", digits="value")
@@ -45,11 +53,11 @@ def _(r):
 
 @query("STR03_closed_decisions", f"""
     SELECT d.formation_date, count(*) AS observations, count(DISTINCT o.event_id) AS events FROM (SELECT *, {OBSERVED} AS available_at FROM observations) o
-    JOIN (SELECT *, coalesce(lag(decision_at) OVER (ORDER BY decision_at), TIMESTAMP '1900-01-01 00:00:00') AS prev FROM observation_decisions) d ON available_at > prev AND available_at <= decision_at GROUP BY 1""")
+    JOIN (SELECT *, coalesce(lag(decision_at) OVER (ORDER BY decision_at), TIMESTAMP '-infinity') AS prev FROM observation_decisions) d ON available_at > prev AND available_at <= decision_at GROUP BY 1""")
 def _(r):
     root = logs.work_dir(r.spark, "decisions")
-    rows = observations(r).select("event_id", "security_id", "available_at")
-    logs.run_to_end(rows, f"{root}/checkpoint", batch=logs.close_decisions(f"{root}/rows", r.observation_decisions, "available_at"))
+    rows = observations(r).select("event_id", "security_id", "available_at", "observed_at")
+    logs.run_to_end(rows, f"{root}/checkpoint", batch=logs.close_decisions(f"{root}/rows", r.observation_decisions, "available_at", "observed_at"))
     return r.spark.read.parquet(f"{root}/rows").groupBy("formation_date").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("event_id").alias("events"))
 
 

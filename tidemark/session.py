@@ -23,10 +23,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh temporary one only where none is set."""
+    """The shared folder the cluster names; a fresh temporary one only where none is set on a local master."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not configured and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 

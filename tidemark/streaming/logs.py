@@ -69,22 +69,35 @@ def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
     return latest_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
 
 
-def close_decisions(path: str, decisions: DataFrame, at: str) -> Callable[[DataFrame, int], None]:
-    """Late-data rule (STR03): rows join the first decision they are available for, unless an earlier
-    batch already closed that decision; closed partitions never change."""
+def close_decisions(path: str, decisions: DataFrame, at: str, seen: str, lateness: str = "1 day") -> Callable[[DataFrame, int], None]:
+    """Late-data rule (STR03): rows join the first open decision they are available for.
+
+    A decision closes once the watermark, the largest ``seen`` of earlier batches less ``lateness``,
+    has passed it. Until then batches append to it; a row that arrives for a closed decision goes to
+    the next open one. Rows of a closed decision never change, and no row is dropped before the last
+    decision. The watermark is read from batches before this one, so a replay gives the same rows.
+    """
+    marks = f"{path}-marks"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = with_first_decision(batch, decisions, at).select(*batch.columns, "formation_date").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        known = stored(spark, path, rows).where(F.col("batch_id") < batch_id).select("formation_date").distinct()
-        fresh = rows.join(known, "formation_date", "left_anti")
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        mark = batch.agg(F.max(seen).alias("mark"))
+        passed = stored(spark, marks, mark.withColumn("batch", F.lit(0).cast("long"))).where(F.col("batch") < batch_id)
+        passed = passed.agg((F.max("mark") - F.expr(f"INTERVAL {lateness}")).alias("_passed"))
+        # one row; nothing is closed before the first batch
+        open_at = batch.crossJoin(F.broadcast(passed)).withColumn(
+            "_open", F.greatest(F.col(at), F.col("_passed") + F.expr("INTERVAL 1 MICROSECOND")))
+        rows = with_first_decision(open_at, decisions, "_open").select(*batch.columns, "formation_date").withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        mark.write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
     return write
 
 
 def emit_due_labels(path: str, calendar: str, snapshots: DataFrame, bars: DataFrame, benchmark: DataFrame, horizons: Sequence[int]) -> Callable[[DataFrame, int], None]:
     """A label is emitted once its h-th later session exists, and only once (STR04).
 
-    ``batch`` carries new session dates.
+    ``batch`` carries new session dates. Sessions may arrive in any order; a label that an earlier batch
+    emitted is kept.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
