@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 60_000
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)

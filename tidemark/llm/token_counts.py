@@ -21,11 +21,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .text import CHUNK_BYTES, chunks, distinct, pre_tokens
+from .text import chunks, distinct, pre_tokens
 
 #: Rows of a pre-token are dealt over so many tasks once a block holds it in more than FREQUENT documents.
 SALTS, FREQUENT = 64, 64
-PENDING = 1_000_000
+#: Text of a block, and frequencies held before sums leave a task.
+BLOCK_BYTES, PENDING = 8 << 20, 1_000_000
 
 
 class Pieces:
@@ -64,7 +65,7 @@ def _frequencies(path: str, key: str, salt: str):
         own = pieces(path)
         task, number = TaskContext.get().partitionId(), -1
         for batch in batches:
-            for first, end, joined, offsets in chunks(batch.column(1), 2 * CHUNK_BYTES):
+            for first, end, joined, offsets in chunks(batch.column(1), BLOCK_BYTES):
                 number += 1
                 block = task << 32 | number
                 texts = [joined[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -95,7 +96,7 @@ def _frequencies(path: str, key: str, salt: str):
                     small = flat.max(initial=0) < 1 << 16
                     flat = flat.astype("<u2") if small else flat
                     cuts = np.flatnonzero(np.diff(word, prepend=-1))
-                    ends = np.append(cuts[1:], len(word))
+                    ends = np.append(cuts[1:], len(word))[: len(cuts)]
                     raw, width = flat.tobytes(), 4 if small else 8
                     for k, a, b in zip(word[cuts].tolist(), cuts.tolist(), ends.tolist(), strict=True):
                         tokens.append(names[k])
