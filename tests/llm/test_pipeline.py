@@ -6,19 +6,20 @@ from tidemark.llm import bpe
 from tidemark.llm.tables import cut
 
 SF = "/root/testdata/sf0.001"
+LABELLED = "/root/testdata/sf0.01"
 
 
 def test_stages_against_their_inputs(spark):
     from test_near_duplicates import brute_print
     from test_pii import brute
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
     first, seen = docs.columns, {"documents": docs.toPandas()}
     for name, stage in corpus_pipeline.STAGES:
-        docs = cut(stage(spark, docs, SF))
+        docs = cut(stage(spark, docs, LABELLED))
         assert name == "encode" or docs.columns == first
         seen[name] = docs.toPandas()
-    labels = pq.read_table(f"{SF}/labels.parquet").to_pandas()
+    labels = pq.read_table(f"{LABELLED}/labels.parquet").to_pandas()
     good, bad = set(labels[labels.quality == 1].doc_id), set(labels[labels.quality == 0].doc_id)
     kept = set(seen["quality"].doc_id)
     assert len(good - kept) <= 0.02 * len(good) and len(bad & kept) <= 0.1 * len(bad)
