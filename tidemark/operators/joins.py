@@ -44,26 +44,37 @@ def latest_snapshot_members(snapshots: DataFrame, members: DataFrame, day: Colum
     return members.join(newest, "as_of_date", "left_semi")
 
 
+def counted_rows(rows: DataFrame) -> DataFrame:
+    """Equal rows once, with their number."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as ``_copies`` says."""
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copy", "_copies")
+
+
 def listing_on(rows: DataFrame, listings: DataFrame, day: str) -> DataFrame:
     """Ticker valid on the row's date, falling back to the open listing (JN06).
 
     Two conditional maxima per (row, security) replace a sort: valid listing first, open one second.
     """
-    pairs = rows.join(listings, "security_id", "left")
+    pairs = counted_rows(rows).join(listings, "security_id", "left")
     valid = (F.col("valid_from") <= F.col(day)) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to")))
     current = F.col("valid_to").isNull() & F.col("ticker").isNotNull()
     pick = lambda rule: F.max_by(F.when(rule, F.col("ticker")), F.when(rule, F.col("valid_from")))
-    return pairs.groupBy(*rows.columns).agg(
+    found = pairs.groupBy(*rows.columns, "_copies").agg(
         F.coalesce(pick(valid), pick(current)).alias("ticker"), F.coalesce(F.max(valid), F.lit(False)).alias("valid_on_day"),
     )
+    return repeated(found)
 
 
 def latest_ticker(rows: DataFrame, listings: DataFrame, day: str) -> DataFrame:
     """Latest listing starting on or before the row's date; "Unavailable" when none (JN07)."""
-    pairs = rows.join(listings.select("security_id", "ticker", "valid_from"), "security_id", "left")
+    pairs = counted_rows(rows).join(listings.select("security_id", "ticker", "valid_from"), "security_id", "left")
     started = F.col("valid_from") <= F.col(day)
     pick = F.max_by(F.when(started, F.col("ticker")), F.when(started, F.col("valid_from")))
-    return pairs.groupBy(*rows.columns).agg(F.coalesce(pick, F.lit("Unavailable")).alias("ticker"))
+    return repeated(pairs.groupBy(*rows.columns, "_copies").agg(F.coalesce(pick, F.lit("Unavailable")).alias("ticker")))
 
 
 def next_session(days: DataFrame, sessions: DataFrame, day: str = "day") -> DataFrame:

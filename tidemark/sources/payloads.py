@@ -28,25 +28,29 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
-def required(column: Column, ok: Column, message: str) -> Column:
-    """The column, or a job failure when the check does not hold."""
-    return F.when(ok, column).otherwise(F.raise_error(F.lit(message)).cast("string"))
+def parsed_json(schema: str) -> Column:
+    """The payload under ``schema``; text that does not fit it fails the job."""
+    return F.from_json("value", schema, {"mode": "FAILFAST"})
 
 
 def daily_bars(payloads: DataFrame) -> DataFrame:
     """Bar payloads to one row per bar (SRC01)."""
-    parsed = payloads.select(F.from_json("value", BAR_SCHEMA).alias("p"))
+    parsed = payloads.select(parsed_json(BAR_SCHEMA).alias("p"))
     ok = F.assert_true(F.col("p.bars").isNotNull(), F.lit("bar payload has no symbol groups"))
     groups = parsed.where(ok.isNull()).select(F.explode("p.bars").alias("symbol", "items"))
-    return groups.select(canonical_ticker(F.col("symbol")).alias("ticker"), F.explode("items").alias("b")).select(
+    items = F.coalesce("items", F.raise_error(F.concat(F.lit("bar group is not a list: "), "symbol")))  # a null group fails; an empty one has no rows
+    return groups.select(canonical_ticker(F.col("symbol")).alias("ticker"), F.explode(items).alias("b")).select(
         "ticker", F.to_date(F.to_timestamp("b.t")).alias("session_date"), F.col("b.o").alias("open"), F.col("b.h").alias("high"),
         F.col("b.l").alias("low"), F.col("b.c").alias("close"), F.col("b.v").alias("volume"))
 
 
 def corporate_actions(payloads: DataFrame) -> DataFrame:
     """Action payloads grouped by plural type to one row per action with a symbol (SRC02)."""
-    parsed = payloads.select(F.from_json("value", f"corporate_actions map<string,array<struct<{ACTION_FIELDS.replace(' string', ':string').replace(' date', ':date').replace(' decimal', ':decimal').replace(' struct', ':struct')}>>>").alias("p"))
-    rows = parsed.select(F.explode("p.corporate_actions").alias("group", "items")).select("group", F.explode("items").alias("a"))
+    parsed = payloads.select(parsed_json(f"corporate_actions map<string,array<struct<{ACTION_FIELDS.replace(' string', ':string').replace(' date', ':date').replace(' decimal', ':decimal').replace(' struct', ':struct')}>>>").alias("p"))
+    ok = F.assert_true(F.col("p.corporate_actions").isNotNull(), F.lit("action payload has no groups"))
+    groups = parsed.where(ok.isNull()).select(F.explode("p.corporate_actions").alias("group", "items"))
+    items = F.coalesce("items", F.raise_error(F.concat(F.lit("action group is not a list: "), "group")))  # a null group fails; an empty one has no rows
+    rows = groups.select("group", F.explode(items).alias("a"))
     symbol = F.coalesce("a.symbol", "a.acquirer_symbol", "a.acquiree_symbol", "a.new_symbol", "a.old_symbol")
     ok = F.assert_true(F.col("a.id").isNotNull() & F.col("a.process_date").isNotNull(), F.lit("corporate action lacks id or process date"))
     kept = rows.where(symbol.isNotNull()).where(ok.isNull())
@@ -58,7 +62,7 @@ def corporate_actions(payloads: DataFrame) -> DataFrame:
 
 def company_tickers(payloads: DataFrame) -> DataFrame:
     """``fields`` plus ``data`` rows; the field order is asserted (SRC03)."""
-    parsed = payloads.select(F.from_json("value", "fields array<string>, data array<array<string>>").alias("p"))
+    parsed = payloads.select(parsed_json("fields array<string>, data array<array<string>>").alias("p"))
     expected = F.array(*[F.lit(x) for x in ("cik", "name", "ticker", "exchange")])
     ordered = F.assert_true(F.col("p.fields") == expected, F.lit("unexpected ticker fields"))
     rows = parsed.where(ordered.isNull()).select(F.explode("p.data").alias("d"))
@@ -76,7 +80,7 @@ def with_mic(rows: DataFrame) -> DataFrame:
 def submissions(payloads: DataFrame, nested: bool) -> DataFrame:
     """Parallel filing arrays zipped strictly; current files nest them, history files do not (SRC05)."""
     schema = f"filings struct<recent:struct<{FILING_COLUMNS.replace(' array', ':array')}>>" if nested else FILING_COLUMNS
-    parsed = payloads.select(F.from_json("value", schema).alias("p"))
+    parsed = payloads.select(parsed_json(schema).alias("p"))
     root = "p.filings.recent" if nested else "p"
     names = ("form", "accessionNumber", "filingDate", "acceptanceDateTime", "reportDate")
     columns = parsed.select(*[F.col(f"{root}.{n}").alias(n) for n in names])
@@ -105,12 +109,13 @@ def daily_master_index(payloads: DataFrame) -> DataFrame:
 
 def company_facts(payloads: DataFrame, filings: DataFrame) -> DataFrame:
     """taxonomy -> concept -> unit -> observations, kept for stored accessions with an end date (SRC07)."""
-    parsed = payloads.select(F.from_json("value", FACT_SCHEMA).alias("p"))
+    parsed = payloads.select(parsed_json(FACT_SCHEMA).alias("p"))
     ok = F.assert_true(F.col("p.facts").isNotNull(), F.lit("company facts payload has no facts"))
     taxonomies = parsed.where(ok.isNull()).select(F.explode("p.facts").alias("taxonomy", "concepts"))
     concepts = taxonomies.select("taxonomy", F.explode("concepts").alias("concept", "definition"))
     units = concepts.select("taxonomy", "concept", F.explode("definition.units").alias("unit", "items"))
-    rows = units.select("taxonomy", "concept", "unit", F.explode("items").alias("o")).where(F.length("o.end") > 0)
+    items = F.coalesce("items", F.raise_error(F.concat(F.lit("fact unit is not a list: "), "unit")))  # a null group fails; an empty one has no rows
+    rows = units.select("taxonomy", "concept", "unit", F.explode(items).alias("o")).where(F.length("o.end") > 0)
     period = F.col("o.fp")
     facts = rows.select(
         F.col("o.accn").alias("accession"), "taxonomy", "concept", "unit", F.col("o.val").alias("value"), F.to_date(F.nullif("o.start", F.lit(""))).alias("period_start"),

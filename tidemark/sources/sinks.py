@@ -31,19 +31,29 @@ def export_dataset(rows: DataFrame, path: str, partition: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path).groupBy(partition).agg(F.count(F.lit(1)).alias("rows_count"))
 
 
-def upsert_bars(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], *, skip_existing: bool) -> DataFrame:
-    """Bars after an upsert: keep the stored row, or let the last write win and keep an old receipt (SNK01)."""
+def upsert_bars(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], *, skip_existing: bool, sequence: str | None = None) -> DataFrame:
+    """Bars after an upsert: keep the stored row, or let the last write win and keep an old receipt (SNK01).
+
+    Of several incoming bars of a key the one with the largest ``sequence``, a column of ``incoming``
+    that is not stored, is the last write; without one, the largest values.
+    """
+    if sequence:
+        ranked = incoming.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(sequence).desc())))
+        incoming = ranked.where("_at = 1").select(*stored.columns)
     if skip_existing:
         return stored.unionByName(incoming.join(stored.select(*keys), list(keys), "left_anti"))
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     values = [c for c in stored.columns if c not in keys and c != "receipt_id"]
-    merged = both.groupBy(*keys).agg(F.max_by(F.struct(*values), "_new").alias("v"), F.max_by("receipt_id", F.when(F.col("receipt_id").isNotNull(), F.col("_new"))).alias("receipt_id"))
+    merged = both.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("_new", *values)).alias("v"),
+        F.max_by("receipt_id", F.when(F.col("receipt_id").isNotNull(), F.struct("_new", "receipt_id"))).alias("receipt_id"))
     return merged.select(*keys, "v.*", "receipt_id")
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not stored yet, first copy only (SNK02, SNK08)."""
-    return incoming.join(stored.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
+    """Rows whose key is not stored yet, one copy of each: the smallest in all columns (SNK02, SNK08)."""
+    fresh = incoming.join(stored.select(*keys), list(keys), "left_anti")
+    first = Window.partitionBy(*keys).orderBy(*incoming.columns)
+    return fresh.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
 
 
 def upsert_filings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
