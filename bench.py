@@ -16,7 +16,7 @@ HEADLINE = (
     "WIN02_momentum_12_1", "WIN11_idiosyncratic_volatility_60d", "JN01_fact_as_of", "JN03_as_of_sweep", "JN23_bar_reconciliation",
     "RNK01_sector_percentile", "RNK07_equal_weight_composite", "RNK09_linear_model_scores", "LBL01_forward_return", "LBL02_wealth_return",
     "FND08_true_ttm", "FND11_split_adjustment_factor", "MDL15_ridge", "MDL25_out_of_fold_predictions", "EVL01_rank_ic", "MON05_feature_health",
-    "PRT02_rebalance_ledger", "SRC01_daily_bar_payloads", "RNK16_score_run",
+    "PRT02_rebalance_ledger", "SRC01_daily_bar_payloads", "RNK16_score_run", "SRV01_dated_scores",
 )
 
 
