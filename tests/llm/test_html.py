@@ -63,6 +63,13 @@ def test_parts_outside_the_article():
     assert lines(source) == ["T", "one", "two <b>", "q"]
 
 
+def test_comments_as_articles_and_named_parts():
+    source = """<body class="has-sidebar"><div id="site-header">H</div><article class="post"><header>by</header><p>own</p></article>
+        <section class="comments"><article class="comment"><p>one</p></article><article><p>two</p></article></section><article class="comment">three</article></body>"""
+    assert lines(source) == ["by", "own"]
+    assert lines("<nav>x<main><p>kept</p></main><nav>y</nav>") == ["kept"]
+
+
 def test_broken_markup():
     assert lines("<div class='ad'>never closed<article><p>kept</article>") == ["kept"]
     assert lines("<p><b>bold<p>next<br>more<table><tr><td>a<td>b</table>") == ["bold", "next", "more", "a", "b"]

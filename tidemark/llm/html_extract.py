@@ -36,6 +36,7 @@ _OUTSIDE = frozenset("nav aside footer form dialog menu button label fieldset he
 _NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright complementary contentinfo".split())
 #: Words of class, id and role names that mark the article.
 _MAIN = frozenset("article main articlebody".split())
+_HEADER = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:header|banner)\b", re.I)
 _WHITE = re.compile(r"[\s]+")
 
 
@@ -64,8 +65,8 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     lines: list[tuple[str, bool]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it starts a part outside, whether it starts an article
-    outside = inside = 0
-    done = 0
+    outside = inside = done = 0
+    seen = False
 
     def flush() -> None:
         if held:
@@ -104,12 +105,13 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             continue
         if m.group(4).endswith("/") and name not in _BLOCK:
             continue
-        out, main = _marks(m.group(4)) if m.group(4) else (False, False)
-        main |= name in ("article", "main")
-        out = not main and (out or name in _OUTSIDE or name == "header" and not inside)
-        if main and outside:  # an article inside a part that was never closed
+        out, main = _marks(m.group(4)) if m.group(4) and name not in ("html", "body") else (False, False)
+        main = name == "main" or not out and (main or name == "article")  # a comment may be an article element too
+        out = not main and (out or name in _OUTSIDE or not inside and (name == "header" or bool(_HEADER.search(m.group(4) or ""))))
+        if main and outside and not seen:  # the first article, inside a part that was never closed
             while outside:
                 pop()
+        seen |= main and not outside
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these close the one before
             for d in range(len(stack) - 1, -1, -1):
                 if stack[d][0] == name:
@@ -120,6 +122,7 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
                     break
         if out and not outside:
             flush()
+        main = main and not outside
         stack.append((name, out, main))
         outside += out
         inside += main
