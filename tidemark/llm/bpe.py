@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .text import chunks, distinct, mixed, packed, pre_tokens, spread
 
 #: Pre-tokens in each of the two generations of a worker's memory.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -231,7 +231,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path)
         for batch in batches:
-            for first, end, joined, offsets in chunks(batch.column(1), 2 << 20):
+            for first, end, joined, offsets in chunks(batch.column(1)):
                 ids, counts = own.encode(joined, offsets)
                 back, sizes = own.decode(ids, counts)
                 yield pa.RecordBatch.from_arrays(
