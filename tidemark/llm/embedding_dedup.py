@@ -147,7 +147,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
         own = distinct.filter(F.col("dim") == size)
         rows = own.count()
         half = size // 2
-        points = _unit(sample(own, "node", SAMPLE)) if rows else np.zeros((0, size))
+        points = _unit(sample(own, "node", SAMPLE)[1]) if rows else np.zeros((0, size))
         if not len(points):  # the draw found none of few rows
             points = _unit(block(pa.array([r["vec"] for r in own.select("vec").limit(1).collect()], pa.binary()), size))
         # about 32 rows of a label in a cell, of 64 labels or so

@@ -135,14 +135,23 @@ def _hashed(index: Index):
     return run
 
 
-def _probes(index: Index):
+def _probes(index: Index, known, k: int):
+    """Buckets of each query, and its distance to the k-th nearest row of the sample: no farther row is among its k nearest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, points = known.value
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
-                found = np.concatenate(list(index.probed(block(part.column("vec"), index.a.shape[2]))), 1)
+                x, own = block(part.column("vec"), index.a.shape[2]), part.column("id").to_numpy()
+                found = np.concatenate(list(index.probed(x)), 1)
+                bound = np.full(len(x), np.inf)
+                for i in range(len(x)):
+                    gap = np.sqrt(((points[ids != own[i]] - x[i]) ** 2).sum(1))
+                    if len(gap) >= k:
+                        bound[i] = np.partition(gap, k - 1)[k - 1]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("vec"), pa.array([np.unique(f) for f in found], pa.list_(pa.int64()))], ["id", "vec", "buckets"])
+                    [part.column("id"), part.column("vec"), pa.array([np.unique(f) for f in found], pa.list_(pa.int64())), pa.array(bound)], ["id", "vec", "buckets", "bound"])
 
     return run
 
@@ -172,6 +181,9 @@ def _searched(k: int, dim: int):
     def run(rows: pa.Table) -> pa.Table:
         is_query = rows.column("query").to_numpy(zero_copy_only=False).astype(bool)
         ids, vectors = rows.column("id").to_numpy(), block(rows.column("vec"), dim)
+        bounds: dict[int, float] = {}
+        for i, bound in zip(ids[is_query].tolist(), rows.column("bound").to_numpy(zero_copy_only=False)[is_query].tolist(), strict=True):
+            bounds[i] = max(bound, bounds.get(i, 0.0))
         cell = np.unique(np.stack([rows.column(c).to_numpy() for c in ("bucket", "part", "lot")], 1), axis=0, return_inverse=True)[1].ravel()
         order = np.argsort(cell, kind="stable")
         found = []
@@ -180,7 +192,9 @@ def _searched(k: int, dim: int):
             if len(asks) and len(has):
                 found.append(nearest(vectors[asks], ids[asks], vectors[has], ids[has], k))
         q, v, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
-        if len(q):  # of what the buckets of this group found, each query's k nearest
+        if len(q):  # of what the buckets of this group found, each query's k nearest within its bound
+            near = s <= np.array([bounds[i] for i in q.tolist()]) * (1 + 1e-12)
+            q, v, s = q[near], v[near], s[near]
             order = np.lexsort((v, s, q))
             q, v, s = q[order], v[order], s[order]
             fresh = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))
@@ -200,25 +214,29 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", embedding: str = "e
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no
     part; neither do rows with a null key. Equal vectors are candidates each; rows that repeat a key and a
     vector count once, and a key with several vectors is found by its nearest.
+    A task returns no row farther than the query's k-th nearest in the sample, which bounds its true k-th distance.
     Large buckets are cut into blocks by hash of the key, so that a task compares at most BLOCK rows with
     QUERY_BLOCK queries. Where the tables hold fewer than ``k`` candidates, the query's blocks over the whole
     table are searched, so that no query returns fewer than it could.
     """
     spark = vectors.sparkSession
     table = cut(packed(vectors.filter(F.col(key).isNotNull()), {"id": F.col(key).cast("long"), "query": F.coalesce(queries, F.lit(False))}, embedding).distinct())
-    points = sample(table, "id", SAMPLE)
+    ids, points = sample(table, "id", SAMPLE)
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
     if not len(points):
         return empty
     table = table.filter(F.col("dim") == points.shape[1])
     index = fit_index(points, k)
     stored = table.select("id", "vec").mapInArrow(_hashed(index), "id long, vec binary, buckets array<long>").select("id", "vec", F.explode("buckets").alias("bucket"))
-    asked = cut(table.filter("query").select("id", "vec").mapInArrow(_probes(index), "id long, vec binary, buckets array<long>")).select("id", "vec", F.explode("buckets").alias("bucket"))
+    single = np.unique(ids, return_index=True)[1]
+    known = spark.sparkContext.broadcast((ids[single], points[single]))  # the sample, about SAMPLE vectors
+    asked = cut(table.filter("query").select("id", "vec").mapInArrow(_probes(index, known, k), "id long, vec binary, buckets array<long>, bound double"))
+    asked = asked.select("id", "vec", "bound", F.explode("buckets").alias("bucket"))
     best = _blocks(stored, asked, k, points.shape[1])
     short = asked.select("id").distinct().join(best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(f"n is null or n < {k}").select("id")
     short = cut(short)
     if short.head(1):
-        rest = table.filter("query").join(short, "id", "left_semi").select("id", "vec", F.lit(0).cast("long").alias("bucket"))
+        rest = table.filter("query").join(short, "id", "left_semi").select("id", "vec", F.lit(float("inf")).alias("bound"), F.lit(0).cast("long").alias("bucket"))
         every = _blocks(table.select("id", "vec", F.lit(0).cast("long").alias("bucket")), rest, k, points.shape[1])
         best = best.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(every)
     return best.select("query_id", "rank", "id", "score")
@@ -231,9 +249,9 @@ def _blocks(stored: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
         "bucket", "n_stored", "n_asked", F.ceil(F.col("n_stored") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("n_asked") / QUERY_BLOCK).cast("int").alias("lots")))
     own = counts.select("bucket", "parts", "lots")
     rows = stored.join(own, "bucket").select(
-        "bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"), "id", "vec")
+        "bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"), "id", "vec", F.lit(0.0).alias("bound"))
     seekers = asked.join(own, "bucket").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"), F.lit(True).alias("query"), "id", "vec")
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"), F.lit(True).alias("query"), "id", "vec", "bound")
     # blocks of small buckets share a group; a group holds about BLOCK rows, at most a few blocks more
     total = counts.agg(F.sum(F.col("n_stored") * F.col("lots") + F.col("n_asked") * F.col("parts"))).first()[0] or 0
     group = F.pmod(F.xxhash64("bucket", "part", "lot"), F.lit(max(1, total // BLOCK)))

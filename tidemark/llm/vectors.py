@@ -43,14 +43,15 @@ def packed(vectors: DataFrame, names: dict[str, object], embedding: str = "embed
     return picked.mapInArrow(run, schema)
 
 
-def sample(packed_: DataFrame, key: str, most: int) -> np.ndarray:
-    """About ``most`` vectors, drawn by hash of ``key``; the vectors of the most frequent length only."""
+def sample(packed_: DataFrame, key: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of about ``most`` rows, drawn by hash of ``key``; the vectors of the most frequent length only."""
     sizes = packed_.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
-        return np.zeros((0, 0))
+        return np.zeros(0, np.int64), np.zeros((0, 0))
     draw = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     rows = packed_.filter((F.col("dim") == sizes["dim"]) & (draw < most / sizes["n"])).select(key, "vec").collect()
-    return block(pa.array([r["vec"] for r in sorted(rows, key=lambda r: (r[key], r["vec"]))], pa.binary()), sizes["dim"])
+    rows.sort(key=lambda r: (r[key], r["vec"]))
+    return np.array([r[key] for r in rows], np.int64), block(pa.array([r["vec"] for r in rows], pa.binary()), sizes["dim"])
 
 
 def means(points: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
