@@ -84,3 +84,15 @@ def test_mirrored_articles_stay():
     own = [html_extract._hash(t) for t in ("a", "b")]
     assert html_extract.kept_lines(["a", "b"], [True, True], np.array(own), [np.array(own)]) == ["a", "b"]
     assert html_extract.kept_lines(["a", "b"], [False, False], np.array(own), [np.array([own[0], 5])]) == ["b"]
+
+
+def articled(i):
+    return f"<body><article><h1>Title {i}</h1><p>Share this page</p><p>{'A quoted passage' if 3 <= i <= 5 else f'Lone {i}'}</p><p>Own text {i}</p></article><div>Read more</div><div>Lede {i}</div></body>"
+
+
+def test_pages_with_articles_are_differenced(spark):
+    rows = [(i, f"http://a.org/{i}", articled(i)) for i in range(1, 10)] + [(20, "http://b.org/", articled(20))]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # on every page of the host, inside the article too: template; shared by both neighbours of page 4 but on three of nine pages: own text
+    assert got[4] == "Title 4 A quoted passage Own text 4 Lede 4" and got[2] == "Title 2 Lone 2 Own text 2 Lede 2"
+    assert got[20] == "Title 20 Share this page Lone 20 Own text 20"  # no neighbour: markup alone

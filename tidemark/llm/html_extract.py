@@ -2,10 +2,10 @@
 
 A page's blocks of text become lines. Pages of a host are put in the order of their URL paths, so that
 the pages before and behind a page are its nearest by path. The lines of neighbouring pages are aligned
-by a longest common subsequence, and lines they share are template: they are deleted. Markup says where
-that would be wrong or is not needed: elements for navigation, headers, footers, asides, forms, notices,
-adverts and comments are dropped at once, and the lines of a page's article element are its own text even
-where another page repeats them, such as a mirrored article or a quoted passage.
+by a longest common subsequence, and lines they share are template: they are deleted. Markup is evidence
+beside that: elements for navigation, headers, footers, asides, forms, notices, adverts and comments are
+dropped at once, and a line of a page's article element is deleted only where both neighbours share it and
+most different pages of the host carry it, so that mirrored articles and quoted passages stay.
 """
 
 from __future__ import annotations
@@ -188,42 +188,56 @@ def _parsed(names: list[str]):
     return run
 
 
-def kept_lines(lines: list[str], own: list[bool], marks: np.ndarray, neighbours: list[np.ndarray]) -> list[str]:
-    """Lines in the article where there is one; else those that no neighbour shares.
+def kept_lines(lines: list, own: list[bool], marks: np.ndarray, neighbours: list[np.ndarray], template: frozenset[int] = frozenset()) -> list:
+    """Lines that no neighbour shares, and lines of the article but those of ``template`` that both neighbours share.
 
     A neighbour whose lines are all in this page or that has all of this page's lines is a copy of it and
-    says nothing about the template.
+    says nothing about the template. Where no neighbour says anything, the article stays, or all lines where there is none.
     """
-    if any(own):
-        return [t for t, k in zip(lines, own, strict=True) if k]
-    shared = np.zeros(len(lines), bool)
+    times, compared = np.zeros(len(lines), np.int64), False
     for other in neighbours:
-        if len(other) and len(marks):
-            at = common(marks, other)
-            if len(at) < min(len(marks), len(other)):
-                shared[at] = True
-    return [t for t, s in zip(lines, shared, strict=True) if not s]
-
-
-def _differenced(names: list[str]):
-    k = len(names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                texts = []
-                for lines, own, marks, before, behind in zip(*(part.column(k + i).to_pylist() for i in range(5)), strict=True):
-                    texts.append(" ".join(kept_lines(lines, own, np.array(marks, np.int64), [np.array(x or [], np.int64) for x in (before, behind)])))
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.string())], [*names, "text"])
-
-    return run
-
-
-def _sides(parsed: DataFrame) -> DataFrame:
-    """(host, content, before, behind): the line hashes of the two nearest different pages of each different page."""
-    spark = parsed.sparkSession
-    different = parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.min("marks").alias("marks"))
+        at = common(marks, other)
+        if len(at) < min(len(marks), len(other)):
+            times[at] += 1
+            compared = True
+    article = np.array(own, bool)
+    gone = np.where(article, (times > 1) & np.isin(marks, list(template)), times > 0)
+    if article.any() and not compared:
+        gone |= ~article
+    return [t for t, g in zip(lines, gone, strict=True) if not g]
+
+
+def contained(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the shorter of two pages is a subsequence of the other."""
+    few, rest = (a, b) if len(a) <= len(b) else (b, a)
+    rest = iter(rest.tolist())
+    return all(x in rest for x in few.tolist())
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, side, step, marks, other) to (place, side, step, copy, other)."""
+    for batch in batches:
+        copy = [contained(np.array(a, np.int64), np.array(b, np.int64)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(copy, pa.bool_()), batch.column(4)], ["place", "side", "step", "copy", "other"])
+
+
+def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions of the lines that stay, for pages where these are not just the article or, without one, all lines."""
+    for batch in batches:
+        hosts, contents, kept = [], [], []
+        for host, content, marks, own, before, behind, template in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            usual = [i for i, k in enumerate(own) if k] if any(own) else list(range(len(own)))
+            stay = kept_lines(list(range(len(own))), own, np.array(marks, np.int64), [np.array(x or [], np.int64) for x in (before, behind)], frozenset(template or ()))
+            if stay != usual:
+                hosts.append(host)
+                contents.append(content)
+                kept.append(stay)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(kept, pa.list_(pa.int32()))], ["host", "content", "kept"])
+
+
+def _placed(different: DataFrame) -> DataFrame:
+    """``different`` with ``place``, its number in the order of host, path and content."""
+    spark = different.sparkSession
     order = ["host", "path", "content"]
     ranged = cut(different.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()))
     part = F.shiftright("id", 33)
@@ -233,36 +247,47 @@ def _sides(parsed: DataFrame) -> DataFrame:
         offsets.append((p, at))
         at += sizes[p]
     base = spark.createDataFrame(offsets, "p long, base long")
-    placed = ranged.join(F.broadcast(base), part == F.col("p")).select(
-        "host", "content", "marks", (F.col("base") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("place"))
-    lent = placed.select(F.explode(F.array(
-        F.struct((F.col("place") + 1).alias("to"), F.lit(True).alias("earlier"), F.col("host").alias("of"), "marks"),
-        F.struct((F.col("place") - 1).alias("to"), F.lit(False).alias("earlier"), F.col("host").alias("of"), "marks"))).alias("w")).select("w.*")
-    met = placed.join(lent, (F.col("place") == F.col("to")) & (F.col("host") == F.col("of"))).select("host", "content", "earlier", lent["marks"].alias("lines_of"))
-    return met.groupBy("host", "content").agg(
-        F.max(F.when(F.col("earlier"), F.col("lines_of"))).alias("before"), F.max(F.when(~F.col("earlier"), F.col("lines_of"))).alias("behind"))
+    return ranged.join(F.broadcast(base), part == F.col("p")).select(
+        "host", "content", "marks", "own", (F.col("base") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("place"))
+
+
+def _sides(placed: DataFrame) -> DataFrame:
+    """(place, before, behind): line hashes of the next page on each side, if it is no copy, contained or containing."""
+    lent = placed.select(F.col("place").alias("of"), F.col("host").alias("of_host"), F.col("marks").alias("other"))
+    ask = placed.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    steps = ask.select("place", "side", "host", "marks", F.lit(1).alias("step"))
+    pairs = steps.join(lent, (F.col("place") + F.col("side") * F.col("step") == F.col("of")) & (F.col("host") == F.col("of_host")))
+    every = pairs.select("place", "side", "step", "marks", "other").mapInArrow(_met, "place long, side int, step int, copy boolean, other array<long>").filter("not copy")
+    return every.groupBy("place").agg(F.max(F.when(F.col("side") < 0, F.col("other"))).alias("before"), F.max(F.when(F.col("side") > 0, F.col("other"))).alias("behind"))
+
+
+def _template(placed: DataFrame) -> DataFrame:
+    """(host, template): line hashes on more than half of the different pages of a host; at most twice as many as a page has on average."""
+    counts = placed.select("host", F.explode(F.array_distinct("marks")).alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).filter("n > 2")
+    hosts = cut(placed.groupBy("host").agg(F.count("*").alias("pages")).filter("pages > 2"))
+    return cut(counts.join(hosts, "host").filter("2 * n > pages").groupBy("host").agg(F.collect_list("mark").alias("template")))
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, text) of every row of ``pages``: the whole article, blocks joined by one space.
 
     A null or empty page has an empty text; pages without a URL or host form one host; null and repeated
-    keys pass through, one row each; a page that is the only different one of its host keeps all lines
-    that markup leaves. The different pages of a host are ordered by path over all tasks at once, so a
-    large host fills no task; each meets its two neighbours by its place in that order. Pages are parsed
-    once, and only hashes of lines move to neighbours.
+    keys pass through, one row each; a page that is the only different one of its host keeps its article, or all
+    lines that markup leaves. The different pages of a host are ordered by path over all tasks at once, so a
+    large host fills no task; each page, with an article element or without, meets its two neighbours by its
+    place in that order. Pages are parsed once, and only hashes of lines move to neighbours.
     """
     # the scheme and "www." do not tell hosts apart; fragment and query end the path
     address = F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(www\.)?", "")
     host, path = F.regexp_extract(address, r"^([^/?#]*)", 1), F.regexp_extract(address, r"^[^/?#]*([^?#]*)", 1)
     named = pages.select(F.col(key).alias("key"), "url", host.alias("host"), path.alias("path"), "html")
     schema = StructType([*named.schema.fields[:4], StructField("lines", ArrayType(StringType())), StructField("own", ArrayType(BooleanType())), StructField("marks", ArrayType(LongType()))])
-    parsed = cut(named.mapInArrow(_parsed(["key", "url", "host", "path"]), schema).withColumn("content", F.xxhash64("marks")))
-    sides = _sides(parsed).withColumnRenamed("host", "_host").withColumnRenamed("content", "_content")
-    article = F.exists("own", lambda k: k)
-    columns = ("key", "url", "lines", "own", "marks", "before", "behind")
-    none = F.lit(None).cast("array<long>")
-    alone = parsed.filter(article).withColumn("before", none).withColumn("behind", none).select(*columns)
-    compared = parsed.filter(~article).join(sides, (F.col("host") == F.col("_host")) & (F.col("content") == F.col("_content")), "left").select(*columns)
-    texts = alone.unionAll(compared).mapInArrow(_differenced(["key", "url"]), StructType([*named.schema.fields[:2], StructField("text", StringType())]))
-    return texts.withColumnRenamed("key", key)
+    parsed = cut(named.mapInArrow(_parsed(["key", "url", "host", "path"]), schema).withColumn("content", F.xxhash64("marks", "own")))
+    placed = cut(_placed(parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.min("marks").alias("marks"), F.min("own").alias("own"))))
+    compared = placed.join(_sides(placed), "place", "left").join(_template(placed), "host", "left").select("host", "content", "marks", "own", "before", "behind", "template")
+    # written, so that its size is known: where markup and neighbours agree on nearly all pages, no text moves
+    changed = cut(compared.mapInArrow(_differenced, "host string, content long, kept array<int>")).select(F.col("host").alias("_host"), F.col("content").alias("_content"), "kept")
+    usual = F.when(F.exists("own", lambda k: k), F.filter("lines", lambda t, i: F.element_at("own", i + 1))).otherwise(F.col("lines"))
+    kept = F.when(F.col("kept").isNull(), usual).otherwise(F.transform("kept", lambda i: F.element_at("lines", i + 1)))
+    joined = parsed.join(changed, (F.col("host") == F.col("_host")) & (F.col("content") == F.col("_content")), "left")
+    return joined.select(F.col("key").alias(key), "url", F.array_join(kept, " ").alias("text"))
