@@ -96,3 +96,11 @@ def test_pages_with_articles_are_differenced(spark):
     # on every page of the host, inside the article too: template; shared by both neighbours of page 4 but on three of nine pages: own text
     assert got[4] == "Title 4 A quoted passage Own text 4 Lede 4" and got[2] == "Title 2 Lone 2 Own text 2 Lede 2"
     assert got[20] == "Title 20 Share this page Lone 20 Own text 20"  # no neighbour: markup alone
+
+
+def test_elements_without_an_end_tag_take_no_more_than_their_block():
+    assert lines("<p>one <svg class='i' viewBox='0 0 1 1'/> two</p><p>three</p>") == ["one two", "three"]
+    assert lines("<p>a<title-bar x=1>b</title-bar></p><object-view>c</object-view><p>d</p>") == ["ab", "c", "d"]
+    assert lines("<div><svg><title>icon</title><path d=''></div><p>kept</p>") == ["kept"]
+    assert lines("<div><select><option>x<option>y</div><p>kept</p><div><template><p>no</p></div><object>o<p>q</p></object><canvas>c</canvas><p>more</p>") == ["kept", "more"]
+    assert lines("<p>on<svg><path/></svg>ly <canvas>x</canvas>one line</p>") == ["only one line"]

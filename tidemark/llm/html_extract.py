@@ -24,14 +24,16 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 from .tables import cut
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|object|svg|canvas|select|title)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Fixed vocabulary of HTML: elements that end a block, and elements that hold no article text.
 _BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OUTSIDE = frozenset("nav aside footer form dialog menu button label fieldset head".split())
+_OUTSIDE = frozenset("nav aside footer form dialog menu button label fieldset head object svg canvas select template".split())
+#: Elements outside the article that stand within a line and do not end it.
+_WITHIN = frozenset("object svg canvas select template".split())
 #: Words of class, id and role names that mark parts outside the article.
 _NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright complementary contentinfo".split())
 #: Words of class, id and role names that mark the article.
@@ -97,7 +99,7 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             # an inline end tag does not close the blocks around it
             if depth >= 0 and (name in _BLOCK or name in _OUTSIDE or not any(s[0] in _BLOCK for s in stack[depth + 1:])):
                 if name not in _BLOCK:
-                    flush_needed = any(s[1] for s in stack[depth:])
+                    flush_needed = any(s[1] and s[0] not in _WITHIN for s in stack[depth:])
                     if flush_needed:
                         flush()
                 while len(stack) > depth:
@@ -120,7 +122,7 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
                     break
                 if stack[d][0] in _BLOCK and stack[d][0] != "p":
                     break
-        if out and not outside:
+        if out and not outside and name not in _WITHIN:
             flush()
         main = main and not outside
         stack.append((name, out, main))
