@@ -104,3 +104,13 @@ def test_elements_without_an_end_tag_take_no_more_than_their_block():
     assert lines("<div><svg><title>icon</title><path d=''></div><p>kept</p>") == ["kept"]
     assert lines("<div><select><option>x<option>y</div><p>kept</p><div><template><p>no</p></div><object>o<p>q</p></object><canvas>c</canvas><p>more</p>") == ["kept", "more"]
     assert lines("<p>on<svg><path/></svg>ly <canvas>x</canvas>one line</p>") == ["only one line"]
+
+
+def test_a_page_between_stubs_meets_the_next_different_page(spark):
+    top, foot = "<div>Site name</div><p>Home | News</p>", "<p>All rights reserved</p>"
+    texts = [(1, "<p>Own one</p>"), (2, None), (3, ""), (4, "<p>Own four</p>"), (5, ""), (6, None), (7, "<p>Own seven</p>")]
+    # pages 2, 3, 5 and 6 hold only template lines, in four different ways
+    stubs = {2: top, 3: foot, 5: "<div>Site name</div>" + foot, 6: "<p>Home | News</p>"}
+    rows = [(i, f"http://a.org/{i}", f"<body>{stubs[i]}</body>" if i in stubs else f"<body>{top}{t}{foot}</body>") for i, t in texts]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Own one" and got[4] == "Own four" and got[7] == "Own seven"

@@ -254,12 +254,25 @@ def _placed(different: DataFrame) -> DataFrame:
 
 
 def _sides(placed: DataFrame) -> DataFrame:
-    """(place, before, behind): line hashes of the next page on each side, if it is no copy, contained or containing."""
+    """(place, before, behind): line hashes of the nearest page on each side that is no copy, contained or containing.
+
+    Pages that met only copies ask on for as many places again as before, until each has met another or the end of its host.
+    """
     lent = placed.select(F.col("place").alias("of"), F.col("host").alias("of_host"), F.col("marks").alias("other"))
     ask = placed.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
-    steps = ask.select("place", "side", "host", "marks", F.lit(1).alias("step"))
-    pairs = steps.join(lent, (F.col("place") + F.col("side") * F.col("step") == F.col("of")) & (F.col("host") == F.col("of_host")))
-    every = pairs.select("place", "side", "step", "marks", "other").mapInArrow(_met, "place long, side int, step int, copy boolean, other array<long>").filter("not copy")
+    found, first, n = [], 1, 1
+    while True:
+        steps = ask.select("place", "side", "host", "marks", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))).alias("step"))
+        pairs = steps.join(lent, (F.col("place") + F.col("side") * F.col("step") == F.col("of")) & (F.col("host") == F.col("of_host")))
+        met = cut(pairs.select("place", "side", "step", "marks", "other").mapInArrow(_met, "place long, side int, step int, copy boolean, other array<long>"))
+        found.append(met.filter("not copy").groupBy("place", "side").agg(F.min_by("other", "step").alias("other")))
+        left = cut(met.groupBy("place", "side").agg(F.count("*").alias("n"), F.every("copy").alias("copies")).filter((F.col("n") == n) & F.col("copies")).select("place", "side"))
+        if not left.head(1):
+            break
+        ask, first, n = placed.join(left, "place"), first + n, first + n
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
     return every.groupBy("place").agg(F.max(F.when(F.col("side") < 0, F.col("other"))).alias("before"), F.max(F.when(F.col("side") > 0, F.col("other"))).alias("behind"))
 
 
