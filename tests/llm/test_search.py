@@ -51,3 +51,32 @@ def test_odd_vectors(spark):
     assert got[["query_id", "id"]].values.tolist() == [[0, 1], [0, 100], [100, 0], [100, 1]]
     assert neighbours.search(frame.filter("false"), F.lit(True)).count() == 0
     assert neighbours.search(frame.filter("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def grouped(n):
+    """A tight group of a third of the rows with the lowest ids, then rows spread wide."""
+    rng = np.random.default_rng(7)
+    near = rng.normal(0, 0.01, (n // 3, 16))
+    return np.concatenate([near, rng.normal(0, 1, (n - n // 3, 16))])
+
+
+def recall(x, queries, found, k=10):
+    hits = 0
+    for q in queries:
+        gap = ((x - x[q]) ** 2).sum(1)
+        gap[q] = np.inf
+        hits += len(set(np.argsort(gap, kind="stable")[:k].tolist()) & set(found[q]))
+    return hits / k / len(queries)
+
+
+def test_buckets_alone_reach_the_recall_on_tables_of_many_samples():
+    x = grouped(30_000)
+    ids = np.arange(len(x))
+    drawn = np.random.default_rng(1).permutation(len(x))[:512]  # one row in some sixty
+    index = neighbours.fit_index(x[drawn])
+    names = np.stack([neighbours.Index.names(t, np.floor(p).astype(np.int64)) for t, p in enumerate(index.slots(x))])
+    for queries in (ids[:10_000:250], ids[10_000::500]):
+        probed = index.probed(x[queries], neighbours.bounds(x[queries], queries, x[drawn], ids[drawn], 10))
+        sure = [(q, p) for q, p in zip(queries.tolist(), probed) if len(p)]
+        found = {q: np.flatnonzero(np.isin(names, p).any(0)).tolist() for q, p in sure}
+        assert len(sure) >= len(queries) / 2 and recall(x, list(found), found) >= 0.95

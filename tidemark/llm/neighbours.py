@@ -2,13 +2,16 @@
 
 Each of TABLES tables hashes a vector by several random projections, h = floor((a x + b) / w), and its
 bucket is the tuple of these. A query visits its own bucket and perturbed ones (some h moved by one),
-in the order of their estimated success: the sum of the squared distances to the boundaries crossed.
+in the order of their estimated success: the sum of the squared distances to the boundaries crossed. It
+visits as many as hold a row at the distance of its k-th nearest with probability RECALL, by its own place
+in its slots; a query that no list of buckets brings there is compared with the whole table.
 Candidates of all tables are merged and reranked by exact distance in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,8 +27,9 @@ from .vectors import block, packed, sample
 TABLES, HASHES = 4, 12
 #: Slot width over the spread of the vectors, and the longest list of buckets that a query may visit in a table.
 WIDTH, LIST = 3.0, 4096
-#: Vectors of the sample that sets the probes, recall they must reach there, and rows of a block of a bucket.
-SAMPLE, RECALL, BLOCK = 4096, 0.96, 2048
+#: Most vectors of the sample that bounds distances, rows of the table for each of them at least, recall that each
+#: query's buckets must reach, and rows of a block of a bucket.
+SAMPLE, SHARE, RECALL, BLOCK = 4096, 8, 0.96, 2048
 QUERY_BLOCK = 512
 
 
@@ -57,12 +61,11 @@ def perturbations(hashes: int, most: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Projections (tables, hashes, dim), offsets, width of a slot and number of probes for each table."""
+    """Projections (tables, hashes, dim), offsets and width of a slot."""
 
     a: np.ndarray
     b: np.ndarray
     width: float
-    probes: int
 
     def slots(self, x: np.ndarray) -> np.ndarray:
         """(tables, rows, hashes) real positions; their floors are the hashes."""
@@ -77,51 +80,62 @@ class Index:
             out ^= out >> np.uint64(32)
         return out.view(np.int64)
 
-    def probed(self, x: np.ndarray, probes: int | None = None) -> np.ndarray:
-        """(tables, rows, probes) names of the buckets that each row visits, likeliest first, its own before all."""
+    def probed(self, x: np.ndarray, bound: np.ndarray, recall: float = RECALL) -> list[np.ndarray]:
+        """Names of the buckets that each row visits, none where no list of them has the recall.
+
+        A row at distance d moves each position by a normal step of deviation d, so the chance of a bucket is a product
+        over the hashes, and a row is missed if all tables miss it. Nearer rows have a larger chance than one at ``bound``.
+        """
         m = self.a.shape[1]
         template = perturbations(m, LIST)
-        most = min(len(template), self.probes if probes is None else probes)
-        out = np.empty((len(self.a), len(x), most), np.int64)
-        for table, position in enumerate(self.slots(x)):
-            base = np.floor(position).astype(np.int64)
-            inside = position - base
-            cost = np.concatenate([inside ** 2, (1 - inside) ** 2], 1)
-            order = np.argsort(cost, axis=1, kind="stable")
-            for i in range(len(x)):
-                chosen = template[np.argsort(template @ cost[i][order[i]], kind="stable")[:most]]
+        positions = self.slots(x)
+        base = np.floor(positions).astype(np.int64)
+        inside = positions - base
+        out = []
+        for i in range(len(x)):
+            if not np.isfinite(bound[i]):
+                out.append(np.zeros(0, np.int64))
+                continue
+            chances, names = np.empty((len(self.a), len(template))), np.empty((len(self.a), len(template)), np.int64)
+            scale = self.width / max(float(bound[i]), 1e-9 * self.width)
+            for table in range(len(self.a)):
+                f = inside[table, i]
+                edges = _normal(np.stack([-1 - f, -f, 1 - f, 2 - f]) * scale)
+                down, stay, up = np.maximum(np.diff(edges, axis=0), 1e-300)
+                cost = np.concatenate([f ** 2, (1 - f) ** 2])
+                order = np.argsort(cost, kind="stable")
+                gain = np.log(np.concatenate([down, up])) - np.log(np.concatenate([stay, stay]))
+                turn = np.argsort(template @ cost[order], kind="stable")
+                chances[table] = np.exp(np.log(stay).sum() + template[turn] @ gain[order]).cumsum()
                 moves = np.zeros((2 * m, m))
-                moves[np.arange(2 * m), order[i] % m] = np.where(order[i] < m, -1, 1)
-                out[table, i] = self.names(table, base[i] + (chosen @ moves).astype(np.int64))
+                moves[np.arange(2 * m), order % m] = np.where(order < m, -1, 1)
+                names[table] = self.names(table, base[table, i] + (template[turn] @ moves).astype(np.int64))
+            enough = np.flatnonzero(np.prod(1 - np.minimum(chances, 1), axis=0) <= 1 - recall)
+            out.append(np.unique(names[:, : enough[0] + 1]) if len(enough) else np.zeros(0, np.int64))
         return out
 
 
-def fit_index(points: np.ndarray, k: int, tables: int = TABLES, hashes: int = HASHES, recall: float = RECALL) -> Index:
-    """Projections for the sample's spread, and the fewest probes that find its ``k`` nearest with ``recall``.
+def _normal(z: np.ndarray) -> np.ndarray:
+    """The distribution function of the standard normal distribution."""
+    return np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z.ravel().tolist()]).reshape(z.shape)
 
-    Part of the sample asks for its nearest in all of it. In the whole table neighbours are nearer than in a sample,
-    so that they are found with a larger chance.
-    """
-    dim = points.shape[1]
+
+def fit_index(points: np.ndarray, tables: int = TABLES, hashes: int = HASHES) -> Index:
+    """Projections with slots as wide as the sample's spread asks for."""
     rng = np.random.default_rng(23)
     spread = float(np.sqrt(((points - points.mean(0)) ** 2).sum(1).mean())) or 1.0
     width = WIDTH * spread
-    index = Index(rng.normal(0, 1, (tables, hashes, dim)), rng.uniform(0, width, (tables, hashes)), width, LIST)
-    asked = points[: min(150, len(points) // 4)]
-    if not len(asked):
-        return index
-    names = [Index.names(t, np.floor(p).astype(np.int64)) for t, p in enumerate(index.slots(points))]
-    gaps = (points ** 2).sum(1)[None, :] - 2 * asked @ points.T
-    gaps[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-    near = np.argsort(gaps, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
-    probed = index.probed(asked)
-    first = np.full(near.shape, probed.shape[2])  # the first probe that finds a neighbour in any table
-    for t in range(tables):
-        for i in range(len(asked)):
-            hit = names[t][near[i]][:, None] == probed[t, i][None, :]
-            first[i] = np.minimum(first[i], np.where(hit.any(1), hit.argmax(1), probed.shape[2]))
-    index.probes = int(min(probed.shape[2], np.quantile(first, recall, method="higher") + 1))
-    return index
+    return Index(rng.normal(0, 1, (tables, hashes, points.shape[1])), rng.uniform(0, width, (tables, hashes)), width)
+
+
+def bounds(x: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each row to its k-th nearest other point; infinite where there are fewer."""
+    out = np.full(len(x), np.inf)
+    for i in range(len(x)):
+        gap = np.sqrt(((points[ids != own[i]] - x[i]) ** 2).sum(1))
+        if len(gap) >= k:
+            out[i] = np.partition(gap, k - 1)[k - 1]
+    return out
 
 
 def _hashed(index: Index):
@@ -144,14 +158,9 @@ def _probes(index: Index, known, k: int):
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
                 x, own = block(part.column("vec"), index.a.shape[2]), part.column("id").to_numpy()
-                found = np.concatenate(list(index.probed(x)), 1)
-                bound = np.full(len(x), np.inf)
-                for i in range(len(x)):
-                    gap = np.sqrt(((points[ids != own[i]] - x[i]) ** 2).sum(1))
-                    if len(gap) >= k:
-                        bound[i] = np.partition(gap, k - 1)[k - 1]
+                bound = bounds(x, own, points, ids, k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("vec"), pa.array([np.unique(f) for f in found], pa.list_(pa.int64())), pa.array(bound)], ["id", "vec", "buckets", "bound"])
+                    [part.column("id"), part.column("vec"), pa.array(index.probed(x, bound), pa.list_(pa.int64())), pa.array(bound)], ["id", "vec", "buckets", "bound"])
 
     return run
 
@@ -181,9 +190,9 @@ def _searched(k: int, dim: int):
     def run(rows: pa.Table) -> pa.Table:
         is_query = rows.column("query").to_numpy(zero_copy_only=False).astype(bool)
         ids, vectors = rows.column("id").to_numpy(), block(rows.column("vec"), dim)
-        bounds: dict[int, float] = {}
+        limits: dict[int, float] = {}
         for i, bound in zip(ids[is_query].tolist(), rows.column("bound").to_numpy(zero_copy_only=False)[is_query].tolist(), strict=True):
-            bounds[i] = max(bound, bounds.get(i, 0.0))
+            limits[i] = max(bound, limits.get(i, 0.0))
         cell = np.unique(np.stack([rows.column(c).to_numpy() for c in ("bucket", "part", "lot")], 1), axis=0, return_inverse=True)[1].ravel()
         order = np.argsort(cell, kind="stable")
         found = []
@@ -193,7 +202,7 @@ def _searched(k: int, dim: int):
                 found.append(nearest(vectors[asks], ids[asks], vectors[has], ids[has], k))
         q, v, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
         if len(q):  # of what the buckets of this group found, each query's k nearest within its bound
-            near = s <= np.array([bounds[i] for i in q.tolist()]) * (1 + 1e-12)
+            near = s <= np.array([limits[i] for i in q.tolist()]) * (1 + 1e-12)
             q, v, s = q[near], v[near], s[near]
             order = np.lexsort((v, s, q))
             q, v, s = q[order], v[order], s[order]
@@ -216,8 +225,9 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", embedding: str = "e
     vector count once, and a key with several vectors is found by its nearest.
     A task returns no row farther than the query's k-th nearest in the sample, which bounds its true k-th distance.
     Large buckets are cut into blocks by hash of the key, so that a task compares at most BLOCK rows with
-    QUERY_BLOCK queries. Where the tables hold fewer than ``k`` candidates, the query's blocks over the whole
-    table are searched, so that no query returns fewer than it could.
+    QUERY_BLOCK queries. The sample has at most one row in SHARE of the table, so that its bound is above the k-th
+    distance at every size and does not decide what is found. A query whose buckets do not reach RECALL at its bound, or
+    hold fewer than ``k`` candidates, is compared with the whole table, block by block.
     """
     spark = vectors.sparkSession
     table = cut(packed(vectors.filter(F.col(key).isNotNull()), {"id": F.col(key).cast("long"), "query": F.coalesce(queries, F.lit(False))}, embedding).distinct())
@@ -226,14 +236,15 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", embedding: str = "e
     if not len(points):
         return empty
     table = table.filter(F.col("dim") == points.shape[1])
-    index = fit_index(points, k)
+    index = fit_index(points)
     stored = table.select("id", "vec").mapInArrow(_hashed(index), "id long, vec binary, buckets array<long>").select("id", "vec", F.explode("buckets").alias("bucket"))
     single = np.unique(ids, return_index=True)[1]
+    single = np.random.default_rng(29).permutation(single)[: max(1, table.count() // SHARE)]
     known = spark.sparkContext.broadcast((ids[single], points[single]))  # the sample, about SAMPLE vectors
     asked = cut(table.filter("query").select("id", "vec").mapInArrow(_probes(index, known, k), "id long, vec binary, buckets array<long>, bound double"))
-    asked = asked.select("id", "vec", "bound", F.explode("buckets").alias("bucket"))
-    best = _blocks(stored, asked, k, points.shape[1])
-    short = asked.select("id").distinct().join(best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(f"n is null or n < {k}").select("id")
+    best = _blocks(stored, asked.select("id", "vec", "bound", F.explode("buckets").alias("bucket")), k, points.shape[1])
+    open_ = asked.groupBy("id").agg(F.min(F.size("buckets")).alias("visited"))
+    short = open_.join(best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(f"visited = 0 or n is null or n < {k}").select("id")
     short = cut(short)
     if short.head(1):
         rest = table.filter("query").join(short, "id", "left_semi").select("id", "vec", F.lit(float("inf")).alias("bound"), F.lit(0).cast("long").alias("bucket"))
