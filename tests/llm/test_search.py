@@ -80,3 +80,13 @@ def test_buckets_alone_reach_the_recall_on_tables_of_many_samples():
         sure = [(q, p) for q, p in zip(queries.tolist(), probed) if len(p)]
         found = {q: np.flatnonzero(np.isin(names, p).any(0)).tolist() for q, p in sure}
         assert len(sure) >= len(queries) / 2 and recall(x, list(found), found) >= 0.95
+
+
+def test_queries_outside_a_group_with_the_lowest_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 512)
+    x = grouped(6_000)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    rows = neighbours.search(frame, F.col("vec_id") % 100 == 0).toPandas()
+    found = rows.groupby("query_id").id.apply(list).to_dict()
+    outside = [q for q in found if q >= 2_000]
+    assert len(outside) == 40 and recall(x, outside, found) >= 0.95
