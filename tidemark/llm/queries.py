@@ -14,6 +14,7 @@ from .html_extract import extract_pages
 from .language import fit_languages, predict_languages
 from .mixing import mix
 from .neighbours import search
+from .periodic_runs import periodic_runs, strongest
 from .pii import KINDS, find_pii, span_text
 from .quality import fit_quality, learnable, quality_scores
 from .simhash import simhash_groups
@@ -97,6 +98,14 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), repeat=True, texts=False).withColumn("best", strongest())
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 ORACLES["op1_embedding_dedup"] = """
 with recursive v as (
     select vec_id, label, embedding::double[] as e from embeddings
