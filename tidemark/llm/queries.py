@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
+from .collocations import collocations
 from .embedding_dedup import near_embeddings
 from .html_extract import extract_pages
 from .language import fit_languages, predict_languages
@@ -106,6 +107,11 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op1_embedding_dedup"] = """
 with recursive v as (
     select vec_id, label, embedding::double[] as e from embeddings
@@ -121,3 +127,40 @@ select t.vec_id, coalesce(c.n, 0)::bigint as n_links, least(t.vec_id, coalesce(r
        t.vec_id <= coalesce(r.least, t.vec_id) as kept
 from embeddings t left join roots r on r.src = t.vec_id left join counts c on c.src = t.vec_id
 """
+
+ORACLES["op12_collocations"] = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents where text is not null),
+lists as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') as ws from pieces),
+places as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from lists),
+grams as (
+    select lang, 1 as k, ws[i] as phrase, ws[i] as w1, null as w2, null as w3 from places
+    union all select lang, 2, ws[i] || ' ' || ws[i + 1], ws[i], ws[i + 1], null from places where i < len(ws)
+    union all select lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2], ws[i], ws[i + 1], ws[i + 2] from places where i + 1 < len(ws)),
+f as (select lang, k, phrase, w1, w2, w3, count(*) as a from grams group by all),
+words as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+cuts as (
+    select p.lang, p.k, p.phrase, p.w1, p.w2, p.w3, p.a, x.a as l, y.a as r, 1 as cut_no from f p
+    join f x on x.lang = p.lang and x.k = 1 and x.phrase = p.w1
+    join f y on y.lang = p.lang and y.k = p.k - 1 and y.phrase = substr(p.phrase, length(p.w1) + 2)
+    where p.k > 1 and p.a >= 10
+    union all
+    select p.lang, p.k, p.phrase, p.w1, p.w2, p.w3, p.a, x.a, y.a, 2 from f p
+    join f x on x.lang = p.lang and x.k = 2 and x.phrase = p.w1 || ' ' || p.w2
+    join f y on y.lang = p.lang and y.k = 1 and y.phrase = p.w3
+    where p.k = 3 and p.a >= 10),
+scored as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut_no) = 1),
+longer as (
+    select lang, w1 || ' ' || w2 as part, max(a) as a from best where k = 3 group by all
+    union all select lang, w2 || ' ' || w3, max(a) from best where k = 3 group by all),
+kept as (
+    select b.* from best b where not exists (
+        select 1 from longer g where b.k = 2 and g.lang = b.lang and g.part = b.phrase and 100 * g.a >= 50 * b.a)),
+ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select r.lang, r.rank::bigint as rank, r.phrase, r.a::bigint as a, r.l::bigint as l, r.r::bigint as r, w.n, r.score
+from ranked r join words w on w.lang = r.lang where r.rank <= 2000
+"""
