@@ -30,9 +30,10 @@ from .windows import byte_table, column_hashes, hashes, scrambled, spans, window
 LEAST = 10
 #: Rows of each language in the result, and how many bigrams lie above the first threshold.
 TOP, FIRST_FRONTIER, GROWTH = 2000, 4000, 8
-#: Size of a bit table (8 MB), and of the texts that a task combines before it sends counts.
+#: Size of a bit table (8 MB), of the texts that a task combines before it sends counts, and of what it sends at once.
 BITS = 26
-WINDOW = 4 << 20
+WINDOW = 1 << 20
+SENT = 20_000
 #: A count above total / HEAVY is heavy: there are at most HEAVY of them, so they may be broadcast.
 HEAVY = 10_000
 _PIECE = byte_table(b".,;:!?\n\x0b\x0c\r")
@@ -91,9 +92,11 @@ class _Words:
         self.bare = hashes(buf, start[lead], end[lead])
         self.hash = _joined_hash(lang_hash[self.lang], self.bare)
 
-    def batch(self, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-        out = [self.names.take(pa.array(self.lang[columns[0]])), *(self.text.take(pa.array(c)) for c in columns), pa.array(counts.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(out, ["lang", *"abc"[: len(columns)], "n"])
+    def batches(self, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(counts), SENT):
+            part = [c[at: at + SENT] for c in columns]
+            out = [self.names.take(pa.array(self.lang[part[0]])), *(self.text.take(pa.array(c)) for c in part), pa.array(counts[at: at + SENT].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(out, ["lang", *"abc"[: len(columns)], "n"])
 
 
 def _counted(docs: DataFrame, size: int, of_words) -> DataFrame:
@@ -113,7 +116,7 @@ def _counted(docs: DataFrame, size: int, of_words) -> DataFrame:
                 for column in columns[1:]:
                     known, _ = pd.factorize(known * (len(words.lang)) + column)
                 lead = np.unique(known, return_index=True)[1]
-                yield words.batch([c[lead] for c in columns], np.bincount(known, minlength=len(lead))[known[lead]])
+                yield from words.batches([c[lead] for c in columns], np.bincount(known, minlength=len(lead))[known[lead]])
 
     names = ["lang", *"abc"[:size]]
     kinds = ", ".join(f"{c} string" for c in names)
