@@ -30,8 +30,8 @@ from .windows import byte_table, column_hashes, hashes, scrambled, spans, window
 LEAST = 10
 #: Rows of each language in the result, and how many bigrams lie above the first threshold.
 TOP, FIRST_FRONTIER, GROWTH = 2000, 4000, 8
-#: Size of a bit table (8 MB), of the texts that a task combines before it sends counts, and of what it sends at once.
-BITS = 26
+#: Size of a bit table (2 MB), of the texts that a task combines before it sends counts, and of what it sends at once.
+BITS = 24
 WINDOW = 1 << 20
 SENT = 20_000
 #: A count above total / HEAVY is heavy: there are at most HEAVY of them, so they may be broadcast.
@@ -61,9 +61,9 @@ def _bits(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(h >> np.uint64(64 - BITS)).astype(np.int64))], ["at"])
 
     words = keys.mapInArrow(places, "at long").groupBy(F.shiftright("at", 6).alias("word"))
-    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return table
 
 
