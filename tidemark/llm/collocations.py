@@ -32,7 +32,7 @@ LEAST = 10
 TOP, FIRST_FRONTIER, GROWTH = 2000, 4000, 8
 #: Size of a bit table (2 MB), of the texts that a task combines before it sends counts, and of what it sends at once.
 BITS = 24
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 SENT = 20_000
 #: A count above total / HEAVY is heavy: there are at most HEAVY of them, so they may be broadcast.
 HEAVY = 10_000
@@ -117,6 +117,8 @@ def _counted(docs: DataFrame, size: int, of_words) -> DataFrame:
                     known, _ = pd.factorize(known * (len(words.lang)) + column)
                 lead = np.unique(known, return_index=True)[1]
                 yield from words.batches([c[lead] for c in columns], np.bincount(known, minlength=len(lead))[known[lead]])
+                del words, at, columns, known, lead
+            pa.default_memory_pool().release_unused()
 
     names = ["lang", *"abc"[:size]]
     kinds = ", ".join(f"{c} string" for c in names)
