@@ -19,9 +19,17 @@ def zero_if_flat(value: Column) -> Column:
     return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(0.0))
 
 
+def correlation(left: Column | str, right: Column | str) -> Column:
+    """Pearson correlation over rows where both sides are known; null where a side is flat, which ``corr`` fails on."""
+    left, right = (F.col(c) if isinstance(c, str) else c for c in (left, right))
+    both = left.isNotNull() & right.isNotNull()
+    left, right = F.when(both, left), F.when(both, right)
+    return F.try_divide(F.covar_pop(left, right), F.stddev_pop(left) * F.stddev_pop(right))
+
+
 def pearson(rows: DataFrame, keys: Sequence[str], left: str, right: str, name: str) -> DataFrame:
     """Plain correlation per group, zero when undefined (EVL02)."""
-    return rows.groupBy(*keys).agg(zero_if_flat(F.corr(left, right)).alias(name), F.count(F.lit(1)).alias("pairs"))
+    return rows.groupBy(*keys).agg(zero_if_flat(correlation(left, right)).alias(name), F.count(F.lit(1)).alias("pairs"))
 
 
 def spearman(rows: DataFrame, keys: Sequence[str], left: str, right: str, name: str = "rank_ic") -> DataFrame:
@@ -179,7 +187,7 @@ def segment_analysis(rows: DataFrame, dimensions: Sequence[str], minimum: int =
     error = F.col("prediction") - F.col("actual")
     aggregates = [F.count(F.lit(1)).alias("observations"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias")]
     long = rows.select("prediction", "actual", F.explode(cells).alias("x"))
-    parts = long.groupBy("x.dimension", "x.segment").agg(*aggregates, zero_if_flat(F.corr("prediction", "actual")).alias("_c"))
+    parts = long.groupBy("x.dimension", "x.segment").agg(*aggregates, zero_if_flat(correlation("prediction", "actual")).alias("_c"))
     overall = rows.agg(F.avg(F.abs(error)).alias("_all"))
     return parts.crossJoin(F.broadcast(overall)).select(
         "dimension", "segment", "observations", "mae", "bias", F.when(F.col("observations") >= minimum, F.col("_c")).alias("correlation"),
@@ -191,7 +199,7 @@ def correlation_matrix(wide: DataFrame, features: Sequence[str], redundancy: flo
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a))
     row = wide.agg(*[F.struct(
-        F.lit(a).alias("left_key"), F.lit(b).alias("right_key"), F.count(both(a, b)).alias("pairs"), F.corr(both(a, b), F.col(b)).alias("correlation")).alias(f"p{i}")
+        F.lit(a).alias("left_key"), F.lit(b).alias("right_key"), F.count(both(a, b)).alias("pairs"), correlation(a, b).alias("correlation")).alias(f"p{i}")
         for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("x")).select("x.*").withColumn(
         "redundant", F.coalesce(F.abs("correlation") >= redundancy, F.lit(False)))

@@ -21,6 +21,8 @@ from ..session import cut_lineage
 HOLDOUT = ("2025-07-01", "2026-06-30")
 PAIRS_PER_FORMATION = 64
 MAD_TO_SIGMA = 1.4826
+#: A squared mean above so many variances costs the sums of squares too many digits.
+CONDITION = 1e5
 
 
 # ---- datasets ------------------------------------------------------------------
@@ -154,19 +156,23 @@ class Moments:
 def moments(rows: DataFrame, features: Sequence[str], target: str = "target", weight: str | None = None, keys: Sequence[str] = ()) -> dict[tuple, Moments]:
     """Moments per key (MDL15): standardised gram and covariance over the total weight.
 
-    One aggregation finds the overall means; the second sums products around them, so that a feature
-    whose mean is far above its spread keeps its digits.
+    One aggregation. Only where a mean is so far above its spread that the sums lose digits (more than
+    CONDITION times the variance), a second one sums products around the means found by the first.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
     names = [*features, target]
-    centre = rows.agg(*[F.avg(a).alias(a) for a in names]).first()
-    shift = {a: float(centre[a]) if centre[a] is not None and np.isfinite(float(centre[a])) else 0.0 for a in names}
-    rows = rows.select(*keys, w.alias("_w"), *[(F.col(a) - F.lit(shift[a])).alias(a) for a in names])
-    w = F.col("_w")
-    sums = [F.sum(w).alias("sw")] + [F.sum(w * F.col(a)).alias(f"s_{a}") for a in names]
-    cross = [F.sum(w * F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[i:] if a != target]
+    w = F.col(weight) if weight else F.lit(1.0)
+    rows = rows.select(*keys, w.alias("_w"), *[F.col(a).cast("double").alias(a) for a in names])
+    shift = dict.fromkeys(names, 0.0)
+    sums = _moment_sums(rows, features, target, keys, shift)
+    total = sum(r["sw"] or 0.0 for r in sums)
+    if total:
+        mean = {a: sum(r[f"s_{a}"] or 0.0 for r in sums) / total for a in names}
+        square = {a: sum(r[f"c_{a}_{a}"] or 0.0 for r in sums) / total for a in features}
+        if any(mean[a] ** 2 > CONDITION * abs(square[a] - mean[a] ** 2) and np.isfinite(mean[a]) for a in features):
+            shift = {a: mean[a] if np.isfinite(mean[a]) else 0.0 for a in names}
+            sums = _moment_sums(rows, features, target, keys, shift)
     found = {}
-    for row in rows.groupBy(*keys).agg(*sums, *cross).collect():
+    for row in sums:
         total = row["sw"]
         if not total:
             continue
@@ -184,6 +190,14 @@ def moments(rows: DataFrame, features: Sequence[str], target: str = "target", we
     return found
 
 
+def _moment_sums(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], shift: dict[str, float]) -> list:
+    names, w = [*features, target], F.col("_w")
+    rows = rows.select(*keys, "_w", *[(F.col(a) - F.lit(shift[a]) if shift[a] else F.col(a)).alias(a) for a in names])
+    sums = [F.sum(w).alias("sw")] + [F.sum(w * F.col(a)).alias(f"s_{a}") for a in names]
+    cross = [F.sum(w * F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[i:] if a != target]
+    return rows.groupBy(*keys).agg(*sums, *cross).collect()
+
+
 def solve(m: Moments, l1: float, l2: float, per_row: bool = True) -> np.ndarray:
     """Ridge for l1 = 0, else coordinate descent with a soft threshold.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles
 from ..functions.scalars import safe_divide
-from .evaluation import top_turnover
+from .evaluation import correlation, top_turnover
 
 # Health thresholds (warning, critical) and limits.
 COVERAGE = (0.98, 0.90)
@@ -39,7 +39,7 @@ def feature_correlations(wide: DataFrame, features: Sequence[str], keys: Sequenc
         for b in features[i + 1:]:
             x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)) for c in (a, b))
             cells.append(F.struct(F.lit(a).alias("left_key"), F.lit(b).alias("right_key"), F.count(x).alias("pairs"),
-                                  F.nanvl(F.corr(x, y), F.lit(None).cast("double")).alias("correlation")))
+                                  correlation(x, y).alias("correlation")))
     row = wide.groupBy(*keys).agg(F.array(*cells).alias("cells"))
     reason = F.when(F.col("pairs") < 2, "insufficient_pairs").when(F.col("correlation").isNull(), "zero_variance")
     return row.select(*keys, F.explode("cells").alias("x")).select(*keys, "x.*").withColumn("reason", reason)
@@ -64,7 +64,7 @@ def candidate_diagnostics(wide: DataFrame, candidates: Sequence[str], active: Se
     known = long.where("value IS NOT NULL")
     later = known.select("feature_key", F.col("formation_date").alias("_next"), "security_id", F.col("value").alias("later"))
     steps = known.join(dates, "formation_date").join(later, ["feature_key", "_next", "security_id"]).groupBy("feature_key", "formation_date").agg(
-        F.nanvl(F.corr("value", "later"), F.lit(None).cast("double")).alias("c"))
+        correlation("value", "later").alias("c"))
     stability = exact_quantiles(steps, ["feature_key"], "c", {"stability": 0.5})
     churn = exact_quantiles(top_turnover(known.withColumnRenamed("value", "prediction"), size, ["feature_key"]), ["feature_key"], "turnover", {"turnover": 0.5})
     rows = coverage.join(redundancy, "feature_key", "left").join(stability, "feature_key", "left").join(churn, "feature_key", "left")
