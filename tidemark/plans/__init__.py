@@ -41,7 +41,7 @@ class Query:
 CATALOGUE: dict[str, Query] = {}
 MODULES: tuple[str, ...] = (
     "quality", "joins", "windows", "ranking", "labels", "fundamentals", "modelling", "selection",
-    "evaluation", "monitoring", "portfolio", "serving", "score_run", "ingest", "streams",
+    "evaluation", "monitoring", "portfolio", "serving", "score_run", "ingest", "storage", "streams",
 )
 
 
