@@ -114,3 +114,35 @@ def test_a_page_between_stubs_meets_the_next_different_page(spark):
     rows = [(i, f"http://a.org/{i}", f"<body>{stubs[i]}</body>" if i in stubs else f"<body>{top}{t}{foot}</body>") for i, t in texts]
     got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "Own one" and got[4] == "Own four" and got[7] == "Own seven"
+
+
+def test_names_alone_drop_nothing_inside_an_article(spark):
+    kept = """<h2 id="related-work">Related work</h2><h2 class="search-title" id="search-algorithms">Search</h2><section id="discussion"><p>We discuss.</p></section>
+        <p class="notice-of-intent">Notice of intent.</p><div class="social-history"><p>Social history.</p><blockquote class="reply">A reply</blockquote></div>"""
+    gone = """<div class="related-posts"><a href=1>one</a> <a href=2>two</a></div><ul class="share"><li>Share</li></ul><div class="newsletter-box"><p>Mail <input name=m></p></div>
+        <div class="comment-list"><div class="comment-item"><p>said</p></div></div><div class="promo-unit">Buy now</div><div hidden><p>x</p></div>"""
+    want = ["T", "Related work", "Search", "We discuss.", "Notice of intent.", "Social history.", "A reply", "end"]
+    assert lines(f"<article><h1>T</h1>{kept}{gone}<p>end</p></article>") == want
+    # a host whose template stands inside the article, in named parts of running text; the article's own lines are quoted by a neighbour
+    body = lambda i: f"<article><h1>Title {i}</h1><p>Own text {i}</p><div class='promo-text'><p>Buy our book today</p></div><p>Quoted line</p></article>"
+    rows = [(i, f"http://t.org/{i}", body(i)) for i in range(5)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r.page_id: r.text for r in got}
+    assert all("Buy our book" not in t and f"Own text {i}" in t for i, t in texts.items())
+
+
+def test_long_pages_align_by_matches(monkeypatch):
+    draw = random.Random(2)
+    for top in (3, 40, 4000):
+        a, b = (np.array([draw.randint(0, top) for _ in range(300)], np.int64) for _ in range(2))
+        monkeypatch.setattr(html_extract, "PAIRED", 1 << 60)
+        want = html_extract.common(a, b)
+        monkeypatch.setattr(html_extract, "PAIRED", 0)
+        got = html_extract.common(a, b)
+        rest = iter(b.tolist())
+        assert len(got) == len(want) and all(x in rest for x in a[got].tolist())
+    import time
+
+    lines = np.arange(200_000)
+    start = time.time()
+    assert len(html_extract.common(lines, np.random.default_rng(0).permutation(lines))) > 500 and time.time() - start < 20

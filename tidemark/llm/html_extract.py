@@ -6,6 +6,10 @@ by a longest common subsequence, and lines they share are template: they are del
 beside that: elements for navigation, headers, footers, asides, forms, notices, adverts and comments are
 dropped at once, and a line of a page's article element is deleted only where both neighbours share it and
 most different pages of the host carry it, so that mirrored articles and quoted passages stay.
+
+Inside an article, ids prove nothing, and a class or role name needs a second sign: a container whose whole name is
+the word; or markup that bears a longer name out (most of its text is links, it holds controls, no running text, or parts
+so named or articles of its own, as comments do); or, line by line, a neighbour that shares the line.
 """
 
 from __future__ import annotations
@@ -13,13 +17,14 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .tables import cut
 
@@ -38,36 +43,59 @@ _WITHIN = frozenset("object svg canvas select template".split())
 _NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright complementary contentinfo".split())
 #: Words of class, id and role names that mark the article.
 _MAIN = frozenset("article main articlebody".split())
+#: Elements of running text: an id on them is an anchor; names on headings never count.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXT = _HEADINGS | frozenset("p li dt dd td th blockquote pre figure figcaption section a span b i em strong".split())
+_RUNNING = _HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption".split())
+#: Elements that hold parts of a page.
+_PARTS = frozenset("div section ul ol dl table details article".split())
+_CONTROLS = frozenset("form input textarea button select".split())
+#: A named part of an article goes where this share of its letters stands in links.
+LINKED = 0.5
 _HEADER = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:header|banner)\b", re.I)
+#: The attribute without a value, outside quotes.
+_HIDDEN, _QUOTED = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.I), re.compile(r"\"[^\"]*\"|'[^']*'")
 _WHITE = re.compile(r"[\s]+")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(outside the article, the article itself) by an element's attributes."""
-    outside = main = False
+def _marks(attributes: str, element: str) -> tuple[bool, bool, bool, bool, bool]:
+    """(named as outside by class or role, by a whole such name, by id, hidden, the article itself) by an element's attributes."""
+    named = whole = by_id = hidden = main = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name in ("class", "id", "role"):
             words = {w.lower() for w in _WORD.findall(value)}
-            outside |= not words.isdisjoint(_NAMES)
+            if not words.isdisjoint(_NAMES) and element not in _HEADINGS:
+                if name == "id":
+                    by_id |= element not in _TEXT
+                else:
+                    named = True
+                    whole |= not _NAMES.isdisjoint(value.lower().split())
             main |= value.lower() == "main" and name in ("id", "role") or value.lower() == "article" and name == "role"
         elif name == "itemprop":
             main |= value.lower() == "articlebody"
         elif name == "aria-hidden":
-            outside |= value.lower() == "true"
+            hidden |= value.lower() == "true"
         elif name == "style":
-            outside |= "display:none" in value.replace(" ", "").lower()
+            hidden |= "display:none" in value.replace(" ", "").lower()
         elif name == "hidden":
-            outside = True
-    return outside, main
+            hidden = True
+    if "hidden" in attributes.lower() and not hidden:
+        hidden = bool(_HIDDEN.search(_QUOTED.sub("", attributes)))
+    return named, whole, by_id, hidden, main
+
 
+#: Where a line stands: outside an article, in one, or in a part of one whose name alone puts it outside.
+ELSEWHERE, ARTICLE, NAMED = 0, 1, 2
 
-def page_lines(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it stands in an article) of the blocks of a page that markup does not rule out, in order."""
-    lines: list[tuple[str, bool]] = []
+
+def page_lines(page: str) -> list[tuple[str, int]]:
+    """(text, where it stands) of the blocks of a page that markup does not rule out, in order."""
+    lines: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it starts a part outside, whether it starts an article
-    outside = inside = done = 0
+    stack: list[tuple] = []  # element, whether it starts a part outside, whether it starts an article, what was counted before a named part
+    outside = inside = done = links = 0
+    letters, linked, controls, named_parts, articles, running = 0, 0, 0, 0, 0, 0
     seen = False
 
     def flush() -> None:
@@ -75,23 +103,40 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             text = _WHITE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                lines.append((text, inside > 0))
+                lines.append((text, ARTICLE if inside > 0 else ELSEWHERE))
+
+    def hold(text: str) -> None:
+        nonlocal letters, linked
+        held.append(text)
+        size = len(text) - text.count(" ")
+        letters += size
+        linked += size * (links > 0)
 
     def pop() -> None:
-        nonlocal outside, inside
-        _, out, main = stack.pop()
+        nonlocal outside, inside, links
+        name, out, main, before = stack.pop()
         outside -= out
         inside -= main
+        links -= name == "a"
+        if before:
+            first, had, had_linked, had_controls, had_named, had_articles, had_running = before
+            flush()
+            proven = linked - had_linked >= LINKED * max(letters - had, 1) or controls > had_controls or named_parts > had_named or articles > had_articles
+            proven = proven or name in _PARTS and running == had_running
+            lines[first:] = [] if proven else [(t, NAMED if k == ARTICLE else k) for t, k in lines[first:]]
 
     for m in _TOKEN.finditer(page):
         if m.start() > done and not outside:
-            held.append(page[done: m.start()])
+            hold(page[done: m.start()])
         done = m.end()
+        if m.group(1) and m.group(1).lower() == "textarea":
+            controls += 1
         name = (m.group(3) or "").lower()
         if not name:
             continue
         if name in _BLOCK:
             flush()
+        controls += name in _CONTROLS and not m.group(2)
         if name in _VOID:
             continue
         if m.group(2):
@@ -107,8 +152,13 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             continue
         if m.group(4).endswith("/") and name not in _BLOCK:
             continue
-        out, main = _marks(m.group(4)) if m.group(4) and name not in ("html", "body") else (False, False)
-        main = name == "main" or not out and (main or name == "article")  # a comment may be an article element too
+        named, whole, by_id, hidden, main = _marks(m.group(4), name) if m.group(4) and name not in ("html", "body") else (False,) * 5
+        named_parts += named and (name in _PARTS or name == "li")
+        articles += name == "article"
+        running += name in _RUNNING
+        suspect = named and inside > 0 and not outside
+        out = hidden or not inside and (named or by_id) or suspect and whole and name in _PARTS
+        main = name == "main" or not (out or suspect) and (main or name == "article")  # a comment may be an article element too
         out = not main and (out or name in _OUTSIDE or not inside and (name == "header" or bool(_HEADER.search(m.group(4) or ""))))
         if main and outside and not seen:  # the first article, inside a part that was never closed
             while outside:
@@ -122,18 +172,51 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
                     break
                 if stack[d][0] in _BLOCK and stack[d][0] != "p":
                     break
-        if out and not outside and name not in _WITHIN:
+        if (out and not outside or suspect) and name not in _WITHIN:
             flush()
         main = main and not outside
-        stack.append((name, out, main))
+        suspect = suspect and not out and not main and name not in _WITHIN
+        stack.append((name, out, main, (len(lines), letters, linked, controls, named_parts, articles, running) if suspect else None))
         outside += out
         inside += main
+        links += name == "a"
     if done < len(page) and not outside:
-        held.append(page[done:])
+        hold(page[done:])
     flush()
+    while stack:
+        pop()
     return lines
 
 
+#: From so many pairs of lines on, a page pair is aligned by its matches, unless lines repeat too often.
+PAIRED = 4_000_000
+
+
+def _by_matches(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray | None:
+    """Positions of ``a`` in one longest common subsequence, in time of the number of equal pairs; None from ``most`` pairs on."""
+    where: dict[int, list[int]] = {}
+    for j, item in enumerate(b.tolist()):
+        where.setdefault(item, []).append(j)
+    if sum(len(where.get(item, ())) for item in a.tolist()) > most:
+        return None
+    last: list[int] = []  # smallest end in b of a common subsequence of each length
+    link: list[tuple] = []  # that subsequence, as (position in a, the one before)
+    for i, item in enumerate(a.tolist()):
+        for j in reversed(where.get(item, ())):
+            at = bisect_left(last, j)
+            node = (i, link[at - 1] if at else None)
+            if at == len(last):
+                last.append(j)
+                link.append(node)
+            elif j < last[at]:
+                last[at], link[at] = j, node
+    out, node = [], link[-1] if link else None
+    while node:
+        out.append(node[0])
+        node = node[1]
+    return np.array(out[::-1], np.int64)
+
+
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Positions of ``a`` in one longest common subsequence with ``b``; memory grows with the lengths, not their product."""
     n, m = len(a), len(b)
@@ -147,6 +230,10 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = a[head: n - tail], b[head: m - tail]
     rows = np.flatnonzero(np.isin(a, b))
     a, b = a[rows], b[np.isin(b, a)]
+    if len(a) * len(b) > PAIRED:
+        few = _by_matches(a, b, 50 * (len(a) + len(b)))
+        if few is not None:
+            return np.unique(np.concatenate([ends[0], rows[few] + head, ends[1]]).astype(np.int64))
 
     def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length with every prefix of y, of all of x."""
@@ -184,15 +271,17 @@ def _parsed(names: list[str]):
                 lines = [page_lines(p) if p else [] for p in part.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     *part.columns[: len(names)], pa.array([[t for t, _ in x] for x in lines], pa.list_(pa.string())),
-                    pa.array([[k for _, k in x] for x in lines], pa.list_(pa.bool_())), pa.array([[_hash(t) for t, _ in x] for x in lines], pa.list_(pa.int64())),
+                    pa.array([[k for _, k in x] for x in lines], pa.list_(pa.int32())), pa.array([[_hash(t) for t, _ in x] for x in lines], pa.list_(pa.int64())),
                 ], [*names, "lines", "own", "marks"])
 
     return run
 
 
-def kept_lines(lines: list, own: list[bool], marks: np.ndarray, neighbours: list[np.ndarray], template: frozenset[int] = frozenset()) -> list:
+def kept_lines(lines: list, own: list[int], marks: np.ndarray, neighbours: list[np.ndarray], template: frozenset[int] = frozenset()) -> list:
     """Lines that no neighbour shares, and lines of the article but those of ``template`` that both neighbours share.
 
+    Lines in a part of the article that is named as outside go where one neighbour shares them.
+
     A neighbour whose lines are all in this page or that has all of this page's lines is a copy of it and
     says nothing about the template. Where no neighbour says anything, the article stays, or all lines where there is none.
     """
@@ -202,8 +291,9 @@ def kept_lines(lines: list, own: list[bool], marks: np.ndarray, neighbours: list
         if len(at) < min(len(marks), len(other)):
             times[at] += 1
             compared = True
-    article = np.array(own, bool)
-    gone = np.where(article, (times > 1) & np.isin(marks, list(template)), times > 0)
+    where = np.array(own, np.int64)
+    article = where > ELSEWHERE
+    gone = np.where(where == ARTICLE, (times > 1) & np.isin(marks, list(template)), times > 0)
     if article.any() and not compared:
         gone |= ~article
     return [t for t, g in zip(lines, gone, strict=True) if not g]
@@ -296,13 +386,13 @@ def extract_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     address = F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(www\.)?", "")
     host, path = F.regexp_extract(address, r"^([^/?#]*)", 1), F.regexp_extract(address, r"^[^/?#]*([^?#]*)", 1)
     named = pages.select(F.col(key).alias("key"), "url", host.alias("host"), path.alias("path"), "html")
-    schema = StructType([*named.schema.fields[:4], StructField("lines", ArrayType(StringType())), StructField("own", ArrayType(BooleanType())), StructField("marks", ArrayType(LongType()))])
+    schema = StructType([*named.schema.fields[:4], StructField("lines", ArrayType(StringType())), StructField("own", ArrayType(IntegerType())), StructField("marks", ArrayType(LongType()))])
     parsed = cut(named.mapInArrow(_parsed(["key", "url", "host", "path"]), schema).withColumn("content", F.xxhash64("marks", "own")))
     placed = cut(_placed(parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.min("marks").alias("marks"), F.min("own").alias("own"))))
     compared = placed.join(_sides(placed), "place", "left").join(_template(placed), "host", "left").select("host", "content", "marks", "own", "before", "behind", "template")
     # written, so that its size is known: where markup and neighbours agree on nearly all pages, no text moves
     changed = cut(compared.mapInArrow(_differenced, "host string, content long, kept array<int>")).select(F.col("host").alias("_host"), F.col("content").alias("_content"), "kept")
-    usual = F.when(F.exists("own", lambda k: k), F.filter("lines", lambda t, i: F.element_at("own", i + 1))).otherwise(F.col("lines"))
+    usual = F.when(F.exists("own", lambda k: k > ELSEWHERE), F.filter("lines", lambda t, i: F.element_at("own", i + 1) > ELSEWHERE)).otherwise(F.col("lines"))
     kept = F.when(F.col("kept").isNull(), usual).otherwise(F.transform("kept", lambda i: F.element_at("lines", i + 1)))
     joined = parsed.join(changed, (F.col("host") == F.col("_host")) & (F.col("content") == F.col("_content")), "left")
     return joined.select(F.col("key").alias(key), "url", F.array_join(kept, " ").alias("text"))
