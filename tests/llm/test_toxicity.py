@@ -90,7 +90,7 @@ def test_counts_of_terms_equal_a_plain_split(monkeypatch):
     assert got == want and np.array_equal(row, np.sort(row))
 
 
-@pytest.mark.parametrize("sf, missed, wrong", [("sf0.01", 0.3, 0.01), ("sf0.1", 0.1, 0.002)])
+@pytest.mark.parametrize("sf, missed, wrong", [("sf0.01", 0.3, 0.01), ("sf0.1", 0.12, 0.002)])
 def test_held_out_labels(spark, sf, missed, wrong):
     folder = f"/root/testdata/{sf}"
     rows = QUERIES["op11_toxicity"](spark, folder).toPandas()
@@ -133,3 +133,20 @@ def test_odd_rows(spark, odd_documents, no_documents):
         assert op.toxicity_scores(no_documents, index).count() == 0
     index = op.fit_toxicity(no_documents, some)
     assert {r.score for r in op.toxicity_scores(odd_documents, index).collect()} == {0.5}
+
+
+def test_words_of_near_copies_do_not_pass_for_telling_ones(spark):
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(400)]
+    docs, labels = [], []
+    body = rng.choices(pool, k=80) + ["copied", "passage"]
+    for i in range(240):  # a hundred near copies of one toxic text, and others whose telling word is "vile"
+        copy, toxic = i < 100, i < 100 or i % 2
+        words = [*body[:40], f"x{i}", *body[40:]] if copy else rng.choices(pool, k=60) + (["vile"] if toxic else [])
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    index = op.fit_toxicity(*frames)
+    held = {int(h) for h in index.vocabulary}
+    vile, copied = (int(h) for h in column_hashes(pa.array(["vile", "copied"])))
+    assert vile in held and copied not in held and len(index.keys) < 110

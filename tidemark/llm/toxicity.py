@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are distinct labelled texts. Terms are the words that the labels of the examples depend on (likelihood
+Examples are labelled texts, one of each group of near copies. Terms are the words that the labels of the examples depend on (likelihood
 ratio tests at a bounded share of false discoveries), and one term for all other words, so that a single
 telling word in a long text weighs less than many. Their document frequencies come from all texts. The index
 lists, for every term, the examples that hold it in blocks of ``BLOCK`` with the largest weight of each block. A text
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import erfc, sqrt
+from math import erfc, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .tables import cut
-from .windows import byte_table, hashes, spans, windows
+from .windows import byte_table, hashes, scrambled, spans, windows
 
 #: Labelled texts of each class that the index holds, drawn by hash of the text.
 SAMPLE_PER_CLASS = 4000
@@ -30,11 +30,16 @@ SAMPLE_PER_CLASS = 4000
 VOCABULARY = 50_000
 #: Examples that must hold a term before it is tested, and the share of false discoveries among the chosen terms.
 LEAST_EXAMPLES, LEVEL = 4, 0.05
+#: A telling term changes the odds of its examples' labels by this factor or more, up or down.
+LEAST_ODDS = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 WINDOW = 1 << 20
 #: A text is toxic from this score on.
 THRESHOLD = 0.7
+#: Words of a shingle, and seeds of the hashes that tell near copies among the examples.
+SHINGLE = 5
+SKETCHES = (0x1F83D9AB, 0x5BE0CD19, 0x9B05688C, 0x510E527F)
 #: Cosines that agree to so many places are ties.
 PLACES = 12
 _APART = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()))
@@ -230,14 +235,45 @@ def _marked(column: str = "text"):
     return F.xxhash64(column)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, mark, sketch): the smallest of SKETCHES hashes over the five-word shingles of a text; texts of fewer words take their mark."""
+    for batch in batches:
+        marks = batch.column(1).to_numpy(zero_copy_only=False)
+        least = np.full((batch.num_rows, len(SKETCHES)), np.iinfo(np.uint64).max, np.uint64)
+        for row, h in _terms(batch.column(2)):
+            if len(h) < SHINGLE:
+                continue
+            rolled = h[: len(h) - SHINGLE + 1].copy()
+            for k in range(1, SHINGLE):
+                rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[k: len(h) - SHINGLE + 1 + k]
+            whole = row[: len(rolled)] == row[SHINGLE - 1:]
+            of, rolled = row[: len(rolled)][whole], rolled[whole]
+            if len(of):
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                for j, seed in enumerate(SKETCHES):
+                    least[of[first], j] = np.minimum(least[of[first], j], np.minimum.reduceat(scrambled(rolled ^ np.uint64(seed)), first))
+        short = least[:, 0] == np.iinfo(np.uint64).max
+        least[short] = marks[short].view(np.uint64)[:, None]
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(least.view(np.int64).ravel()), len(SKETCHES)).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["id", "mark", "sketch"])
+
+
 def _examples(docs: DataFrame, labels: DataFrame, key: str, column: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(mark, key, label) of the drawn texts, at most about ``per_class`` of each label, and how many labelled texts there are."""
-    marks = labels.select(key, F.col(column).cast("int").alias("y")).filter(learnable(key) & F.col("y").isin(0, 1))
-    marks = marks.groupBy(key).agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
-    taught = docs.filter(learnable(key) & F.col("text").isNotNull()).select(key, _marked().alias("mark")).distinct()
+    """(mark, key, label) of the drawn texts, at most about ``per_class`` of each label, and how many labelled texts there are.
+
+    Of near copies one stays, or their words would pass for telling ones: texts that share the smallest hash of their
+    shingles are one, for each of SKETCHES hashes in turn.
+    """
+    marks = labels.select(F.col(key).alias("id"), F.col(column).cast("int").alias("y")).filter(learnable("id") & F.col("y").isin(0, 1))
+    marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
+    known = docs.filter(learnable(key) & F.col("text").isNotNull()).select(F.col(key).cast("long").alias("id"), _marked().alias("mark"), "text")
+    taught = known.mapInArrow(_sketches, "id long, mark long, sketch array<long>").distinct()
     # equal texts are one example; equal texts of different labels are none
-    texts = taught.join(marks, key).groupBy("mark").agg(F.min(key).alias("id"), F.min("y").alias("y"), F.max("y").alias("most"))
-    texts = cut(texts.filter("y = most").drop("most"))
+    texts = taught.join(marks, "id").groupBy("mark").agg(F.min("id").alias("id"), F.min("y").alias("y"), F.max("y").alias("most"), F.min("sketch").alias("sketch"))
+    texts = texts.filter("y = most").drop("most")
+    for j in range(len(SKETCHES)):
+        texts = texts.groupBy(F.col("sketch")[j].alias("s")).agg(F.min(F.struct("mark", "id", "y", "sketch")).alias("x")).select("x.*")
+    texts = cut(texts.drop("sketch"))
     counts = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("mark"), F.lit(1 << 30)) / float(1 << 30)
     limit = F.when(F.col("y") == 1, F.lit(per_class / max(counts.get(1, 1), 1))).otherwise(F.lit(per_class / max(counts.get(0, 1), 1)))
@@ -265,7 +301,8 @@ def _chosen_terms(lists: DataFrame, examples: DataFrame, total: int, toxic: int)
     tests = counted.count()
     cells = [("t", toxic, "n"), ("n - t", total - toxic, "n"), (f"{toxic} - t", toxic, f"{total} - n"), (f"{total - toxic} - n + t", total - toxic, f"{total} - n")]
     terms = [f"coalesce(({o}) * ln(({o}) * {float(total)} / ({float(c)} * ({r}))), 0)" for o, c, r in cells]
-    scored = counted.select("term", F.expr(f"2 * ({' + '.join(terms)})").alias("g"))
+    odds = F.expr(f"ln((t + 0.5) * ({total - toxic} - n + t + 0.5) / ((n - t + 0.5) * ({toxic} - t + 0.5)))")
+    scored = counted.filter(F.abs(odds) >= log(LEAST_ODDS)).select("term", F.expr(f"2 * ({' + '.join(terms)})").alias("g"))
     best = scored.orderBy(F.desc("g"), "term").limit(VOCABULARY).toPandas()
     p = np.array([erfc(sqrt(max(g, 0.0) / 2)) for g in best["g"]])
     passed = np.flatnonzero(p <= LEVEL * np.arange(1, len(p) + 1) / max(tests, 1))
