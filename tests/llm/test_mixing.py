@@ -4,6 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import mixing
+from tidemark.llm.mixing import mix, mixture
 from tidemark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -51,3 +52,26 @@ def test_odd_rows(spark, odd_documents, no_documents):
     taken = mixing.mixture(odd_documents)
     assert taken.columns == odd_documents.columns
     assert mixing.mix(no_documents).count() == 0 and mixing.mixture(no_documents).count() == 0
+
+
+def test_columns_of_any_name_pass_through_the_stages(spark):
+    from tidemark.llm.pii import redact
+    from tidemark.llm.simhash import representatives
+
+    names = ["_row", "_mark", "_root", "_print", "_copy", "_copies", "_more", "_key", "_same", "_lone", "row_", "copies_", "KEY_", "more_", "mark_"]
+    docs = spark.createDataFrame([(1, "a b c d +1 555 555 5555 x", "s"), (1, "a b c d +1 555 555 5555 x", "s"), (None, "q r s", "t")], "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", *[f"'v{i}' as {n}" for i, n in enumerate(names)])
+    for stage in (representatives, mixture, redact):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(f"v{i}" for i in range(len(names)))}
+
+
+def test_many_sources_need_no_broadcast(spark, monkeypatch):
+    from tidemark.llm import tables
+
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), f"s{i % 40}") for i in range(400)], "doc_id long, text string, source string")
+    rows = [sorted(map(tuple, mix(docs).drop("rate").collect()))]
+    monkeypatch.setattr(tables, "FEW", 5)
+    rows.append(sorted(map(tuple, mix(docs).drop("rate").collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 400

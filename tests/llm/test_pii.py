@@ -99,3 +99,23 @@ def test_candidates_span_single_blanks(spark):
     frame = spark.createDataFrame(rows + [(k, t) for k, (_, t) in spaced.items()], "doc_id long, text string")
     found = {r.doc_id: [(pii.KINDS[k], frame_text[s:e]) for k, s, e in r.further] for r in pii.find_pii(frame).collect() if (frame_text := spaced.get(r.doc_id, ("", ""))[1])}
     assert found == {100: [("phone", "(555) 123-4567")], 101: [("card", "4111 1111 1111 1112")], 102: [("phone", "555 123 4567")]}
+
+
+def test_long_identifiers_and_contexts_stay_whole(spark):
+    long = "prefix" * 30  # contexts and identifiers that agree in their first 180 characters
+    rows = [(i, f"see {long}right: me{i}@{long}.org now") for i in range(8)] + [(50, f"see {long}right: you@{long} now"), (51, f"see {long}wrong: you@{long}x now")]
+    rows += [(60 + i, f"{long}wrong: plain word") for i in range(9)]
+    found = {r.doc_id: r.further for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found[50]) == 1 and found[51] == []
+    # identifiers that differ only behind the 64th character are different instances: four do not make a pattern, five do
+    same = "a" * 70
+    few = lambda n: [(i, f"mail: {same}{i}@x.org") for i in range(n)] + [(90, f"mail: {same}@y")]
+    for n in (4, 5):
+        found = {r.doc_id: r.further for r in pii.find_pii(spark.createDataFrame(few(n), "doc_id long, text string")).collect()}
+        assert len(found[90]) == (n == 5)
+
+
+def test_contexts_far_back_are_found():
+    text = "alpha " + "b" * 500 + " " * 300 + "4"
+    assert pii._patterns(text, len(text) - 1) == [pii._named("b" * 500), pii._named("alpha " + "b" * 500)]
+    assert pii._patterns("x 4", 2) == ["x"] and pii._patterns("4", 0) == [] and len({pii._named("c" * n) for n in range(60, 90)}) == 30

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, few, free_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -118,19 +118,19 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS
     sources = [{"place": i, "source": r["source"], "size": r["size"], "docs": r["docs"], "target": t} for i, (r, t) in enumerate(zip(order, targets, strict=True))]
     names = spark.createDataFrame([(s["place"], s["source"], s["size"], float(s["size"]) / s["docs"], s["target"]) for s in sources],
                                   "place int, source string, source_size long, mean double, target double")
-    placed = light.join(names.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    placed = light.join(few(names.withColumnRenamed("source", "named"), len(sources)), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     solved = multipliers(cut(placed.groupBy("place", F.col("size").alias("n")).agg(F.count("*").alias("docs"))), sources)
     tilt = spark.createDataFrame([(p, t) for p, t in solved.items()], "place int, t double")
     tilted = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("t") == math.inf, F.lit(float(MOST))).when(F.col("t") == -math.inf, F.lit(0.0)).otherwise(
         _rate(F.col("t"), F.col("size") / F.col("mean")))
     # rates and draws on a grid of 2^-40: sums over it are exact
     grid = float(1 << 40)
-    rated = cut(placed.join(tilt, "place").select(
+    rated = cut(placed.join(few(tilt, len(sources)), "place").select(
         "place", key, "mark", "source", "size", "source_size", "target", (F.round(tilted * grid) / grid).alias("rate"),
         (F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(1 << 40)) / grid).alias("draw")))
     shift = _shifts(rated, sources)
     theta = spark.createDataFrame(list(shift.items()), "place int, theta double")
-    out = rated.join(theta, "place").withColumn("copies", _copies(F.col("theta")))
+    out = rated.join(few(theta, len(sources)), "place").withColumn("copies", _copies(F.col("theta")))
     return out.select(key, "mark", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -152,7 +152,7 @@ def _shifts(rated: DataFrame, sources: list[dict]) -> dict[int, float]:
     best = {}
     for step in range(4):
         now = spark.createDataFrame(list(low.items()), "place int, low double")
-        rows = rated.filter("size > 0").join(now, "place")
+        rows = rated.filter("size > 0").join(few(now, len(low)), "place")
         if step == 0:
             for r in rows.groupBy("place").agg(F.sum(floor_ * F.col("size")).alias("n")).collect():
                 base[r["place"]] = int(r["n"])
@@ -187,7 +187,8 @@ def _shifts(rated: DataFrame, sources: list[dict]) -> dict[int, float]:
 def mixture(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; an empty document stays once. Columns stay as they are."""
     names = docs.columns
-    taken = mix(docs, key, weights, share).groupBy(F.col(key).alias("_key"), F.col("mark").alias("_mark")).agg(
-        F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).cast("int").alias("_copies"))
-    joined = docs.join(taken, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(key, "text") == F.col("_mark")))
-    return joined.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*names)
+    other, mark, copies, copy = free_names(docs, "key_", "mark_", "copies_", "copy_")
+    taken = mix(docs, key, weights, share).groupBy(F.col(key).alias(other), F.col("mark").alias(mark)).agg(
+        F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).cast("int").alias(copies))
+    joined = docs.join(taken, F.col(key).eqNullSafe(F.col(other)) & (F.xxhash64(key, "text") == F.col(mark)))
+    return joined.select(*names, F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy)).select(*names)

@@ -13,12 +13,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, free_names
 from .text import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -124,16 +125,26 @@ def _others(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int,
             yield start, end
 
 
+def _named(words: str) -> str:
+    """A text that stands for ``words``: itself, or for long ones their start and a digest of the whole."""
+    if len(words) <= 64:
+        return words
+    return f"{words[:32]}#{blake2b(words.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def _patterns(text: str, start: int) -> list[str]:
-    """The word, and the two words, before a position, lower-cased with their marks; at most 64 characters each."""
-    found = _BEFORE.search(text, max(0, start - 140), start)
+    """The word, and the two words, before a position, lower-cased with their marks."""
+    reach, found = 140, None
+    while True:  # as far back as two whole words need
+        low = max(0, start - reach)
+        found = _BEFORE.search(text, low, start)
+        if low == 0 or found and found.group(1) and found.start(1) > low:
+            break
+        reach *= 8
     if not found:
         return []
     two, one = found.group(1), found.group(2).lower()
-    out = [one] if len(one) <= 64 else []
-    if two and out and len(two) <= 64 and found.start(1) > max(0, start - 140):
-        out.append(f"{two.lower()} {one}")
-    return out
+    return [_named(one), *([_named(f"{two.lower()} {one}")] if two else [])]
 
 
 def _forms(word: str) -> list[str]:
@@ -175,16 +186,20 @@ def _edges(text: str, base: list[tuple[str, int, int]]) -> Iterator[dict]:
     words = text.lower().split()
     seen = dict.fromkeys(wanted, 0)
     for w in words:
+        if len(w) > 64:
+            w = _named(w)
         if w in seen:
             seen[w] += 1
     for w in zip(words, words[1:]):
         p = " ".join(w)
+        if len(p) > 64:
+            p = _named(p)
         if p in seen:
             seen[p] += 1
     for p, n in Counter(p for p, *_ in {(p, s) for p, _, s, *_ in out}).items():
         seen[p] = max(seen[p], n)
     for p, k, s, e, seed in out:
-        yield {"pattern": p, "kind": KINDS.index(k), "instance": text[s:e].lower()[:64], "seed": seed, "start": s, "end": e, "seen": seen[p]}
+        yield {"pattern": p, "kind": KINDS.index(k), "instance": _named(text[s:e].lower()), "seed": seed, "start": s, "end": e, "seen": seen[p]}
         seen[p] = 0
 
 
@@ -248,8 +263,9 @@ def redact(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     names = docs.columns
     at = names.index("text")
     found = find_pii(docs, key)
-    spans = found.filter(F.size("further") > 0).groupBy(F.col(key).alias("_key"), F.col("mark").alias("_mark")).agg(F.first("further").alias("_more"))
-    joined = docs.join(spans, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64("text") == F.col("_mark")), "left").select(*names, "_more")
+    other, mark, more_ = free_names(docs, "key_", "mark_", "more_")
+    spans = found.filter(F.size("further") > 0).groupBy(F.col(key).alias(other), F.col("mark").alias(mark)).agg(F.first("further").alias(more_))
+    joined = docs.join(spans, F.col(key).eqNullSafe(F.col(other)) & (F.xxhash64("text") == F.col(mark)), "left").select(*names, more_)
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

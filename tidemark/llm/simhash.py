@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .tables import components, cut, local_roots
+from .tables import components, cut, free_names, local_roots
 from .text import chunks
 
 TILE = 256
@@ -165,13 +165,15 @@ def representatives(docs: DataFrame, radius: int = 3, width: int = 3, key: str =
     stay, one for each fingerprint, where no keyed row is in their group. Columns stay as they are.
     """
     names = docs.columns
+    root, row, mark, same, print_, lone = free_names(docs, "root_", "row_", "mark_", "same_", "print_", "lone_")
     groups = simhash_groups(docs, radius, width, key)
-    roots = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_root")).distinct()
+    roots = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(root)).distinct()
     order = (F.xxhash64("text"), F.length("text"), F.col("text"))
-    keyed = docs.join(roots, F.col(key) == F.col("_root"), "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    bare = docs.filter(F.col(key).isNull()).withColumn("_mark", F.xxhash64("text"))
-    prints = fingerprints(bare.select("_mark", "text").distinct(), width, "_mark").withColumnRenamed("fingerprint", "_print").withColumnRenamed("_mark", "_same")
-    lone = groups.filter(F.col(key).isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("_lone")).distinct()
-    bare = bare.join(prints, F.col("_mark") == F.col("_same")).join(lone, F.col("_print") == F.col("_lone"), "left_semi")
-    bare = bare.withColumn("_row", F.row_number().over(Window.partitionBy("_print").orderBy(*order)))
-    return keyed.filter("_row = 1").select(*names).unionAll(bare.filter("_row = 1").select(*names))
+    keyed = docs.join(roots, F.col(key) == F.col(root), "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    bare = docs.filter(F.col(key).isNull()).withColumn(mark, F.xxhash64("text"))
+    prints = fingerprints(bare.select(mark, "text").distinct(), width, mark).withColumnsRenamed({"fingerprint": print_, mark: same})
+    alone = groups.filter(F.col(key).isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias(lone)).distinct()
+    bare = bare.join(prints, F.col(mark) == F.col(same)).join(alone, F.col(print_) == F.col(lone), "left_semi")
+    bare = bare.withColumn(row, F.row_number().over(Window.partitionBy(print_).orderBy(*order)))
+    first = F.col(row) == 1
+    return keyed.filter(first).select(*names).unionAll(bare.filter(first).select(*names))

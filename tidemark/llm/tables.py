@@ -20,6 +20,26 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(frame: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``frame`` has, in any case."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows up to which a frame that grows with sources or groups, not with documents, is broadcast.
+FEW = 10_000
+
+
+def few(frame: DataFrame, rows: int) -> DataFrame:
+    """``frame`` of so many counted rows, broadcast where these are few; else its joins are left to adaptive execution, which splits hot keys."""
+    return F.broadcast(frame) if rows <= FEW else frame
+
+
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes that the links (a, b) touch, and the smallest node reachable from each over these links."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
