@@ -303,15 +303,18 @@ def split_factor(actions: DataFrame, spans: DataFrame) -> DataFrame:
         F.coalesce(F.product(F.when(split & usable, F.col("ratio_numerator") / F.col("ratio_denominator"))), F.lit(1.0)).alias("_ratio"),
         F.max(F.col("action_type").isin(*STRUCTURAL)).alias("_is_structural"),
         F.max(split & ~F.coalesce(usable, F.lit(False))).alias("_is_bad"))
-    joined = spans.join(daily, "security_id", "left")
+    # A span names its months, so it meets the actions of its own months and no others of its security.
+    daily = daily.withColumn("_month", month_number("effective_date"))
+    months = F.sequence(month_number(F.date_add("span_start", 1)), month_number("span_end"))
+    asked = spans.where("span_end > span_start").select(*CELL, "span_start", "span_end", "decision_at", F.explode(months).alias("_month"))
     inside = (F.col("effective_date") > F.col("span_start")) & (F.col("effective_date") <= F.col("span_end")) & (
         F.col("available_at") <= F.col("decision_at"))
-    grouped = joined.groupBy(*CELL).agg(
-        F.coalesce(F.product(F.when(inside, F.col("_ratio"))), F.lit(1.0)).alias("_factor"),
-        F.coalesce(F.max(inside & F.col("_is_structural")), F.lit(False)).alias("_structural"),
-        F.coalesce(F.max(inside & F.col("_is_bad")), F.lit(False)).alias("_bad"))
-    reason = first_reason((F.col("_structural"), "structural_corporate_action"), (F.col("_bad"), "invalid_split_ratio"))
-    return grouped.select(*CELL, F.when(reason.isNull(), F.col("_factor")).alias("factor"), reason.alias("factor_reason"))
+    met = asked.join(daily, ["security_id", "_month"]).where(inside).groupBy(*CELL).agg(
+        F.product("_ratio").alias("_factor"), F.max("_is_structural").alias("_structural"), F.max("_is_bad").alias("_bad"))
+    grouped = spans.select(*CELL).join(met, CELL, "left")
+    no = F.lit(False)
+    reason = first_reason((F.coalesce("_structural", no), "structural_corporate_action"), (F.coalesce("_bad", no), "invalid_split_ratio"))
+    return grouped.select(*CELL, F.when(reason.isNull(), F.coalesce("_factor", F.lit(1.0))).alias("factor"), reason.alias("factor_reason"))
 
 
 def accounting_snapshot(facts: DataFrame, formations: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ class Query:
 
 CATALOGUE: dict[str, Query] = {}
 MODULES: tuple[str, ...] = (
-    "quality", "joins", "windows", "ranking", "labels", "fundamentals", "modelling", "selection",
+    "quality", "joins", "windows", "ranking", "labels", "fundamentals", "monthly", "modelling", "selection",
     "evaluation", "monitoring", "portfolio", "serving", "score_run", "ingest", "storage", "streams",
 )
 
