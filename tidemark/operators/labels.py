@@ -30,17 +30,26 @@ P95_LIMIT, MAX_LIMIT = 0.0010, 0.0025
 KEY = ["formation_date", "security_id"]
 
 
-def forward_returns(snapshots: DataFrame, sessions: DataFrame, bars: DataFrame, benchmark: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Close at the first later session to close at the h-th one, against the benchmark (LBL01).
-
-    ``snapshots`` has security_id and score_date on sessions. Missing marks withhold the label.
-    """
+def forward_windows(sessions: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """(score_date, horizon, entry, exit): the first later session and the h-th one, where the calendar has them."""
     index = sessions.select("session_date", "idx")
     exits = F.explode(F.array(*[F.lit(h) for h in horizons]))
     windows = index.withColumnRenamed("session_date", "score_date").withColumn("horizon", exits)
     at = lambda name: index.withColumnsRenamed({"session_date": name, "idx": f"_{name}"})
-    windows = windows.join(at("entry"), F.col("_entry") == F.col("idx") + 1).join(at("exit"), F.col("_exit") == F.col("idx") + F.col("horizon")).select(
+    return windows.join(at("entry"), F.col("_entry") == F.col("idx") + 1).join(at("exit"), F.col("_exit") == F.col("idx") + F.col("horizon")).select(
         "score_date", "horizon", "entry", "exit")
+
+
+def forward_returns(snapshots: DataFrame, sessions: DataFrame, bars: DataFrame, benchmark: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Close at the first later session to close at the h-th one, against the benchmark (LBL01).
+
+    ``snapshots`` has security_id and score_date on sessions. Missing marks withhold the label.
+    """
+    return returns_over(forward_windows(sessions, horizons), snapshots, bars, benchmark)
+
+
+def returns_over(windows: DataFrame, snapshots: DataFrame, bars: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Relative returns of the snapshots over ``windows`` (score_date, horizon, entry, exit)."""
     marks = lambda df, keys, side, prefix: df.select(
         *keys, F.col("session_date").alias(side), F.col("close").alias(f"{prefix}_{side}"), F.col("available_at").alias(f"{prefix}_{side}_at"))
     windows = windows.join(marks(benchmark, [], "entry", "b"), "entry", "left").join(marks(benchmark, [], "exit", "b"), "exit", "left")

@@ -9,12 +9,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import latest_per_key, with_first_decision
-from ..operators.labels import forward_returns
-from ..session import shared_checkpoint_dir
+from ..operators.labels import forward_windows, returns_over
+from ..session import cut_lineage, shared_checkpoint_dir
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -93,23 +93,39 @@ def close_decisions(path: str, decisions: DataFrame, at: str, seen: str, latenes
     return write
 
 
+def between_dates(rows: DataFrame, column: str, low, high) -> DataFrame:
+    """Rows of a range of dates, as literals that reach the scan."""
+    return rows.where((F.col(column) >= F.lit(low)) & (F.col(column) <= F.lit(high)))
+
+
 def emit_due_labels(path: str, calendar: str, snapshots: DataFrame, bars: DataFrame, benchmark: DataFrame, horizons: Sequence[int]) -> Callable[[DataFrame, int], None]:
     """A label is emitted once its h-th later session exists, and only once (STR04).
 
-    ``batch`` carries new session dates. Sessions may arrive in any order; a label that an earlier batch
-    emitted is kept.
+    ``batch`` carries new session dates. The state is the calendar, a date for each session and the batch that brought
+    it; the windows that close in a batch are those of its calendar less those of the calendar before, so only their
+    snapshots and the bars of their dates are read, however long the history. Sessions may arrive in
+    any order: one that arrives late closes the windows that it completes, and labels of earlier batches stay. A batch
+    that is replayed gives the same rows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.select("session_date").distinct()
         new.write.mode("overwrite").parquet(f"{calendar}/batch={batch_id}")
-        from pyspark.sql import Window
+        known = spark.read.parquet(calendar).where(F.col("batch") <= batch_id).groupBy("session_date").agg(F.min("batch").alias("batch"))
         ordered = Window.partitionBy(F.lit(1)).orderBy("session_date")
-        sessions = spark.read.parquet(calendar).select("session_date").distinct().withColumn("idx", F.row_number().over(ordered))
-        due = forward_returns(snapshots, sessions, bars, benchmark, horizons).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        done = stored(spark, path, due).where(F.col("batch_id") < batch_id)
-        fresh = due.join(done.select("security_id", "score_date", "horizon"), ["security_id", "score_date", "horizon"], "left_anti")
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        at = lambda through: known.where(F.col("batch") <= through).withColumn("idx", F.row_number().over(ordered))
+        closed = forward_windows(at(batch_id - 1), horizons).select("score_date", "horizon")
+        due = cut_lineage(forward_windows(at(batch_id), horizons).join(closed, ["score_date", "horizon"], "left_anti"))
+        span = due.agg(F.min("score_date").alias("first"), F.max("score_date").alias("last"), F.min("entry").alias("entry"), F.max("exit").alias("exit")).first()
+        if span["first"] is None:
+            if batch_id == 0:
+                returns_over(due, snapshots, bars, benchmark).limit(0).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(path)
+            return
+        rows = returns_over(
+            due, between_dates(snapshots, "score_date", span["first"], span["last"]), between_dates(bars, "session_date", span["entry"], span["exit"]),
+            between_dates(benchmark, "session_date", span["entry"], span["exit"]))
+        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     return write
 
 
