@@ -108,6 +108,30 @@ def turnover_periods(selected: DataFrame, size: int = ENTER) -> DataFrame:
         F.when(first, 1.0).otherwise(1.0 - F.col("retained") / size).alias("one_way_turnover"))
 
 
+def labelled_periods(selected: DataFrame, outcomes: DataFrame, ranked: DataFrame | None = None, *, minimum: int = 30) -> DataFrame:
+    """Return of each formation's names, withheld with the reasons where one of them has no label (PRT05).
+
+    ``selected`` has formation_date and security_id, ``outcomes`` also security_return, benchmark_return and
+    reason (for names without a return). Names of one formation that disagree on the benchmark fail the job, and so does a
+    formation with fewer than ``minimum`` different names in ``ranked``.
+    """
+    if ranked is not None:
+        counts = ranked.groupBy("formation_date").agg(F.count_distinct("security_id").alias("_names"))
+        few = F.when(F.col("_names") < minimum, F.raise_error(F.concat(F.lit(f"fewer than {minimum} ranked names on "), F.col("formation_date").cast("string"))).cast("string"))
+        selected = selected.join(counts.where(few.isNull()).select("formation_date"), "formation_date")
+    rows = selected.join(outcomes, ["formation_date", "security_id"], "left")
+    missing = F.col("security_return").isNull()
+    periods = rows.groupBy("formation_date").agg(
+        F.count(F.lit(1)).alias("names"), F.count("security_return").alias("labelled"), F.avg("security_return").alias("_return"),
+        F.min(F.when(~missing, F.col("benchmark_return"))).alias("_low"), F.max(F.when(~missing, F.col("benchmark_return"))).alias("_high"),
+        F.array_join(F.array_sort(F.collect_set(F.when(missing, F.coalesce("reason", F.lit("missing_label"))))), ",").alias("_reasons"))
+    differ = F.when(F.col("_low") != F.col("_high"), F.raise_error(F.concat(F.lit("names disagree on the benchmark on "), F.col("formation_date").cast("string"))).cast("string"))
+    whole = F.col("labelled") == F.col("names")
+    return periods.where(differ.isNull()).select(
+        "formation_date", "names", "labelled", F.when(whole, F.col("_return")).alias("portfolio_return"), F.when(whole, F.col("_low")).alias("benchmark_return"),
+        F.when(whole, F.col("_return") - F.col("_low")).alias("relative_return"), F.when(~whole, F.concat(F.lit("selected_outcome_unavailable:"), "_reasons")).alias("reason"))
+
+
 def period_summary(periods: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean gross, compounded, recurring turnover, net by cost case and break-even cost (PRT06).
 

@@ -113,6 +113,24 @@ def _(r):
     return p.turnover_periods(ranked(r).where("rank <= 20").select("formation_date", "security_id"))
 
 
+LABELS = """SELECT formation_date, security_id, CASE WHEN (security_id + year(formation_date)) % 97 NOT IN (3, 4) THEN target END AS security_return, month(formation_date) / 1000.0 AS benchmark_return,
+    CASE WHEN (security_id + year(formation_date)) % 97 = 3 THEN 'short_window' END AS reason FROM examples WHERE (security_id + month(formation_date)) % 89 <> 5"""
+
+
+@query("PRT05_labelled_periods", f"""
+    WITH j AS (SELECT s.score_date AS formation_date, s.security_id, security_return, benchmark_return, CASE WHEN security_return IS NULL THEN coalesce(reason, 'missing_label') END AS reason
+      FROM scores s LEFT JOIN ({LABELS}) l ON l.formation_date = s.score_date AND l.security_id = s.security_id WHERE s.score_rank <= 20),
+    g AS (SELECT formation_date, count(*) AS names, count(security_return) AS labelled, avg(security_return) AS pr, min(benchmark_return) FILTER (security_return IS NOT NULL) AS br, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM j GROUP BY 1)
+    SELECT formation_date, names, labelled, CASE WHEN names = labelled THEN pr END AS portfolio_return, CASE WHEN names = labelled THEN br END AS benchmark_return, CASE WHEN names = labelled THEN pr - br END AS relative_return,
+           CASE WHEN names <> labelled THEN 'selected_outcome_unavailable:' || reasons END AS reason FROM g""", digits="portfolio_return:9 benchmark_return relative_return:9")
+def _(r):
+    place = F.col("security_id") + F.year("formation_date")
+    outcomes = r.examples.where("(security_id + month(formation_date)) % 89 <> 5").select(
+        "formation_date", "security_id", F.when(~(place % 97).isin(3, 4), F.col("target")).alias("security_return"), (F.month("formation_date") / 1000.0).alias("benchmark_return"),
+        F.when(place % 97 == 3, "short_window").alias("reason"))
+    return p.labelled_periods(ranked(r).where("rank <= 20").select("formation_date", "security_id"), outcomes)
+
+
 BASKETS = f"""
     SELECT b.formation_date, b.gross_return, bx.open / be.open - 1 AS benchmark_return, t.one_way_turnover FROM (
       SELECT formation_date, any_value(execution_date) AS execution_date, any_value(exit_date) AS exit_date, avg(xo / open) - 1 AS gross_return FROM ({BOOK}) GROUP BY 1) b

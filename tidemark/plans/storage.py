@@ -1,14 +1,14 @@
-"""SRC09, SRC10, SRC12, SRC13, SNK06, SNK12-SNK14: queries that write files to the shared folder, and scan and verify them."""
+"""SRC09, SRC10, SRC12, SRC13, SNK06, SNK10, SNK12-SNK14: queries that write files to the shared folder, and scan and verify them."""
 
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as sc
 from ..operators.modelling import long_training_rows
 from ..session import shared_checkpoint_dir
 from ..sources import datasets as ds
 from ..sources import files
+from ..sources import sinks as snk
 from . import query
 
 HOLDOUT = "2000-07-01"
@@ -129,3 +129,21 @@ def _(r):
     token = F.concat_ws(":", F.lit("lineitem"), F.col("n").cast("string"), F.col("c").cast("string"))
     cells = r.outcomes.join(r.monthly.select("security_id", "formation_date", token.alias("lineage")), ["security_id", "formation_date"])
     return ds.tree_digest(cells, ["formation_date"], list(CELL_KEY), list(CELL_VALUES))
+
+
+@query("SNK06_prediction_insert", "SELECT score_date, security_id, raw_prediction AS prediction FROM scores WHERE eligible AND year(score_date) >= 2000", digits="prediction:9")
+def _(r):
+    scored = r.scores.where("eligible")
+    predictions = r.monthly.where("n >= 3").select(
+        F.col("formation_date").alias("score_date"), "security_id", ((F.col("d") * 3 + F.col("t")) / F.col("n")).alias("prediction"))
+    stored = predictions.where("year(score_date) < 2000")
+    return snk.insert_predictions(scored, predictions.unionByName(predictions.where("security_id % 4 = 0")), stored, ["score_date", "security_id"], ["prediction"])
+
+
+@query("SNK10_cohort_copy", "SELECT 'survivors' AS cohort_code, DATE '2001-01-03' AS as_of_date, security_id FROM securities WHERE security_id % 7 <> 0 AND security_id % 3 <> 0")
+def _(r):
+    dated = lambda day, keep: r.securities.where(keep).select(F.lit(day).cast("date").alias("as_of_date"), "security_id")
+    memberships = dated("2000-01-03", "true").unionByName(dated("2001-01-03", "security_id % 7 <> 0"))
+    held = memberships.where("as_of_date = DATE '2001-01-03' AND security_id % 3 = 0").select(F.lit("survivors").alias("cohort_code"), "as_of_date", "security_id")
+    other = r.securities.select(F.lit("older").alias("cohort_code"), F.lit("2000-01-03").cast("date").alias("as_of_date"), "security_id")
+    return snk.cohort_from_latest("survivors", memberships, held.unionByName(other))

@@ -83,6 +83,28 @@ def insert_or_conflict(incoming: DataFrame, stored: DataFrame, keys: Sequence[st
     return both.select(*incoming.columns, outcome.alias("outcome"), F.when(outcome == "conflict", F.array_join(differs, ",")).alias("different"))
 
 
+def insert_predictions(scored: DataFrame, predictions: DataFrame, stored: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Predictions to append: those of the scored snapshots that are not stored yet (SNK06).
+
+    The job fails, naming the key, where a scored snapshot has no prediction or a prediction no snapshot, where two
+    predictions of a key disagree, and where a stored prediction differs from the one that comes. Equal ones are kept.
+    """
+    named = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+    fails = lambda text: F.raise_error(F.concat(F.lit(text + " "), named)).cast("string")
+    lists = F.struct(*values)
+    unknown = F.lit(False)
+    for name in values:
+        unknown = unknown | F.col(name).isNull()
+    coming = predictions.groupBy(*keys).agg(F.min(lists).alias("_new"), F.max(lists).alias("_other"), F.max(unknown).alias("_null"))
+    marked = scored.select(*keys).distinct().withColumn("_scored", F.lit(True))
+    old = stored.select(*keys, F.struct(*values).alias("_old"))
+    rows = marked.join(coming, list(keys), "full").join(old, list(keys), "left")
+    wrong = F.when(F.col("_new").isNull() | F.col("_null"), fails("no prediction for")).when(F.col("_scored").isNull(), fails("no snapshot for")).when(
+        F.col("_new") != F.col("_other"), fails("predictions disagree for")).when(
+        F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.col("_new")), fails("a different prediction is stored for"))
+    return rows.where(F.when(wrong.isNull(), F.col("_old").isNull())).select(*keys, "_new.*")
+
+
 def rank_snapshots(scores: DataFrame) -> DataFrame:
     """Rank by score desc, id asc among eligible rows; others score 0 and read unavailable (SNK05)."""
     ranked = with_position(scores.where("eligible"), ["score_date"], "display_score", "security_id", descending=True, position="score_rank", size="_n").drop("_n")
@@ -118,6 +140,21 @@ def universe_snapshot(members: DataFrame, identifiers: DataFrame, as_of: Column)
     return joined.where(ok.isNull()).select(as_of.alias("as_of_date"), "security_id")
 
 
+def cohort_from_latest(code: str, memberships: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """Members of a cohort that copies the latest snapshot: cohort_code, as_of_date, security_id (SNK10).
+
+    ``memberships`` has as_of_date and security_id, ``cohorts`` the stored rows of the same shape. A cohort is fixed once it
+    has rows: the same source gives nothing new, another source fails the job.
+    """
+    latest = memberships.agg(F.max("as_of_date").alias("_latest"))  # one row
+    members = memberships.join(F.broadcast(latest), F.col("as_of_date") == F.col("_latest")).select(F.lit(code).alias("cohort_code"), "as_of_date", "security_id").distinct()
+    own = cohorts.where(F.col("cohort_code") == code)
+    source = own.agg(F.min("as_of_date").alias("_source"))  # one row, null for a new cohort
+    checked = members.crossJoin(F.broadcast(source))
+    other = F.when(F.col("_source") != F.col("as_of_date"), F.raise_error(F.concat(F.lit(f"cohort {code} is fixed to the snapshot of "), F.col("_source").cast("string"))).cast("string"))
+    return checked.where(other.isNull()).drop("_source").join(own.select("security_id"), "security_id", "left_anti").select("cohort_code", "as_of_date", "security_id")
+
+
 def receipts(payloads: DataFrame, provider: str, parser: str) -> DataFrame:
     """Content hash and size per payload, unique on (provider, reference, hash, parser) (SNK11)."""
     rows = payloads.select(F.lit(provider).alias("provider"), "reference", F.sha2("value", 256).alias("content_sha256"), F.octet_length("value").alias("byte_count"), F.lit(parser).alias("parser"))
