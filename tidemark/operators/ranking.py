@@ -120,21 +120,37 @@ def baseline_contributions(ranks: DataFrame, scores: DataFrame, inputs: int) ->
         "formation_date", "security_id", "feature_key", "percentile", "contribution", "verified")
 
 
-def linear_predictions(ranks: DataFrame, inputs: DataFrame, target_mean: float, *, ignore_zero: bool) -> DataFrame:
-    """target mean + sum of coefficient x (x - mean) / scale, under either eligibility contract (RNK09, RNK10).
+def linear_contracts(ranks: DataFrame, inputs: DataFrame, target_mean: float) -> DataFrame:
+    """target mean + sum of coefficient x (x - mean) / scale, under both eligibility contracts in one aggregation (RNK10).
 
-    A switched-off input contributes nothing, so under ``ignore_zero`` a missing one is
-    replaced by its mean, which is the same thing.
+    ``*_all`` needs every input, ``*_active`` those that are switched on. A missing input that is switched off is
+    replaced by its mean, so both contracts share one sum. Terms are added in order of their keys: equal
+    inputs give equal predictions, whatever the order of the rows, so they also round alike and rank by id.
     """
     rows = ranks.join(inputs, "feature_key")
-    required = F.col("coefficient") != 0 if ignore_zero else F.lit(True)
-    missing = required & F.col("percentile").isNull()
-    z = (F.coalesce("percentile", "mean") - F.col("mean")) / F.col("scale")
+    missing = F.col("percentile").isNull()
+    needed = missing & (F.col("coefficient") != 0)
+    term = F.col("coefficient") * (F.coalesce("percentile", "mean") - F.col("mean")) / F.col("scale")
+    terms = F.array_sort(F.collect_list(F.when(term.isNotNull(), F.struct("feature_key", term.alias("term")))))
     summed = rows.groupBy("formation_date", "security_id").agg(
-        F.sum(F.col("coefficient") * z).alias("_sum"), F.count_if(missing).alias("_missing"), reason_list(missing).alias("reason"))
-    return summed.select(
-        "formation_date", "security_id", (F.col("_missing") == 0).alias("eligible"),
-        F.when(F.col("_missing") == 0, F.lit(target_mean) + F.col("_sum")).alias("prediction"), "reason")
+        terms.alias("_terms"), F.count_if(missing).alias("_missing"), F.count_if(needed).alias("_needed"),
+        reason_list(missing).alias("reason_all"), reason_list(needed).alias("reason_active"))
+    total = F.when(F.size("_terms") > 0, F.aggregate("_terms", F.lit(0.0), lambda sum_, x: sum_ + x["term"]))
+    scored = summed.withColumn("_p", F.lit(target_mean) + total)
+    every, active = F.col("_missing") == 0, F.col("_needed") == 0
+    return scored.select(
+        "formation_date", "security_id", every.alias("eligible_all"), active.alias("eligible_active"),
+        F.when(every, F.col("_p")).alias("prediction_all"), F.when(active, F.col("_p")).alias("prediction_active"), "reason_all", "reason_active")
+
+
+def one_contract(contracts: DataFrame, name: str) -> DataFrame:
+    """The columns of one contract of :func:`linear_contracts`, under their plain names."""
+    return contracts.select("formation_date", "security_id", *[F.col(f"{c}_{name}").alias(c) for c in ("eligible", "prediction", "reason")])
+
+
+def linear_predictions(ranks: DataFrame, inputs: DataFrame, target_mean: float, *, ignore_zero: bool) -> DataFrame:
+    """Predictions under one eligibility contract (RNK09)."""
+    return one_contract(linear_contracts(ranks, inputs, target_mean), "active" if ignore_zero else "all")
 
 
 def display_positions(predictions: DataFrame, *, digits: int | None = None) -> DataFrame:

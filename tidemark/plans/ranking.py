@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..fixtures import TARGET_MEAN
 from ..functions import ranks
 from ..operators import ranking as k
+from ..session import cut_lineage
 from . import query
 
 KEYS = ["formation_date", "security_id"]
@@ -120,10 +121,8 @@ def _(r):
     SELECT a.formation_date, a.security_id, a.eligible AS eligible_all, b.eligible AS eligible_active, a.prediction AS prediction_all, b.prediction AS prediction_active, a.reason
     FROM linear_all a JOIN linear_active b USING (formation_date, security_id)""", digits="prediction_all:10 prediction_active:10")
 def _(r):
-    every = k.linear_predictions(r.sector_ranks, r.model_inputs, TARGET_MEAN, ignore_zero=False)
-    active = k.linear_predictions(r.sector_ranks, r.model_inputs, TARGET_MEAN, ignore_zero=True)
-    return every.select(*KEYS, F.col("eligible").alias("eligible_all"), F.col("prediction").alias("prediction_all"), "reason").join(
-        active.select(*KEYS, F.col("eligible").alias("eligible_active"), F.col("prediction").alias("prediction_active")), KEYS)
+    both = k.linear_contracts(r.sector_ranks, r.model_inputs, TARGET_MEAN)
+    return both.withColumnRenamed("reason_all", "reason").drop("reason_active")
 
 
 @query("RNK11_model_contributions", """
@@ -149,8 +148,8 @@ def _(r):
            count(o.prediction) AS identical_predictions, max(abs(n.rk - o.rk)) AS largest_rank_shift
     FROM linear_all a LEFT JOIN o USING (formation_date, security_id) LEFT JOIN n USING (formation_date, security_id) GROUP BY 1""")
 def _(r):
-    every = k.linear_predictions(r.sector_ranks, r.model_inputs, TARGET_MEAN, ignore_zero=False)
-    active = k.linear_predictions(r.sector_ranks, r.model_inputs, TARGET_MEAN, ignore_zero=True)
+    both = cut_lineage(k.linear_contracts(r.sector_ranks, r.model_inputs, TARGET_MEAN))
+    every, active = k.one_contract(both, "all"), k.one_contract(both, "active")
     rounded = lambda df: df.withColumn("prediction", F.round("prediction", 12))
     return k.eligibility_audit(rounded(every), rounded(active))
 
