@@ -139,20 +139,60 @@ def relative_strength_6m(df: DataFrame, benchmark: DataFrame, sessions: DataFram
     return guarded(rows, "relative_strength_6m", value, 127, (mismatch, "mismatched_127_session_benchmark_history")).drop("idx")
 
 
+MOMENTS = ("n", "y", "x", "syy", "sxx", "sxy")
+
+
+def pair_moments(frame) -> Column:
+    """Count, means and centred sums of the pairs (r, b) of a frame."""
+    found = (F.regr_count, F.regr_avgy, F.regr_avgx, F.regr_syy, F.regr_sxx, F.regr_sxy)
+    return F.struct(*[fn("r", "b").over(frame).alias(name) for fn, name in zip(found, MOMENTS)])
+
+
+def joined_moments(left: Column, right: Column) -> dict[str, Column]:
+    """syy, sxx and sxy of two disjoint sets of pairs; null where neither has a pair."""
+    size = lambda side: F.coalesce(side["n"], F.lit(0))
+    n = size(left) + size(right)
+    share = safe_divide(size(left) * size(right), n)
+    apart = {c: left[c] - right[c] for c in ("y", "x")}
+    none = F.lit(0.0)
+    both = lambda a, b: F.when(n > 0, F.coalesce(left[f"s{a}{b}"], none) + F.coalesce(right[f"s{a}{b}"], none) + F.coalesce(
+        apart[a] * apart[b] * share, none))
+    return {"syy": both("y", "y"), "sxx": both("x", "x"), "sxy": both("x", "y")}
+
+
+def rolling_pair_moments(df: DataFrame, size: int) -> DataFrame:
+    """Add ``_syy``, ``_sxx``, ``_sxy`` of the pairs (r, b) of the last ``size`` own sessions, in constant work a row.
+
+    Sessions fall into blocks of ``size``: a frame is the end of one block and the beginning of the next, and both
+    are running aggregates of their block. Nothing is subtracted, so digits and odd values stay within their frames. Rows
+    before the ``size``-th session cover what there is.
+    """
+    place = F.col("history") - 1
+    rows = df.withColumn("_block", F.floor(place / size))
+    block = Window.partitionBy("security_id", "_block")
+    upto = block.orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
+    onward = block.orderBy(F.col("session_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_onward", pair_moments(onward)).withColumn("_upto", pair_moments(upto))
+    earlier = F.when(place % size < size - 1, F.lag("_onward", size - 1).over(own()))
+    rows = rows.withColumn("_earlier", earlier)
+    found = joined_moments(F.col("_earlier"), F.col("_upto"))
+    return rows.withColumns({f"_{name}": value for name, value in found.items()}).drop("_block", "_onward", "_upto", "_earlier")
+
+
 def idiosyncratic_volatility_60d(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Residual volatility of a 60-return regression on the benchmark, two fitted parameters (WIN11)."""
     both = (F.col("benchmark_close") > 0) & (back("benchmark_close", 1) > 0)
     rows = with_benchmark(df, benchmark).withColumn("r", log_return()).withColumn(
-        "b", F.when(both, F.ln(F.col("benchmark_close") / back("benchmark_close", 1))))
-    frame = last(60)
-    sxx, syy, sxy = (fn("r", "b").over(frame) for fn in (F.regr_sxx, F.regr_syy, F.regr_sxy))
-    rows = rows.withColumn("_sxx", sxx).withColumn("_sse", syy - safe_divide(sxy * sxy, sxx))
-    value = F.sqrt(F.greatest(F.col("_sse"), F.lit(0.0)) / (60 - 2) * YEAR)
+        "b", F.when(both, F.ln(F.col("benchmark_close") / back("benchmark_close", 1)))).withColumn(
+        "_known", F.count("benchmark_close").over(so_far()))
+    matched = F.col("_known") - F.coalesce(back("_known", 61), F.lit(0))
+    rows = rolling_pair_moments(rows.withColumn("_matched", matched), 60)
+    value = F.sqrt(F.greatest(F.col("_syy") - safe_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx")), F.lit(0.0)) / (60 - 2) * YEAR)
     return guarded(
         rows, "idiosyncratic_volatility_60d", value, 61,
-        (F.count("benchmark_close").over(last(61)) < 61, "mismatched_61_session_benchmark_history"),
+        (F.col("_matched") < 61, "mismatched_61_session_benchmark_history"),
         (F.col("_sxx") <= 0, "zero_benchmark_variance"),
-    ).drop("_sxx", "_sse")
+    ).drop("_known", "_matched", "_syy", "_sxx", "_sxy")
 
 
 # ---- benchmark series ----
