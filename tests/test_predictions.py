@@ -42,3 +42,13 @@ def test_contracts_share_a_sum(spark):
     assert not out[1].eligible_all and out[1].prediction_all is None and out[1].eligible_active and out[1].prediction_active == 0.5 + 0.1 * 0.3
     assert out[1].reason_all == "required_feature_rank_unavailable=off@v1:gone" and out[1].reason_active is None
     assert not out[2].eligible_active and out[2].prediction_active is None and out[2].reason_active == "required_feature_rank_unavailable=a@v1:short"
+
+
+def test_tie_ranks_shuffle_their_rows_once(spark):
+    """The rows, their buckets' counts, the prefix sums of these and back: not one shuffle more."""
+    from tidemark.functions import ranks
+    rows = spark.createDataFrame([(i % 3, i, float(i % 7) if i % 5 else None) for i in range(100)], "g long, id long, v double")
+    out = ranks.with_tie_ranks(rows, ["g"], "v")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+    again = ranks.with_tie_ranks(rows, ["g"], "v", source=rows.select("g", "v"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))

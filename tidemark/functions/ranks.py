@@ -37,6 +37,14 @@ def order_bucket(value: Column) -> Column:
     return F.when(F.isnan(number), F.lit(LAST_BUCKET + 1)).otherwise(F.coalesce(F.floor(bounded), F.lit(0)))
 
 
+def bucket_offsets(weights: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
+    """(keys, _bucket, _before, total) of the ``_weight`` of each bucket: what lies in lower buckets, and in the group."""
+    group = Window.partitionBy(*keys)
+    lower = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return weights.select(
+        *keys, "_bucket", F.coalesce(F.sum("_weight").over(lower), F.lit(0)).alias("_before"), F.sum("_weight").over(group).alias(total))
+
+
 def cumulative_below(
     counts: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, weight: str, *,
     below: str = "below", total: str = "total",
@@ -47,16 +55,8 @@ def cumulative_below(
     """
     keys = list(keys)
     bucketed = counts.select("*", bucket.alias("_bucket"))
-    group = Window.partitionBy(*keys)
     before = (Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_weight"))
-        .select(
-            *keys, "_bucket",
-            F.coalesce(F.sum("_weight").over(group.orderBy("_bucket").rowsBetween(*before)), F.lit(0)).alias("_before"),
-            F.sum("_weight").over(group).alias(total),
-        )
-    )
+    offsets = bucket_offsets(bucketed.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_weight")), keys, total)
     inside = F.sum(weight).over(Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*before))
     placed = bucketed.select("*", F.coalesce(inside, F.lit(0)).alias("_inside")).join(offsets, [*keys, "_bucket"])
     kept = [c for c in counts.columns]
@@ -68,20 +68,25 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, ties: str =
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ties))
 
 
-def with_tie_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def with_tie_ranks(df: DataFrame, keys: Sequence[str], value: str, *, source: DataFrame | None = None) -> DataFrame:
     """Add ``below`` (rows with a smaller value), ``ties`` and ``total`` (non-null rows of the group).
 
-    Rows without a value keep their group's ``total``, with null ``below`` and ``ties``.
+    Rows without a value keep their group's ``total``, with null ``below`` and ``ties``. ``source`` has the same
+    keys and values where ``df`` is costly to compute twice: the buckets are counted from it.
     """
     keys = list(keys)
-    rows = df.select("*", F.col(value).isNull().alias("_null"), F.coalesce(F.col(value), F.lit(0)).alias("_value"))
-    counts = rows.groupBy(*keys, "_null", "_value").agg(F.count(value).alias("ties"))
-    bucket = F.when(F.col("_null"), F.lit(2**62)).otherwise(order_bucket(F.col("_value")))
-    ranked = cumulative_below(counts, keys, ["_null", "_value"], bucket, "ties")
-    joined = rows.join(ranked, [*keys, "_null", "_value"])
-    known = ~F.col("_null")
-    return joined.select(
-        *df.columns, F.when(known, F.col("below")).alias("below"), F.when(known, F.col("ties")).alias("ties"), "total")
+    # Nulls have a bucket of their own, without weight: the last one.
+    bucket = F.when(F.col(value).isNull(), F.lit(2**62)).otherwise(order_bucket(F.col(value)))
+    rows = df.select("*", bucket.alias("_bucket"))
+    counted = rows if source is None else source.select(*keys, value, bucket.alias("_bucket"))
+    offsets = bucket_offsets(counted.groupBy(*keys, "_bucket").agg(F.count(value).alias("_weight")), keys, "total")
+    # One shuffle and one sort of the rows: within a bucket both counts are running ones, the second with all equals of the row.
+    within = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    placed = rows.select("*", (F.rank().over(within) - 1).alias("_less"), F.count(value).over(within).alias("_upto"))
+    known = F.col(value).isNotNull()
+    return placed.join(offsets, [*keys, "_bucket"]).select(
+        *df.columns, F.when(known, F.col("_before") + F.col("_less")).alias("below"),
+        F.when(known, F.col("_upto") - F.col("_less")).alias("ties"), "total")
 
 
 def tie_percentile() -> Column:

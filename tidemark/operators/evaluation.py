@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank, exact_quantiles, with_position, with_tie_ranks
+from ..session import cut_lineage
 
 DATE = ["model_key", "formation_date"]
 BLOCK_MONTHS = 3
@@ -33,10 +34,11 @@ def pearson(rows: DataFrame, keys: Sequence[str], left: str, right: str, name: s
 
 
 def spearman(rows: DataFrame, keys: Sequence[str], left: str, right: str, name: str = "rank_ic") -> DataFrame:
-    """Correlation of tie-averaged ranks per group (EVL01)."""
+    """Correlation of tie-averaged ranks per group (EVL01). ``rows`` are read three times."""
     drop = ("below", "ties", "total")
-    ranked = with_tie_ranks(rows.select(*keys, left, right), keys, left).withColumn("_l", average_rank()).drop(*drop)
-    ranked = with_tie_ranks(ranked, keys, right).withColumn("_r", average_rank())
+    pairs = rows.select(*keys, left, right)
+    ranked = with_tie_ranks(pairs, keys, left).withColumn("_l", average_rank()).drop(*drop)
+    ranked = with_tie_ranks(ranked, keys, right, source=pairs).withColumn("_r", average_rank())
     return pearson(ranked, keys, "_l", "_r", name)
 
 
@@ -82,7 +84,8 @@ def consecutive(rows: DataFrame, keys: Sequence[str] = ("model_key",)) -> DataFr
 
 def rank_stability(rows: DataFrame, minimum: int = 20) -> DataFrame:
     """Spearman of predictions between consecutive formations over at least ``minimum`` common names (EVL08)."""
-    found = spearman(consecutive(rows), DATE, "prediction", "later", "stability").where(F.col("pairs") >= minimum)
+    pairs = cut_lineage(consecutive(rows).select(*DATE, "prediction", "later"))
+    found = spearman(pairs, DATE, "prediction", "later", "stability").where(F.col("pairs") >= minimum)
     return found.groupBy("model_key").agg(F.avg("stability").alias("mean_stability"), F.count(F.lit(1)).alias("transitions"))
 
 
@@ -117,7 +120,11 @@ def monthly_formation_report(rows: DataFrame, size: int = 20) -> DataFrame:
 
 
 def metrics_bundle(rows: DataFrame, cost_bps: float = 25.0, size: int = 20) -> DataFrame:
-    """IC, spread, stability, monthly turnover, net return and errors per model (EVL07, EVL11)."""
+    """IC, spread, stability, monthly turnover, net return and errors per model (EVL07, EVL11).
+
+    The rows are written once: every metric reads them.
+    """
+    rows = cut_lineage(rows.select(*DATE, "security_id", "prediction", "actual"))
     ic = spearman(rows, DATE, "prediction", "actual")
     daily = ic.groupBy("model_key").agg(F.avg("rank_ic").alias("mean_ic"), (F.count_if(F.col("rank_ic") > 0) / F.count(F.lit(1))).alias("positive_share"))
     spread = decile_spread(rows).groupBy("model_key").agg(F.avg("spread").alias("mean_spread"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as e
 from ..operators import modelling as m
 from ..operators import windows as w
+from ..session import cut_lineage
 from . import query
 from .modelling import FEATURES, TRAIN, long_coefficients, nested, ridge_sql
 from .windows import REGIMES
@@ -162,7 +163,8 @@ def _(r):
     SELECT model_key, regime, count(*) AS formations, avg(rank_ic) AS mean_ic, avg(spread) AS mean_spread, count(*) * 1.0 / any_value(t) AS share FROM d JOIN (SELECT model_key, count(*) AS t FROM d GROUP BY 1) USING (model_key) GROUP BY 1, 2""",
        digits="mean_ic mean_spread share")
 def _(r):
-    daily = e.spearman(r.predictions, e.DATE, "prediction", "actual").join(e.decile_spread(r.predictions), e.DATE)
+    rows = cut_lineage(r.predictions.select(*e.DATE, "security_id", "prediction", "actual"))
+    daily = e.spearman(rows, e.DATE, "prediction", "actual").join(e.decile_spread(rows), e.DATE)
     regimes = w.benchmark_regimes(r.benchmark_bars).select(F.col("session_date").alias("formation_date"), "regime")
     return e.regime_diagnostics(daily, regimes)
 
