@@ -161,10 +161,19 @@ def with_drop_reason(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> Data
     return df.withColumn("drop_reason", reason)
 
 
+#: Partitions of distinct keys for each of a shuffle's.
+KEY_PIECES = 16
+
+
 def key_integrity(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Duplicate keys and non-finite values of a modelling table, in one aggregation per check (FLT13)."""
-    broken = [F.count_if(F.col(v).isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias(f"bad_{v}") for v in values]
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *broken)
+    """Duplicate keys and non-finite values of a modelling table, in one aggregation per check (FLT13).
+
+    A task holds all keys of its partition, so the keys are spread over many more partitions than a shuffle has.
+    """
+    broken = [F.count_if(f"_{v}").alias(f"bad_{v}") for v in values]
+    flags = [(F.col(v).isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias(f"_{v}") for v in values]
+    pieces = KEY_PIECES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_key = df.select(*keys, *flags).repartition(pieces, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *broken)
     return per_key.agg(
         F.count(F.lit(1)).alias("keys"), F.count_if(F.col("_copies") > 1).alias("duplicate_keys"),
         *[F.sum(f"bad_{v}").alias(f"bad_{v}") for v in values],
