@@ -1,11 +1,12 @@
 """Exact ranks, positions and quantiles that never sort a whole group in one task.
 
 A plain ``rank() over (partition by group order by value)`` puts every row of a
-group on one task. Here equal values collapse map-side first, the distinct
-values of a group are split into ordered buckets, and only the bucket totals
-(a few thousand rows per group at most) are prefix-summed over the group. The
+group on one task. Here a group is split into ordered buckets, and only the bucket
+totals (a few thousand rows per group at most) are prefix-summed over the group. The
 result is exact whatever the bucket sizes are: the bucket is a monotone function
-of the value, so it changes balance and never the answer.
+of the value, so it changes balance and never the answer. Positions and quantiles
+collapse equal values map-side first; tie ranks move the rows themselves, once, by
+group and bucket, so that the rows of a bucket, or all nulls, of a group meet in one task.
 
 Group keys must not be null.
 """
