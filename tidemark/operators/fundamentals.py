@@ -212,25 +212,51 @@ def wide_metrics(rows: DataFrame, names: Sequence[str], columns: dict[str, str])
         pick(name, source).alias(pattern.format(name)) for name in names for source, pattern in columns.items()])
 
 
-def ttm_rows(quarters: DataFrame, formations: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
-    """Latest four consecutive standalone quarters per formation and metric, by concept priority."""
+def stretches(rows: DataFrame, keys: Sequence[str], spans: str) -> DataFrame:
+    """Each row over the decisions [decision_ord, until_ord) between two bounds of its ``spans``, which have ``lo`` and ``hi``.
+
+    ``spans`` are then those that stand there, in their order; rows without any drop out.
+    """
+    bounds = F.array_sort(F.array_distinct(F.concat(F.transform(spans, lambda s: s["lo"]), F.transform(spans, lambda s: s["hi"]))))
+    cut = rows.select(*keys, spans, bounds.alias("_bounds"))
+    length = F.greatest(F.size("_bounds") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_bounds", 1, length), F.slice("_bounds", 2, length), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+    at = cut.select(*keys, spans, F.explode(pairs).alias("_at"))
+    stands = F.filter(spans, lambda s: (s["lo"] <= F.col("_at.lo")) & (F.col("_at.lo") < s["hi"]))
+    return at.select(*keys, F.col("_at.lo").alias("decision_ord"), F.col("_at.hi").alias("until_ord"), stands.alias(spans))
+
+
+def ttm_intervals(quarters: DataFrame, formations: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Latest four consecutive standalone quarters per metric, by concept priority, over the decisions at which they are the same.
+
+    A quarter takes part from its period's end on. A security's quarters meet in one row per metric, where the
+    four change only with a version, so they are not spread over the formations.
+    """
     concepts = [c for group in groups.values() for c in group]
     wanted = quarters.where(F.col("concept").isin(*concepts))
-    known = expand_versions(version_intervals(wanted, PERIOD, formations, "available_at", ["available_at", "value"]), formations)
-    newest = Window.partitionBy(*CELL, "concept").orderBy(F.col("period_end").desc())
-    four = known.where("value IS NOT NULL AND period_end <= formation_date").withColumn("_n", F.row_number().over(newest)).where("_n <= 4")
-    ordered = Window.partitionBy(*CELL, "concept").orderBy("period_end")
-    gap = days("period_start", F.lag("period_end").over(ordered)) - 1
-    summed = four.withColumn("_gap", F.coalesce(gap, F.lit(0))).groupBy(*CELL, "concept").agg(
-        F.sum("value").alias("value"), F.count(F.lit(1)).alias("_quarters"), F.max("period_end").alias("period_end"),
-        F.min(F.col("_gap").between(0, ASSET_GAP_DAYS)).alias("_consecutive"))
-    good = summed.where("_quarters = 4 AND _consecutive").withColumn("metric", metric_of(groups)).withColumn("_priority", priority(concepts))
-    return latest_per_key(good, [*CELL, "metric"], ["_priority"]).select(*CELL, "metric", "value", "period_end", "concept")
+    known = version_intervals(wanted, PERIOD, formations, "available_at", ["available_at", "value"]).where("value IS NOT NULL")
+    calendar = formations.agg(F.array_sort(F.collect_list(F.struct("decision_at", "formation_date")))["formation_date"].alias("_dates"))  # one row
+    ended = F.array_min(F.filter(F.sequence("decision_ord", F.col("until_ord") - 1), lambda o: F.col("period_end") <= F.get("_dates", (o - 1).cast("int"))))
+    lo = F.when(F.col("period_end") <= F.col("formation_date"), F.col("decision_ord")).otherwise(ended)
+    spans = known.crossJoin(F.broadcast(calendar)).select(
+        "security_id", metric_of(groups).alias("metric"),
+        F.struct(priority(concepts).alias("priority"), "period_end", "period_start", "value", "concept", lo.alias("lo"), F.col("until_ord").alias("hi")).alias("_span"))
+    history = spans.where("_span.lo IS NOT NULL").groupBy("security_id", "metric").agg(F.collect_list("_span").alias("_spans"))
+    newest = history.withColumn("_spans", F.reverse(F.array_sort("_spans")))
+    standing = stretches(newest, ["security_id", "metric"], "_spans")
+    of = lambda place: F.slice(F.filter("_spans", lambda s: s["priority"] == place), 1, 4)
+    follows = lambda q, i: (days(q[i]["period_start"], q[i + 1]["period_end"]) - 1).between(0, ASSET_GAP_DAYS)
+    whole = F.filter(F.array(*[of(place) for place in range(len(concepts), 0, -1)]), lambda q: (F.size(q) == 4) & follows(q, 0) & follows(q, 1) & follows(q, 2))
+    first = standing.select("security_id", "metric", "decision_ord", "until_ord", F.explode(F.slice(whole, 1, 1)).alias("_q"))
+    q = F.col("_q")
+    return first.select(
+        "security_id", "metric", "decision_ord", "until_ord", (q[3]["value"] + q[2]["value"] + q[1]["value"] + q[0]["value"]).alias("value"),
+        q[0]["period_end"].alias("period_end"), q[0]["concept"].alias("concept"))
 
 
 def true_ttm(quarters: DataFrame, formations: DataFrame, concepts: Sequence[str], name: str) -> DataFrame:
     """Sum of the latest four consecutive standalone quarters known at each formation (FND08)."""
-    return ttm_rows(quarters, formations, {name: concepts}).select(
+    return expand_versions(ttm_intervals(quarters, formations, {name: concepts}), formations).select(
         *CELL, F.col("value").alias(name), F.col("period_end").alias(f"{name}_end"), F.col("concept").alias(f"{name}_concept"))
 
 
@@ -240,21 +266,23 @@ def endpoint_versions(facts: DataFrame, concepts: Sequence[str]) -> DataFrame:
     return resolve_ties(instants, ["security_id", "concept", "period_end"]).withColumn("priority", priority(concepts))
 
 
-def endpoint_rows(facts: DataFrame, formations: DataFrame, groups: dict[str, Sequence[str]], positive: Sequence[str]) -> DataFrame:
-    """Latest instant fact per formation and metric; ambiguous or non-positive ones carry a reason."""
+def endpoint_intervals(facts: DataFrame, formations: DataFrame, groups: dict[str, Sequence[str]], positive: Sequence[str]) -> DataFrame:
+    """Latest instant fact per metric over the decisions at which it stands; ambiguous or non-positive ones carry a reason."""
     concepts = [c for group in groups.values() for c in group]
     versions = endpoint_versions(facts, concepts).withColumn("metric", metric_of(groups))
     order = ["priority", "period_end", "available_at", "accepted_at"]
-    rows = expand_versions(version_intervals(versions, ["security_id", "metric"], formations, "available_at", order), formations)
+    rows = version_intervals(versions, ["security_id", "metric"], formations, "available_at", order)
     must_be_positive = F.col("metric").isin(*positive) if positive else F.lit(False)
     reason = first_reason(
         (F.col("ambiguous"), "ambiguous_latest_endpoint_context"), (must_be_positive & (F.col("value") <= 0), "nonpositive_latest_endpoint"))
-    return rows.select(*CELL, "metric", F.when(reason.isNull(), F.col("value")).alias("value"), "period_end", "concept", reason.alias("reason"))
+    return rows.select(
+        "security_id", "metric", "decision_ord", "until_ord", F.when(reason.isNull(), F.col("value")).alias("value"), "period_end", "concept",
+        reason.alias("reason"))
 
 
 def latest_endpoint(facts: DataFrame, formations: DataFrame, concepts: Sequence[str], name: str, *, positive: bool = False) -> DataFrame:
     """Latest instant fact of the first concept with candidates (FND09)."""
-    rows = endpoint_rows(facts, formations, {name: concepts}, [name] if positive else [])
+    rows = expand_versions(endpoint_intervals(facts, formations, {name: concepts}, [name] if positive else []), formations)
     return rows.select(*CELL, F.col("value").alias(name), F.col("period_end").alias(f"{name}_end"), "concept", F.col("reason").alias(f"{name}_reason"))
 
 
@@ -262,32 +290,36 @@ def month_number(day: str | Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def prior_rows(facts: DataFrame, formations: DataFrame, current: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
-    """Endpoint whose period ends 330-400 days before the current one, as known at the formation.
+def prior_intervals(facts: DataFrame, formations: DataFrame, current: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Endpoint whose period ends 330-400 days before the current one, over the decisions at which both stand.
 
-    The day band is turned into an equi key: a current row names the months its prior can end in.
-    ``current`` has formation_date, security_id, metric, period_end.
+    ``current`` has security_id, metric, period_end and its decision_ord, until_ord. A security's periods meet
+    it in one row per metric, which keeps those in the day band.
     """
     concepts = [c for group in groups.values() for c in group]
     versions = endpoint_versions(facts, concepts).withColumn("metric", metric_of(groups))
     periods = version_intervals(versions, ["security_id", "metric", "period_end"], formations, "available_at", ["available_at", "accepted_at"])
-    prior = periods.select(
-        "security_id", "metric", F.col("period_end").alias("prior_end"), F.col("value").alias("prior_value"), "ambiguous",
-        "decision_ord", "until_ord", month_number("period_end").alias("month"))
-    months = F.sequence(month_number(F.date_sub("period_end", PRIOR_DAYS[1])), month_number(F.date_sub("period_end", PRIOR_DAYS[0])))
-    asks = current.join(numbered(formations), "formation_date").select(
-        *CELL, "metric", F.col("period_end").alias("_end"), "ord", F.explode(months).alias("month"))
-    held = (F.col("decision_ord") <= F.col("ord")) & (F.col("ord") < F.col("until_ord"))
-    found = asks.join(prior, ["security_id", "metric", "month"]).where(held & days("_end", "prior_end").between(*PRIOR_DAYS))
-    best = found.groupBy(*CELL, "metric").agg(
-        F.max("prior_end").alias("period_end"), F.max_by("prior_value", "prior_end").alias("_v"), F.max_by("ambiguous", "prior_end").alias("_a"))
-    return best.select(*CELL, "metric", "period_end", F.when(~F.col("_a") & (F.col("_v") > 0), F.col("_v")).alias("value"))
-
-
-def comparable_prior(facts: DataFrame, formations: DataFrame, current: DataFrame, concept: str, name: str) -> DataFrame:
-    """Comparable prior endpoint of one metric (FND10)."""
-    asks = current.where(F.col(name).isNotNull()).select(*CELL, F.lit(name).alias("metric"), F.col(f"{name}_end").alias("period_end"))
-    rows = prior_rows(facts, formations, asks, {name: [concept]})
+    span = F.struct("period_end", "value", "ambiguous", F.col("decision_ord").alias("lo"), F.col("until_ord").alias("hi"))
+    history = periods.groupBy("security_id", "metric").agg(F.collect_list(span).alias("_all"))
+    near = F.filter("_all", lambda s: days(F.col("period_end"), s["period_end"]).between(*PRIOR_DAYS) & (
+        s["lo"] < F.col("until_ord")) & (F.col("decision_ord") < s["hi"]))
+    clipped = F.transform("_near", lambda s: F.struct(
+        s["period_end"].alias("period_end"), s["value"].alias("value"), s["ambiguous"].alias("ambiguous"),
+        F.greatest(s["lo"], F.col("decision_ord")).alias("lo"), F.least(s["hi"], F.col("until_ord")).alias("hi")))
+    met = current.join(history, ["security_id", "metric"]).select("security_id", "metric", "decision_ord", "until_ord", near.alias("_near"))
+    standing = stretches(met.withColumn("_spans", clipped), ["security_id", "metric"], "_spans")
+    # One version of a period stands at a time, so the largest span is that of the latest period.
+    best = standing.select("security_id", "metric", "decision_ord", "until_ord", F.explode(F.slice(F.sort_array("_spans", asc=False), 1, 1)).alias("_s"))
+    good = ~F.col("_s.ambiguous") & (F.col("_s.value") > 0)
+    return best.select(
+        "security_id", "metric", "decision_ord", "until_ord", F.when(good, F.col("_s.value")).alias("value"), F.col("_s.period_end").alias("period_end"))
+
+
+def comparable_prior(facts: DataFrame, formations: DataFrame, concept: str, name: str) -> DataFrame:
+    """Comparable prior of the latest positive endpoint of one metric (FND10)."""
+    group = {name: [concept]}
+    current = endpoint_intervals(facts, formations, group, [name]).where("value IS NOT NULL")
+    rows = expand_versions(prior_intervals(facts, formations, current, group), formations)
     return rows.select(*CELL, F.col("period_end").alias(f"prior_{name}_end"), F.col("value").alias(f"prior_{name}"))
 
 
@@ -320,18 +352,18 @@ def split_factor(actions: DataFrame, spans: DataFrame) -> DataFrame:
 def accounting_snapshot(facts: DataFrame, formations: DataFrame) -> DataFrame:
     """TTM income and cash flow, assets, equity, shares and the comparable priors, one row per cell (FND13).
 
-    Metrics of one kind share a pass and are unfolded by a conditional aggregation.
+    Metrics of one kind share a pass. All are ranges of decisions until the last step, which spreads them over the
+    formations and unfolds them within their security's task.
     """
     compared = {"assets": ["Assets"], "shares": [SHARES]}
-    ends = endpoint_rows(facts, formations, {**compared, "equity": EQUITY}, list(compared))
-    priors = prior_rows(facts, formations, ends.where(F.col("value").isNotNull() & F.col("metric").isin(*compared)), compared)
-    flows = ttm_rows(standalone_quarters(facts), formations, {"income": INCOME, "cash": CASH_FLOW})
-    shape = {"value": "{}", "period_end": "{}_end"}
-    return (
-        wide_metrics(ends, ["assets", "shares", "equity"], shape)
-        .join(wide_metrics(flows, ["income", "cash"], shape), CELL, "full")
-        .join(wide_metrics(priors, list(compared), {"value": "prior_{}", "period_end": "prior_{}_end"}), CELL, "full")
-    )
+    ends = endpoint_intervals(facts, formations, {**compared, "equity": EQUITY}, list(compared))
+    priors = prior_intervals(facts, formations, ends.where(F.col("value").isNotNull() & F.col("metric").isin(*compared)), compared)
+    flows = ttm_intervals(standalone_quarters(facts), formations, {"income": INCOME, "cash": CASH_FLOW})
+    columns = ["security_id", "metric", "decision_ord", "until_ord", "value", "period_end"]
+    prior = priors.withColumn("metric", F.concat(F.lit("prior_"), "metric"))
+    held = ends.select(columns).unionByName(flows.select(columns)).unionByName(prior.select(columns)).repartition("security_id")
+    names = ["assets", "shares", "equity", "income", "cash", *(f"prior_{name}" for name in compared)]
+    return wide_metrics(expand_versions(held, formations), names, {"value": "{}", "period_end": "{}_end"})
 
 
 def usable(name: str, label: str) -> Column:

@@ -143,13 +143,12 @@ def prior_sql(current: str, concept: str, name: str) -> str:
 
 @query("FND10_comparable_prior", prior_sql(ASSETS, "Assets", "assets"), digits="prior_assets:2")
 def _(r):
-    assets = f.latest_endpoint(r.facts, r.formations, ["Assets"], "assets", positive=True)
-    return f.comparable_prior(r.facts, r.formations, assets, "Assets", "assets")
+    return f.comparable_prior(r.facts, r.formations, "Assets", "assets")
 
 
 def spans(r, shares=None, prior=None):
     shares = f.latest_endpoint(r.facts, r.formations, [f.SHARES], "shares", positive=True) if shares is None else shares
-    prior = f.comparable_prior(r.facts, r.formations, shares, f.SHARES, "shares") if prior is None else prior
+    prior = f.comparable_prior(r.facts, r.formations, f.SHARES, "shares") if prior is None else prior
     return shares.join(prior, CELL).join(r.formations, "formation_date").select(
         *CELL, F.col("prior_shares_end").alias("span_start"), F.col("shares_end").alias("span_end"), "decision_at")
 
