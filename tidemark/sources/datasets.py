@@ -55,15 +55,20 @@ def tree_digest(rows: DataFrame, groups: Sequence[str], key: Sequence[str], valu
     task holds more than a leaf or a node's children, and the result does not depend on partitions or order.
     Repeated rows count. The tree's depth follows from the number of all rows.
     """
-    own = rows.select(*groups, F.sha2(canonical(rows, key, places), 256).alias("_k"), F.sha2(canonical(rows, [*key, *values], places), 256).alias("_r"))
-    rows_once = own.groupBy(*groups, "_k", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    digest = lambda columns: F.unhex(F.sha2(canonical(rows, columns, places), 256))
+    text = lambda name: F.lower(F.hex(name))
     depth = levels(rows.count())
-    entry = F.concat_ws(":", "_k", "_r", "_n")
-    nodes = rows_once.groupBy(*groups, F.substring("_k", 1, 2 * depth).alias("_p")).agg(
+    own = rows.select(*groups, digest(key).alias("_k"), digest([*key, *values]).alias("_r"))
+    # One shuffle of the rows: a child of the root has its whole subtree in one task, node by node.
+    branch = own.withColumn("_top", F.substring("_k", 1, min(depth, 1))).repartition(*groups, "_top")
+    rows_once = branch.groupBy(*groups, "_top", "_k", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.concat_ws(":", text("_k"), text("_r"), "_n")
+    nodes = rows_once.groupBy(*groups, "_top", F.substring(text("_k"), 1, 2 * depth).alias("_p")).agg(
         F.sum("_n").alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("_h"))
     for level in range(depth, 0, -1):
         entry = F.concat_ws(":", F.substring("_p", 2 * level - 1, 2), "_h")
-        nodes = nodes.groupBy(*groups, F.substring("_p", 1, 2 * (level - 1)).alias("_p")).agg(
+        within = [*groups, "_top"] if level > 1 else groups
+        nodes = nodes.groupBy(*within, F.substring("_p", 1, 2 * (level - 1)).alias("_p")).agg(
             F.sum("_n").alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("_h"))
     return nodes.select(*groups, F.col("_n").alias("rows_count"), F.col("_h").alias("digest"))
 
