@@ -84,3 +84,23 @@ def test_priors_equal_a_direct_lookup(spark):
                 if near:
                     expected[(day, security)] = (max(near), standing[max(near)] if standing[max(near)] > 0 else None)
     assert len(expected) > 50 and got == expected
+
+
+def test_formations_of_one_span_keep_what_they_know(spark):
+    at = lambda day: dt.datetime.combine(day, dt.time())
+    start, end = D(2000, 1, 1), D(2001, 1, 1)
+    spans = spark.createDataFrame([(d, s, start, end, at(d)) for d in (D(2001, 2, 1), D(2001, 3, 1)) for s in (1, 2)] + [(D(2001, 3, 1), 3, None, end, at(end))],
+                                  "formation_date date, security_id long, span_start date, span_end date, decision_at timestamp")
+    split = lambda s, day, known: (s, "forward_split", day, 2.0, 1.0, at(known))
+    actions = spark.createDataFrame([split(1, D(2000, 6, 1), D(2000, 6, 2)), split(1, D(2000, 7, 1), D(2001, 2, 15)), split(1, start, start)],
+                                    "security_id long, action_type string, effective_date date, ratio_numerator double, ratio_denominator double, available_at timestamp")
+    got = {(r.formation_date.month, r.security_id): r.factor for r in f.split_factor(actions, spans).collect()}
+    assert got == {(2, 1): 2.0, (3, 1): 4.0, (2, 2): 1.0, (3, 2): 1.0, (3, 3): 1.0}
+
+
+def test_closes_aggregate_the_formation_sessions_only(spark):
+    from tidemark.fixtures import Research
+    from tidemark.plans import fundamentals as plans
+
+    plan = plans.closes(Research(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [security_id") < plan.index("LeftSemi")

@@ -80,8 +80,12 @@ class Research:
     @cached_property
     def bars(self) -> DataFrame:
         """Split-adjusted weekly bars per supplier; partial aggregation absorbs hot suppliers."""
+        return self.bars_of(self.trades)
+
+    @staticmethod
+    def bars_of(trades: DataFrame) -> DataFrame:
         return (
-            self.trades.groupBy("security_id", "session_date")
+            trades.groupBy("security_id", "session_date")
             .agg(
                 F.min_by("price", "seq").alias("open"),
                 F.max("price").alias("high"),
@@ -94,8 +98,12 @@ class Research:
 
     @cached_property
     def unadjusted_bars(self) -> DataFrame:
+        return self.unadjusted(self.bars)
+
+    @staticmethod
+    def unadjusted(bars: DataFrame) -> DataFrame:
         factor = F.when(F.col("session_date") < F.lit(SPLIT_DATE).cast("date"), 2.0).otherwise(1.0)
-        return self.bars.select(
+        return bars.select(
             "security_id", "session_date",
             (F.col("close") * factor).alias("close"),
             (F.col("volume") / factor).alias("volume"),

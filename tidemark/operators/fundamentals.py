@@ -335,15 +335,17 @@ def split_factor(actions: DataFrame, spans: DataFrame) -> DataFrame:
         F.coalesce(F.product(F.when(split & usable, F.col("ratio_numerator") / F.col("ratio_denominator"))), F.lit(1.0)).alias("_ratio"),
         F.max(F.col("action_type").isin(*STRUCTURAL)).alias("_is_structural"),
         F.max(split & ~F.coalesce(usable, F.lit(False))).alias("_is_bad"))
-    # A span names its months, so it meets the actions of its own months and no others of its security.
+    # A span names its months, so it meets the actions of its own months and no others of its security. Formations that
+    # share a span ask once; each then keeps what it knows.
     daily = daily.withColumn("_month", month_number("effective_date"))
     months = F.sequence(month_number(F.date_add("span_start", 1)), month_number("span_end"))
-    asked = spans.where("span_end > span_start").select(*CELL, "span_start", "span_end", "decision_at", F.explode(months).alias("_month"))
-    inside = (F.col("effective_date") > F.col("span_start")) & (F.col("effective_date") <= F.col("span_end")) & (
-        F.col("available_at") <= F.col("decision_at"))
-    met = asked.join(daily, ["security_id", "_month"]).where(inside).groupBy(*CELL).agg(
-        F.product("_ratio").alias("_factor"), F.max("_is_structural").alias("_structural"), F.max("_is_bad").alias("_bad"))
-    grouped = spans.select(*CELL).join(met, CELL, "left")
+    span = ["security_id", "span_start", "span_end"]
+    asked = spans.where("span_end > span_start").select(*span).distinct().select(*span, F.explode(months).alias("_month"))
+    inside = (F.col("effective_date") > F.col("span_start")) & (F.col("effective_date") <= F.col("span_end"))
+    met = asked.join(daily, ["security_id", "_month"]).where(inside).select(*span, "available_at", "_ratio", "_is_structural", "_is_bad")
+    of = lambda name: F.when(F.col("available_at") <= F.col("decision_at"), F.col(name))
+    grouped = spans.select(*CELL, "span_start", "span_end", "decision_at").join(met, span, "left").groupBy(*CELL).agg(
+        F.product(of("_ratio")).alias("_factor"), F.max(of("_is_structural")).alias("_structural"), F.max(of("_is_bad")).alias("_bad"))
     no = F.lit(False)
     reason = first_reason((F.coalesce("_structural", no), "structural_corporate_action"), (F.coalesce("_bad", no), "invalid_split_ratio"))
     return grouped.select(*CELL, F.when(reason.isNull(), F.coalesce("_factor", F.lit(1.0))).alias("factor"), reason.alias("factor_reason"))

@@ -23,10 +23,11 @@ def newest(concept: str, name: str) -> str:
 CLOSES = "SELECT b.session_date AS formation_date, b.security_id, b.close FROM unadjusted_bars b JOIN formations f ON f.formation_date = b.session_date"
 
 
-def closes(r, bars=None):
-    bars = r.unadjusted_bars if bars is None else bars
-    return bars.select(F.col("session_date").alias("formation_date"), "security_id", "close").join(
-        r.formations.select("formation_date"), "formation_date", "left_semi")
+def closes(r, adjusted=False):
+    """Closes of the formation sessions; trades of other sessions make no bar."""
+    sessions = r.formations.select(F.col("formation_date").alias("session_date"))
+    bars = r.bars_of(r.trades.join(sessions, "session_date", "left_semi"))
+    return (bars if adjusted else r.unadjusted(bars)).select(F.col("session_date").alias("formation_date"), "security_id", "close")
 
 
 @query("FND01_annual_net_income", ANNUAL, digits="income:4")
@@ -265,7 +266,7 @@ def _(r):
     facts = r.facts.withColumn("available_at", filing_available_at(F.col("available_at")))
     income = f.annual_income(facts, r.formations)
     roa = f.return_on_assets(income, f.asset_history(facts, r.formations), r.formations)
-    ey = f.earnings_yield(income, f.latest_facts(facts, r.formations, f.SHARES, "shares"), closes(r, r.bars))
+    ey = f.earnings_yield(income, f.latest_facts(facts, r.formations, f.SHARES, "shares"), closes(r, adjusted=True))
     return roa.select(*CELL, "return_on_assets_ttm").join(ey.select(*CELL, F.col("earnings_yield_ttm").alias("earnings_yield")), CELL, "left")
 
 
