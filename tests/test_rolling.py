@@ -74,3 +74,34 @@ def test_work_per_row_does_not_grow_with_the_frame(spark):
     frame, benchmark, _, _ = bars(spark)
     plan = w.idiosyncratic_volatility_60d(w.price_history(frame), benchmark)._jdf.queryExecution().optimizedPlan().toString()
     assert "specifiedwindowframe" in plan and "-60, currentrow" not in plan and "-59, currentrow" not in plan
+
+
+def test_frames_are_put_together_from_short_ones(spark):
+    """Deviation and median equal brute force, with nulls and a flat series; no frame of the plan slides over more than ten rows."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        day = START + datetime.timedelta(days=i)
+        rows.append((1, day, float(100 * np.exp(0.02 * rng.normal())), int(rng.integers(1, 50))))
+        rows.append((2, day, 7.0, None if i % 3 == 0 else int(rng.integers(1, 50))))
+    frame = spark.createDataFrame(rows, "security_id long, session_date date, close double, volume long")
+    market = spark.createDataFrame([(START + datetime.timedelta(days=i), 50.0 + i) for i in range(150) if i != 140], "session_date date, close double")
+    days = spark.createDataFrame([(START + datetime.timedelta(days=i), i) for i in range(150)], "session_date date, idx int")
+    out = w.relative_strength_6m(w.median_dollar_volume_20d(w.volatility_60d(w.price_history(frame))), market, days, strict=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and all(f"-{n}, currentrow" not in plan for n in (19, 59, 126))
+    found = {(r["security_id"], (r["session_date"] - START).days): r for r in out.collect()}
+    for security in (1, 2):
+        own = [(c, v) for s, _, c, v in rows if s == security]
+        for i, (close, _) in enumerate(own):
+            row = found[security, i]
+            if i >= 60:
+                r = [math.log(own[k][0] / own[k - 1][0]) for k in range(i - 59, i + 1)]
+                assert math.isclose(row["trailing_volatility_60d"], np.std(r, ddof=1) * math.sqrt(252), rel_tol=1e-12)
+            else:
+                assert row["trailing_volatility_60d"] is None and row["trailing_volatility_60d_reason"] == "insufficient_61_session_history"
+            if i >= 19:
+                assert row["median_dollar_volume_20d"] == np.median([c * v for c, v in own[i - 19:i + 1] if v is not None])
+            if i >= 126:
+                mismatched = "mismatched_127_session_benchmark_history" if i >= 140 else None
+                assert row["relative_strength_6m_reason"] == mismatched and (row["relative_strength_6m"] is None) == (i >= 140)

@@ -16,11 +16,10 @@ CELL = ["formation_date", "security_id"]
 
 def market_cells(bars: DataFrame, unadjusted: DataFrame, benchmark: DataFrame, sessions: DataFrame, formations: DataFrame) -> DataFrame:
     """Market inputs at each formation, two columns per feature: value and reason."""
+    at_formation = lambda df: df.withColumnRenamed("session_date", "formation_date").join(formations.select("formation_date"), "formation_date", "left_semi")
     rows = w.volatility_60d(w.relative_strength_6m(w.momentum_12_1(w.price_history(bars)), benchmark, sessions, strict=False))
-    liquid = w.median_dollar_volume_20d(w.price_history(unadjusted)).select(
-        "security_id", "session_date", "median_dollar_volume_20d", "median_dollar_volume_20d_reason")
-    joined = rows.join(liquid, ["security_id", "session_date"], "left").withColumnRenamed("session_date", "formation_date")
-    return joined.join(formations.select("formation_date"), "formation_date", "left_semi")
+    liquid = at_formation(w.median_dollar_volume_20d(w.price_history(unadjusted))).select(*CELL, "median_dollar_volume_20d", "median_dollar_volume_20d_reason")
+    return at_formation(rows).join(liquid, CELL, "left")
 
 
 def feature_outcomes(market: DataFrame, facts: DataFrame, formations: DataFrame) -> DataFrame:
@@ -49,10 +48,10 @@ def score_run(outcomes: DataFrame, sectors: DataFrame, registry: DataFrame) -> D
     """Ranks, composite and 1..n rank per formation; unscored securities keep their reason (RNK16).
 
     Outcomes are written once to the shared checkpoint folder: ranking reads them several times,
-    and the features behind them are the costly part. Ineligible rows are placed below every
-    eligible one, so one pass ranks both.
+    and the features behind them are the costly part. So are scores, which are read twice to be placed.
+    Ineligible rows are placed below every eligible one, so one pass ranks both.
     """
-    scores = rk.equal_weight_composite(rk.sector_percentiles(cut_lineage(outcomes), sectors, registry))
+    scores = cut_lineage(rk.equal_weight_composite(rk.sector_percentiles(cut_lineage(outcomes), sectors, registry)))
     keyed = scores.withColumn("_p", F.coalesce(F.round("normalized_score", 10), F.lit(-1.0)))
     placed = with_position(keyed, ["formation_date"], "_p", "security_id", descending=True, position="_place", size="_n")
     return placed.select(*scores.columns, F.when(F.col("eligible"), F.col("_place")).alias("score_rank"))

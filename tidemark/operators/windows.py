@@ -91,9 +91,34 @@ def short_term_reversal(df: DataFrame, *, skip_day: bool) -> DataFrame:
     return guarded(df, "short_term_reversal_20d", span_return("close", 0, 20), 21)
 
 
+def pieces(column: str, size: int, piece: int) -> list[Column]:
+    """A frame of ``size`` own sessions as adjoining frames of ``piece``, of which ``column`` is an aggregate; newest first."""
+    return [back(column, i) if i else F.col(column) for i in range(0, size, piece)]
+
+
+def rolling_deviation(df: DataFrame, column: str, name: str, size: int, piece: int = 10) -> DataFrame:
+    """Add the sample deviation of the last ``size`` own sessions; null under two values.
+
+    A row adds up ``piece`` rows and joins the moments of ``size / piece`` such frames. Nothing is subtracted from a longer
+    sum, so digits and odd values stay within their frames, and equal values have none.
+    """
+    frame = last(piece)
+    count = F.count(column).over(frame)
+    rows = df.withColumn("_piece", F.struct(count.alias("n"), F.avg(column).over(frame).alias("mean"), (F.var_pop(column).over(frame) * count).alias("m2")))
+    names = [f"_piece{i}" for i in range(0, size, piece)]
+    rows = rows.withColumns(dict(zip(names, pieces("_piece", size, piece))))
+    none = F.lit(0.0)
+    total = lambda value: sum((F.coalesce(value(F.col(p)), none) for p in names[1:]), F.coalesce(value(F.col(names[0])), none))
+    rows = rows.withColumn("_n", total(lambda p: p["n"].cast("double"))).withColumn("_base", F.coalesce(*[F.col(p)["mean"] for p in names]))
+    rows = rows.withColumn("_mean", F.col("_base") + safe_divide(total(lambda p: p["n"] * (p["mean"] - F.col("_base"))), F.col("_n")))
+    apart = lambda p: p["mean"] - F.col("_mean")
+    spread = total(lambda p: p["m2"] + p["n"] * apart(p) * apart(p))
+    return rows.withColumn(name, F.when(F.col("_n") > 1, F.sqrt(safe_divide(spread, F.col("_n") - 1)))).drop("_piece", *names, "_n", "_base", "_mean")
+
+
 def volatility_60d(df: DataFrame, name: str = "trailing_volatility_60d") -> DataFrame:
-    rows = df.withColumn("r", log_return())
-    return guarded(rows, name, F.stddev_samp("r").over(last(60)) * math.sqrt(YEAR), 61)
+    rows = rolling_deviation(df.withColumn("r", log_return()), "r", "_deviation", 60)
+    return guarded(rows, name, F.col("_deviation") * math.sqrt(YEAR), 61).drop("_deviation")
 
 
 def downside_volatility_60d(df: DataFrame) -> DataFrame:
@@ -103,9 +128,12 @@ def downside_volatility_60d(df: DataFrame) -> DataFrame:
 
 
 def median_dollar_volume_20d(df: DataFrame) -> DataFrame:
-    """Exact median over the 20-row frame (the frame, not the history, is held)."""
-    dollars = df.withColumn("dollars", F.col("close") * F.col("volume"))
-    return guarded(dollars, "median_dollar_volume_20d", F.percentile("dollars", 0.5).over(last(20)), 20)
+    """Exact median over the 20-row frame (the frame, not the history, is held), put together from frames of four."""
+    rows = df.withColumn("dollars", F.col("close") * F.col("volume")).withColumn("_piece", F.collect_list("dollars").over(last(4)))
+    rows = rows.withColumn("_sorted", F.sort_array(F.flatten(F.array(*pieces("_piece", 20, 4)))))
+    middle = lambda up: F.get("_sorted", F.floor((F.size("_sorted") - 1 + up) / 2).cast("int"))
+    median = F.when(F.size("_sorted") > 0, middle(0) * 0.5 + middle(1) * 0.5)
+    return guarded(rows, "median_dollar_volume_20d", median, 20).drop("_piece", "_sorted")
 
 
 def amihud_illiquidity_20d(adjusted: DataFrame, unadjusted: DataFrame) -> DataFrame:
@@ -135,8 +163,9 @@ def relative_strength_6m(df: DataFrame, benchmark: DataFrame, sessions: DataFram
     if strict:
         mismatch = ~F.coalesce(back("idx", 126) == F.col("idx") - 126, F.lit(False))
     else:
-        mismatch = F.count("benchmark_close").over(last(127)) < 127
-    return guarded(rows, "relative_strength_6m", value, 127, (mismatch, "mismatched_127_session_benchmark_history")).drop("idx")
+        rows = rows.withColumn("_known", F.count("benchmark_close").over(so_far()))
+        mismatch = F.col("_known") - F.coalesce(back("_known", 127), F.lit(0)) < 127
+    return guarded(rows, "relative_strength_6m", value, 127, (mismatch, "mismatched_127_session_benchmark_history")).drop("idx", "_known")
 
 
 MOMENTS = ("n", "y", "x", "syy", "sxx", "sxy")
