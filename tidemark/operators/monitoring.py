@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles
 from ..functions.scalars import safe_divide
+from ..session import cut_lineage
 from .evaluation import correlation, top_turnover
 
 # Health thresholds (warning, critical) and limits.
@@ -48,8 +49,10 @@ def feature_correlations(wide: DataFrame, features: Sequence[str], keys: Sequenc
 def candidate_diagnostics(wide: DataFrame, candidates: Sequence[str], active: Sequence[str], size: int = 20) -> DataFrame:
     """Coverage, redundancy, stability, turnover and verdict per candidate feature (MON03).
 
-    ``wide`` has formation_date, security_id and one percentile column per feature.
+    ``wide`` has formation_date, security_id and one percentile column per feature. It is read once for each
+    diagnostic, so its columns are written to the shared checkpoint folder.
     """
+    wide = cut_lineage(wide.select("formation_date", "security_id", *candidates, *[a for a in active if a not in candidates]))
     long = wide.select("formation_date", "security_id", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature_key"), F.col(c).alias("value")) for c in candidates])).alias("x")).select("formation_date", "security_id", "x.*")
     monthly = feature_coverage(long)
