@@ -1,7 +1,11 @@
 """Inputs of reports and fits are read once for each side, with the results of the plain way."""
 
+import datetime
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.operators import modelling as m
 from tidemark.operators import monitoring as mon
 
 
@@ -17,3 +21,13 @@ def percentiles(spark, n):
 
 def test_candidates_read_the_wide_frame_once(spark):
     assert "Range" not in plan(mon.candidate_diagnostics(percentiles(spark, 300), ["a"], ["b"]))
+
+
+def test_balanced_moments_are_weighted_ones(spark):
+    days = [datetime.date(2020, 1, 31), datetime.date(2020, 2, 28)]
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(days[i % 7 == 0], *map(float, rng.normal(size=3))) for i in range(70)], "formation_date date, x double, y double, target double")
+    plain = m.moments(m.formation_weights(rows), ["x", "y"], weight="weight")[()]
+    once = m.moments(rows, ["x", "y"], balance=["formation_date"])[()]
+    for name in ("total", "means", "scales", "target_mean", "gram", "covariance"):
+        np.testing.assert_allclose(getattr(once, name), getattr(plain, name), rtol=1e-12)

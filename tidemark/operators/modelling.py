@@ -153,24 +153,28 @@ class Moments:
     covariance: np.ndarray
 
 
-def moments(rows: DataFrame, features: Sequence[str], target: str = "target", weight: str | None = None, keys: Sequence[str] = ()) -> dict[tuple, Moments]:
+def moments(rows: DataFrame, features: Sequence[str], target: str = "target", weight: str | None = None, keys: Sequence[str] = (),
+            balance: Sequence[str] = ()) -> dict[tuple, Moments]:
     """Moments per key (MDL15): standardised gram and covariance over the total weight.
 
+    With ``balance``, the rows of each of its groups within a key share the weight of one (:func:`formation_weights`): sums are
+    divided by the group's rows, so the rows are not read for their counts first.
     One aggregation. Only where a mean is so far above its spread that the sums lose digits (more than
     CONDITION times the variance), a second one sums products around the means found by the first.
     """
     names = [*features, target]
     w = F.col(weight) if weight else F.lit(1.0)
-    rows = rows.select(*keys, w.alias("_w"), *[F.col(a).cast("double").alias(a) for a in names])
+    groups = list(dict.fromkeys([*keys, *balance]))
+    rows = rows.select(*groups, w.alias("_w"), *[F.col(a).cast("double").alias(a) for a in names])
     shift = dict.fromkeys(names, 0.0)
-    sums = _moment_sums(rows, features, target, keys, shift)
+    sums = _moment_sums(rows, features, target, keys, shift, groups)
     total = sum(r["sw"] or 0.0 for r in sums)
     if total:
         mean = {a: sum(r[f"s_{a}"] or 0.0 for r in sums) / total for a in names}
         square = {a: sum(r[f"c_{a}_{a}"] or 0.0 for r in sums) / total for a in features}
         if any(mean[a] ** 2 > CONDITION * abs(square[a] - mean[a] ** 2) and np.isfinite(mean[a]) for a in features):
             shift = {a: mean[a] if np.isfinite(mean[a]) else 0.0 for a in names}
-            sums = _moment_sums(rows, features, target, keys, shift)
+            sums = _moment_sums(rows, features, target, keys, shift, groups)
     found = {}
     for row in sums:
         total = row["sw"]
@@ -190,12 +194,16 @@ def moments(rows: DataFrame, features: Sequence[str], target: str = "target", we
     return found
 
 
-def _moment_sums(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], shift: dict[str, float]) -> list:
+def _moment_sums(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], shift: dict[str, float], groups: Sequence[str]) -> list:
     names, w = [*features, target], F.col("_w")
-    rows = rows.select(*keys, "_w", *[(F.col(a) - F.lit(shift[a]) if shift[a] else F.col(a)).alias(a) for a in names])
+    rows = rows.select(*groups, "_w", *[(F.col(a) - F.lit(shift[a]) if shift[a] else F.col(a)).alias(a) for a in names])
     sums = [F.sum(w).alias("sw")] + [F.sum(w * F.col(a)).alias(f"s_{a}") for a in names]
     cross = [F.sum(w * F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[i:] if a != target]
-    return rows.groupBy(*keys).agg(*sums, *cross).collect()
+    if list(groups) == list(keys):
+        return rows.groupBy(*keys).agg(*sums, *cross).collect()
+    per_group = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"), *sums, *cross)
+    found = [c for c in per_group.columns if c not in (*groups, "_rows")]
+    return per_group.groupBy(*keys).agg(*[F.sum(F.col(c) / F.col("_rows")).alias(c) for c in found]).collect()
 
 
 def solve(m: Moments, l1: float, l2: float, per_row: bool = True) -> np.ndarray:

@@ -176,7 +176,7 @@ EIGHT_ROWS = f"""(
 def _(r):
     wide = m.complete_wide(r.sector_ranks, list(BASELINE_FEATURES), labels(r))
     rows = s.eight_inputs(wide, w.market_trend_signal(r.benchmark_bars), list(BASELINE_FEATURES), "momentum_12_1", "relative_strength_6m")
-    found = m.moments(m.formation_weights(rows), EIGHT, weight="weight")
+    found = m.moments(rows, EIGHT, balance=["formation_date"])
     return m.coefficient_frame(r.spark, EIGHT, {k: (v, s.solve_path(v, [(0.001, 0.02)])[0]) for k, v in found.items()})
 
 
