@@ -5,8 +5,10 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.fixtures import Research
 from tidemark.operators import modelling as m
 from tidemark.operators import monitoring as mon
+from tidemark.plans import load
 
 
 def plan(df):
@@ -31,3 +33,9 @@ def test_balanced_moments_are_weighted_ones(spark):
     once = m.moments(rows, ["x", "y"], balance=["formation_date"])[()]
     for name in ("total", "means", "scales", "target_mean", "gram", "covariance"):
         np.testing.assert_allclose(getattr(once, name), getattr(plain, name), rtol=1e-12)
+
+
+def test_second_challenger_rank_counts_the_examples(spark):
+    """Its buckets are counted from the examples, and the target comes with the ranks: two scans of the trades less than seven."""
+    text = plan(load()["MDL07_challenger_dataset"].build(Research(spark, "/root/testdata/sf0.001")))
+    assert text.count("Relation [l_orderkey") == 5

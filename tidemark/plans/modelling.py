@@ -146,9 +146,9 @@ def _(r):
 def _(r):
     keys = ["formation_date", "sector_code"]
     rows = r.examples.join(r.sectors, "security_id")
-    one = ranks.with_tie_ranks(rows, keys, "f2").select("security_id", *keys, "f3", (1 - ranks.tie_percentile()).alias("c1"))
-    two = ranks.with_tie_ranks(one, keys, "f3").select(*KEYS, "c1", ranks.tie_percentile().alias("c2")).where("c1 IS NOT NULL AND c2 IS NOT NULL")
-    return m.complete_wide(r.sector_ranks, list(BASELINE_FEATURES), labels(r)).join(two, KEYS).select(*KEYS, "momentum_12_1", "c1", "c2", "target")
+    one = ranks.with_tie_ranks(rows, keys, "f2").select("security_id", *keys, "f3", "target", (1 - ranks.tie_percentile()).alias("c1"))
+    two = ranks.with_tie_ranks(one, keys, "f3", source=rows).select(*KEYS, "target", "c1", ranks.tie_percentile().alias("c2")).where("c1 IS NOT NULL AND c2 IS NOT NULL")
+    return m.complete_wide(r.sector_ranks, list(BASELINE_FEATURES), two).select(*KEYS, "momentum_12_1", "c1", "c2", "target")
 
 
 @query("MDL08_regime_interaction_dataset", f"""
