@@ -25,6 +25,15 @@ def test_candidates_read_the_wide_frame_once(spark):
     assert "Range" not in plan(mon.candidate_diagnostics(percentiles(spark, 300), ["a"], ["b"]))
 
 
+def test_health_reads_each_side_once(spark):
+    side = lambda n: spark.range(n).select(F.lit("f").alias("feature_key"), F.when(F.col("id") % 4 > 0, F.col("id") % 10 / 10.0).alias("percentile"))
+    out = mon.feature_health(side(400), side(240))
+    assert plan(out).count("Range (") == 2
+    row = out.first()
+    assert (row["cohort"], row["available"], row["missing_ratio"]) == (400, 300, 0.25) and row["status"] == "critical"
+    assert abs(row["psi"]) < 1e-12 and mon.feature_health(side(400), side(100)).first()["psi"] is None
+
+
 def test_balanced_moments_are_weighted_ones(spark):
     days = [datetime.date(2020, 1, 31), datetime.date(2020, 2, 28)]
     rng = np.random.default_rng(2)

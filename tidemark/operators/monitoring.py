@@ -81,31 +81,34 @@ def candidate_diagnostics(wide: DataFrame, candidates: Sequence[str], active: Se
     return rows.withColumn("reasons", F.array_join(reasons, ",")).withColumn("accepted", F.size(reasons) == 0)
 
 
-def histogram(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    bin_ = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col(value) * 10))).cast("int")
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias(name))
+def binned(df: DataFrame, keys: Sequence[str], value: str, side: str, *more: Column) -> DataFrame:
+    """Per key how many values lie in each of ten fixed bins, as columns ``side0`` to ``side9``, and ``more`` aggregates."""
+    bin_ = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col(value) * 10)))
+    return df.groupBy(*keys).agg(*more, *[F.count_if(F.col(value).isNotNull() & (bin_ == b)).alias(f"{side}{b}") for b in range(10)])
 
 
-def stability_index(current: DataFrame, reference: DataFrame, keys: Sequence[str], value: str = "percentile") -> DataFrame:
-    """Population stability index on ten fixed bins, null under 100 observations on a side (MON04)."""
-    counts = histogram(current, keys, value, "c").join(histogram(reference, keys, value, "r"), [*keys, "bin"], "full")
-    grid = counts.groupBy(*keys).agg(
-        F.sum("c").alias("current_observations"), F.sum("r").alias("reference_observations"),
-        *[F.coalesce(F.max(F.when(F.col("bin") == b, F.col(side))), F.lit(0)).alias(f"{side}{b}") for b in range(10) for side in ("c", "r")])
+def index_of_bins(current: Column, reference: Column) -> Column:
+    """Population stability index from the columns of :func:`binned`, sides c and r; null under 100 observations on a side."""
     total = F.lit(0.0)
     for b in range(10):
-        share = lambda side, n: F.greatest(F.lit(FLOOR), safe_divide(F.col(f"{side}{b}"), F.col(n)))  # noqa: E731, B023
-        now, then = share("c", "current_observations"), share("r", "reference_observations")
+        share = lambda side, n: F.greatest(F.lit(FLOOR), safe_divide(F.coalesce(F.col(f"{side}{b}"), F.lit(0)), n))  # noqa: E731, B023
+        now, then = share("c", current), share("r", reference)
         total = total + (now - then) * F.ln(now / then)
-    enough = (F.col("current_observations") >= MINIMUM_OBSERVATIONS) & (F.col("reference_observations") >= MINIMUM_OBSERVATIONS)
-    return grid.select(*keys, "current_observations", "reference_observations", F.when(enough, total).alias("psi"))
+    return F.when((current >= MINIMUM_OBSERVATIONS) & (reference >= MINIMUM_OBSERVATIONS), total)
+
+
+def stability_index(current: DataFrame, reference: DataFrame, keys: Sequence[str], value: str = "percentile") -> DataFrame:
+    """Population stability index on ten fixed bins, null under 100 observations on a side (MON04)."""
+    side = lambda df, letter, name: binned(df.where(F.col(value).isNotNull()), keys, value, letter, F.count(F.lit(1)).alias(name))
+    counts = side(current, "c", "current_observations").join(side(reference, "r", "reference_observations"), list(keys), "full")
+    return counts.select(*keys, "current_observations", "reference_observations", index_of_bins(F.col("current_observations"), F.col("reference_observations")).alias("psi"))
 
 
 def feature_health(current: DataFrame, reference: DataFrame, keys: Sequence[str] = ("feature_key",)) -> DataFrame:
-    """Missing ratio, means, PSI and status per feature (MON05). ``current`` holds the whole cohort."""
-    now = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("cohort"), F.count("percentile").alias("available"), F.avg("percentile").alias("mean_percentile"))
-    then = reference.groupBy(*keys).agg(F.avg("percentile").alias("reference_mean"))
-    rows = now.join(then, list(keys), "left").join(stability_index(current, reference, keys), list(keys), "left").withColumn(
+    """Missing ratio, means, PSI and status per feature (MON05), one aggregation a side. ``current`` holds the whole cohort."""
+    now = binned(current, keys, "percentile", "c", F.count(F.lit(1)).alias("cohort"), F.count("percentile").alias("available"), F.avg("percentile").alias("mean_percentile"))
+    then = binned(reference, keys, "percentile", "r", F.count("percentile").alias("_observations"), F.avg("percentile").alias("reference_mean"))
+    rows = now.join(then, list(keys), "left").withColumn("psi", index_of_bins(F.col("available"), F.col("_observations"))).withColumn(
         "missing_ratio", 1 - F.col("available") / F.col("cohort"))
     missing, psi = F.col("missing_ratio"), F.col("psi")
     above = lambda limit_missing, limit_psi: (missing > limit_missing) | F.coalesce(psi > limit_psi, F.lit(False))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import ranks
 from ..operators import fundamentals as fnd
 from ..operators import monitoring as mon
+from ..operators import ranking as k
+from ..session import cut_lineage
 from . import query
 from .evaluation import turnover_sql
 from .fundamentals import FEATURES, features
@@ -136,8 +138,11 @@ REFERENCE = f"(SELECT DISTINCT formation_date FROM sector_ranks WHERE formation_
 
 @query("MON08_health_snapshot", HEALTH.replace(NOW, f"formation_date = {LAST}").replace(THEN, f"formation_date IN {REFERENCE}"), digits="missing_ratio mean_percentile reference_mean psi")
 def _(r):
-    dates = mon.reference_dates(r.sector_ranks.withColumnRenamed("formation_date", "score_date"), F.expr(LAST)).withColumnRenamed("score_date", "formation_date")
-    return mon.feature_health(r.sector_ranks.where(f"formation_date = {LAST}"), r.sector_ranks.join(dates, "formation_date", "left_semi"))
+    # Every outcome of a known sector and feature has a rank row, and ranks stay within their date: only the dates asked for are ranked.
+    placed = r.outcomes.join(r.sectors, "security_id", "left_semi").join(r.registry, "feature_key", "left_semi")
+    dates = cut_lineage(mon.reference_dates(placed.withColumnRenamed("formation_date", "score_date"), F.expr(LAST)).withColumnRenamed("score_date", "formation_date"))
+    ranked = lambda outcomes: k.sector_percentiles(outcomes, r.sectors, r.registry)
+    return mon.feature_health(ranked(r.outcomes.where(f"formation_date = {LAST}")), ranked(r.outcomes.join(F.broadcast(dates), "formation_date", "left_semi")))
 
 
 @query("MON09_exclusion_codes", """
