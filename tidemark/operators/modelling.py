@@ -40,10 +40,19 @@ def long_training_rows(ranks: DataFrame, labels: DataFrame) -> DataFrame:
     return ranks.where(F.col("percentile").isNotNull()).join(labels, ["formation_date", "security_id"])
 
 
-def feature_set_report(rows: DataFrame, expected: int) -> DataFrame:
-    """Examples, rows and how many examples lack the full feature set (MDL02)."""
-    per = rows.groupBy("formation_date", "security_id").agg(F.count_distinct("feature_key").alias("_f"), F.count(F.lit(1)).alias("_r"))
-    return per.agg(F.count(F.lit(1)).alias("examples"), F.sum("_r").alias("rows_count"), F.count_if(F.col("_f") != expected).alias("incomplete_examples"))
+def feature_set_report(ranks: DataFrame, labels: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Examples, long rows and how many examples lack the full feature set (MDL02).
+
+    A feature is one bit (any other key is bit 0) before the rows are joined, so rows are short and an example needs one
+    group, not one for each of its features.
+    """
+    if len(features) > 62:
+        raise ValueError("at most 62 features")
+    place = F.array_position(F.array(*map(F.lit, features)), F.col("feature_key")).cast("int")
+    bits = ranks.select("formation_date", "security_id", "percentile", F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("_f"))
+    per = long_training_rows(bits, labels).groupBy("formation_date", "security_id").agg(F.bit_or("_f").alias("_f"), F.count(F.lit(1)).alias("_r"))
+    full = F.lit(sum(1 << i for i in range(1, len(features) + 1))).cast("long")
+    return per.agg(F.count(F.lit(1)).alias("examples"), F.sum("_r").alias("rows_count"), F.count_if(~F.col("_f").eqNullSafe(full)).alias("incomplete_examples"))
 
 
 def partition_tag(day: Column, start: str = HOLDOUT[0], end: str = HOLDOUT[1]) -> Column:

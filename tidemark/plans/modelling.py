@@ -91,7 +91,7 @@ def _(r):
     SELECT count(*) AS examples, CAST(sum(n) AS BIGINT) AS rows_count, count(*) FILTER (n <> 6) AS incomplete_examples FROM (
       SELECT formation_date, security_id, count(*) AS n FROM sector_ranks WHERE percentile IS NOT NULL GROUP BY 1, 2)""")
 def _(r):
-    return m.feature_set_report(m.long_training_rows(r.sector_ranks, labels(r)), 6)
+    return m.feature_set_report(r.sector_ranks, labels(r), list(BASELINE_FEATURES))
 
 
 @query("MDL03_partition_tag", """
