@@ -69,23 +69,25 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, ties: str =
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(ties))
 
 
-def with_tie_ranks(df: DataFrame, keys: Sequence[str], value: str, *, source: DataFrame | None = None) -> DataFrame:
+def with_tie_ranks(df: DataFrame, keys: Sequence[str], value: str, *, source: DataFrame | None = None, pieces: int | None = None) -> DataFrame:
     """Add ``below`` (rows with a smaller value), ``ties`` and ``total`` (non-null rows of the group).
 
     Rows without a value keep their group's ``total``, with null ``below`` and ``ties``. ``source`` has the same
-    keys and values where ``df`` is costly to compute twice: the buckets are counted from it.
+    keys and values where ``df`` is costly to compute twice: the buckets are counted from it. ``pieces`` is the number of
+    tasks that rows are dealt to where the shuffle's own number would leave too many for one.
     """
     keys = list(keys)
     # Nulls have a bucket of their own, without weight: the last one.
     bucket = F.when(F.col(value).isNull(), F.lit(2**62)).otherwise(order_bucket(F.col(value)))
     rows = df.select("*", bucket.alias("_bucket"))
+    dealt = (lambda frame: frame.repartition(pieces, *keys, "_bucket")) if pieces else (lambda frame: frame)
     counted = rows if source is None else source.select(*keys, value, bucket.alias("_bucket"))
     offsets = bucket_offsets(counted.groupBy(*keys, "_bucket").agg(F.count(value).alias("_weight")), keys, "total")
     # One shuffle and one sort of the rows: within a bucket both counts are running ones, the second with all equals of the row.
     within = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    placed = rows.select("*", (F.rank().over(within) - 1).alias("_less"), F.count(value).over(within).alias("_upto"))
+    placed = dealt(rows).select("*", (F.rank().over(within) - 1).alias("_less"), F.count(value).over(within).alias("_upto"))
     known = F.col(value).isNotNull()
-    return placed.join(offsets, [*keys, "_bucket"]).select(
+    return placed.join(dealt(offsets), [*keys, "_bucket"]).select(
         *df.columns, F.when(known, F.col("_before") + F.col("_less")).alias("below"),
         F.when(known, F.col("_upto") - F.col("_less")).alias("ties"), "total")
 

@@ -1,8 +1,9 @@
 """Choice of penalties by rank correlation, on paths of fits.
 
 Every fold is one set of moments; a whole path of penalties is solved from it on the driver, and the predictions
-of all penalties are one array per row. One ranking pass, keyed by fold, date and penalty, then serves
-the rank correlations of all penalties and the ranks of whichever is chosen.
+of all penalties are one array per row. Targets are ranked by date before folds repeat them, and their ranks go with the rows.
+One ranking pass, keyed by fold, date and penalty, then gives the rank correlations of all penalties straight away: no
+row is put together again. Only the penalty that is chosen is ranked once more, for its ranks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ FOLD = ["outer_fold", "inner_fold"]
 #: Rank correlations within it count as equal, and the stronger penalty wins.
 TIE_TOLERANCE = 0.002
 PLACES = 10
+#: Rows are repeated for every fold and penalty, so their ranks are dealt to so many times the shuffle's partitions.
+RANK_PIECES = 4
 
 
 def solve_path(m: Moments, grid: Sequence[tuple[float, float]]) -> list[np.ndarray]:
@@ -60,41 +63,55 @@ def path_frame(rows: DataFrame, roles: DataFrame, features: Sequence[str], grid:
     return rows.sparkSession.createDataFrame(out, ", ".join(f"{k} int" for k in keys) + ", lines array<array<double>>")
 
 
+def with_target_ranks(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with ``target_rank`` (tie-averaged, from 1, by date) and ``targets`` (known ones of the date), written once.
+
+    Roles belong to dates, so a validation date has all its rows in each of its folds, and the same ranks.
+    """
+    kept = list(dict.fromkeys(["formation_date", "outcome_date", "security_id", "target", *columns]))
+    placed = with_tie_ranks(rows.select(*kept), ["formation_date"], "target")
+    ranked = placed.select(*kept, average_rank().alias("target_rank"), F.col("total").alias("targets"))
+    # The number is given, so that short rows, each to be multiplied by folds and penalties, are not drawn together into a few tasks.
+    return cut_lineage(ranked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "security_id", "formation_date"))
+
+
+def line(features: Sequence[str], at: Column) -> Column:
+    """An intercept and one slope for each feature, applied to a row."""
+    return sum((at[k] * F.col(f) for k, f in enumerate(features, 1)), at[0])
+
+
 def path_predictions(rows: DataFrame, roles: DataFrame, features: Sequence[str], grid: Sequence[tuple[float, float]], *,
                      keys: Sequence[str] = FOLD, weight: str | None = None) -> DataFrame:
     """Validation rows with ``predictions``: one value for each penalty of the grid (MDL24, MDL26, MDL29).
 
-    A fold without training rows gives no rows. The frame of lines has a row for each fold and is broadcast.
+    A fold without training rows gives no rows. The lines, a row for each fold, and the roles, one for each fold and date, are broadcast.
     """
-    lines = F.broadcast(path_frame(rows, roles, features, grid, keys=keys, weight=weight))
-    valid = fold_rows(rows, roles, "validation", keys).join(lines, list(keys))
+    rows, roles = with_target_ranks(rows, [*features, *([weight] if weight else [])]), F.broadcast(roles)
+    lines = path_frame(rows, roles, features, grid, keys=keys, weight=weight)
+    return predicted_rows(rows, roles, lines, features, len(grid), keys)
 
-    def line(i: int) -> Column:
-        at = F.col("lines")[i]
-        return sum((at[k] * F.col(f) for k, f in enumerate(features, 1)), at[0])
 
-    return valid.select(*keys, "formation_date", "outcome_date", "security_id", "target", F.array(*map(line, range(len(grid)))).alias("predictions"))
+def predicted_rows(rows: DataFrame, roles: DataFrame, lines: DataFrame, features: Sequence[str], size: int, keys: Sequence[str] = FOLD) -> DataFrame:
+    """Validation rows of the folds that have ``lines``, with ``predictions`` by each of them."""
+    valid = fold_rows(rows, roles, "validation", keys).join(F.broadcast(lines), list(keys))
+    return valid.select(*keys, "formation_date", "outcome_date", "security_id", "target", "target_rank", "targets",
+                        F.array(*[line(features, F.col("lines")[i]) for i in range(size)]).alias("predictions"))
 
 
 def ranked_path(predicted: DataFrame, size: int, keys: Sequence[str] = FOLD) -> DataFrame:
-    """Adds ``target_rank``, ``ranks`` (tie-averaged, from 1, by fold and date) and ``names``, the rows of the date.
-
-    The target is ranked as one more penalty, so one pass ranks everything.
-    """
-    row = [*keys, "formation_date", "security_id"]
-    cells = F.array(F.col("target"), *[F.round(F.col("predictions")[i], PLACES) for i in range(size)])
-    long = predicted.select(*row, "outcome_date", F.posexplode(cells).alias("penalty", "value"))
-    placed = with_tie_ranks(long, [*keys, "formation_date", "penalty"], "value").withColumn("place", average_rank())
-    at = lambda i: F.max(F.when(F.col("penalty") == i, F.col("place")))
-    return placed.groupBy(*row, "outcome_date").agg(
-        at(0).alias("target_rank"), F.array(*[at(i + 1) for i in range(size)]).alias("ranks"), F.max("total").alias("names"))
+    """A row for each penalty of a validation row: ``place`` (tie-averaged, from 1, by fold, date and penalty) and ``names``, the rows of the date."""
+    cells = F.array(*[F.round(F.col("predictions")[i], PLACES) for i in range(size)])
+    long = predicted.select(*keys, "formation_date", "outcome_date", "security_id", "target_rank", "targets", F.posexplode(cells).alias("penalty", "value"))
+    pieces = RANK_PIECES * int(predicted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = with_tie_ranks(long, [*keys, "formation_date", "penalty"], "value", pieces=pieces)
+    return placed.select(*keys, "formation_date", "outcome_date", "security_id", "penalty", "target_rank", average_rank().alias("place"),
+                         F.greatest("total", "targets").alias("names"))
 
 
 def rank_correlations(ranked: DataFrame, size: int, keys: Sequence[str] = FOLD) -> DataFrame:
-    """(keys, formation_date, outcome_date, penalty, rank_ic): one row per penalty and date; zero where a side is flat."""
-    by = [*keys, "formation_date", "outcome_date"]
-    found = ranked.groupBy(*by).agg(F.array(*[zero_if_flat(correlation(F.col("ranks")[i], "target_rank")) for i in range(size)]).alias("_ic"))
-    return found.select(*by, F.posexplode("_ic").alias("penalty", "rank_ic"))
+    """(keys, formation_date, outcome_date, penalty, rank_ic) of the first ``size`` penalties: one row per penalty and date; zero where a side is flat."""
+    by = [*keys, "formation_date", "outcome_date", "penalty"]
+    return ranked.where(F.col("penalty") < size).groupBy(*by).agg(zero_if_flat(correlation("place", "target_rank")).alias("rank_ic"))
 
 
 def month_balanced_mean(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -157,27 +174,31 @@ def tuned_anchors(rows: DataFrame, outer: DataFrame, inner: DataFrame, features:
     tunes: each takes the penalty of the inner folds before it. Columns: outer_fold, inner_fold (0 for outer
     blocks), formation_date, security_id, l1, l2, anchor_rank (from -1 to 1).
     """
-    size = len(grid)
-    ranked = cut_lineage(ranked_path(path_predictions(rows, all_roles(outer, inner), features, grid, weight=weight), size))
-    dates = ranked.select(*FOLD, "formation_date").distinct()
+    size, inputs = len(grid), [*features, *([weight] if weight else [])]
+    rows, roles = with_target_ranks(rows, inputs), F.broadcast(cut_lineage(all_roles(outer, inner)))  # a role for each fold and date
+    lines = path_frame(rows, roles, features, grid, weight=weight)
+    dates = fold_rows(rows.select("formation_date").distinct(), roles, "validation", FOLD).join(F.broadcast(lines), FOLD)
     starts = cut_lineage(dates.groupBy(*FOLD).agg(F.min("formation_date").alias("start")))
     first = starts.where("inner_fold > 0").agg(F.min("outer_fold").alias("f")).first()["f"]
     if first is None:
         chain = starts.where("false")
     else:
         chain = starts.where(F.col("inner_fold") == 0).unionByName(starts.where((F.col("outer_fold") == first) & (F.col("inner_fold") > 1)))
-    daily = rank_correlations(ranked.where("inner_fold > 0"), size).drop("inner_fold")
+    tried = predicted_rows(rows, roles.where("inner_fold > 0"), lines, features, size)
+    daily = cut_lineage(rank_correlations(ranked_path(tried, size), size).drop("inner_fold"))  # a row for each fold, date and penalty
     chosen = strongest_near_best(with_penalties(as_of_scores(daily, chain), grid), FOLD, tolerance)
-    picked = ranked.join(F.broadcast(chosen), FOLD)  # a row for each block
-    rank = F.element_at("ranks", F.col("penalty") + 1)
-    return picked.select(*FOLD, "formation_date", "security_id", "l1", "l2", centred(rank, F.col("names")).alias("anchor_rank"))
+    picked = F.array(F.element_at("lines", F.col("penalty") + 1)).alias("lines")
+    blocks = cut_lineage(chosen.join(F.broadcast(lines), FOLD).select(*FOLD, "l1", "l2", picked))  # a row for each block
+    ranked = ranked_path(predicted_rows(rows, roles, blocks.drop("l1", "l2"), features, 1), 1)
+    anchors = ranked.join(F.broadcast(blocks.drop("lines")), FOLD)
+    return anchors.select(*FOLD, "formation_date", "security_id", "l1", "l2", centred(F.col("place"), F.col("names")).alias("anchor_rank"))
 
 
 def swap_series(rows: DataFrame, roles: DataFrame, features: Sequence[str], current: tuple[float, float], new: tuple[float, float], *,
                 size: int = 20, weight: str | None = None) -> DataFrame:
     """Two penalties on the same folds, date by date: rank correlations, their difference, and top names that differ (MDL29)."""
     keys = ["outer_fold"]
-    predicted = cut_lineage(path_predictions(rows, roles, features, [current, new], keys=keys, weight=weight))
+    predicted = path_predictions(rows, roles, features, [current, new], keys=keys, weight=weight)
     daily = rank_correlations(ranked_path(predicted, 2, keys), 2, keys)
     of = lambda i: F.max(F.when(F.col("penalty") == i, F.col("rank_ic")))
     series = daily.groupBy(*keys, "formation_date").agg(of(0).alias("current_rank_ic"), of(1).alias("new_rank_ic"))

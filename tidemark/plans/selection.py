@@ -7,6 +7,7 @@ from ..operators import evaluation as e
 from ..operators import modelling as m
 from ..operators import selection as s
 from ..operators import windows as w
+from ..session import cut_lineage
 from . import query
 from .evaluation import AVG_RANK, FLAT, bootstrap_sql, ic_sql
 from .modelling import FEATURES, LABELS, NESTED, WIDE, labels, nested
@@ -98,7 +99,7 @@ def noisy(r):
 
 
 def inner_correlations(r):
-    predicted = s.path_predictions(noisy(r), m.inner_folds(nested(r)), FEATURES, GRID)
+    predicted = s.path_predictions(noisy(r), m.inner_folds(cut_lineage(nested(r))), FEATURES, GRID)  # roles: a row for each fold and date
     return s.rank_correlations(s.ranked_path(predicted, len(GRID)), len(GRID))
 
 
@@ -135,7 +136,7 @@ ANCHORS = f"""
 
 @query("MDL26_tuned_anchors", ANCHORS, digits="l1 l2 anchor_rank")
 def _(r):
-    outer = nested(r)
+    outer = cut_lineage(nested(r))
     return s.tuned_anchors(noisy(r), outer.drop("outcome_date"), m.inner_folds(outer).drop("outcome_date"), FEATURES, GRID)
 
 
@@ -150,7 +151,7 @@ SWAP = f"""
 
 
 def swap(r):
-    return s.swap_series(noisy(r), nested(r).drop("outcome_date"), FEATURES, CURRENT, NEW)
+    return s.swap_series(noisy(r), cut_lineage(nested(r)).drop("outcome_date"), FEATURES, CURRENT, NEW)
 
 
 @query("MDL29_swap_series", SWAP, digits="current_rank_ic new_rank_ic delta")
