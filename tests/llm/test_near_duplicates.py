@@ -152,3 +152,33 @@ def test_odd_embeddings(spark):
     linked = got[got.n_links > 0].sort_values("vec_id")
     assert linked.vec_id.tolist() == [1, 2, 2, 12] and set(linked.component_id) == {1} and set(linked.n_links) == {2}
     assert near_embeddings(frame.filter("false")).count() == 0
+
+
+def test_vectors_travel_once_for_each_shelf(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8_000, 64)).astype(np.float32)
+    x[4_000:4_400] = x[:400] + rng.normal(scale=0.05, size=(400, 64))
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(4).cache()
+    frame.count()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    got = near_embeddings(frame).toPandas()
+    moved = shuffled() - before
+    frame.unpersist()
+    assert (got.n_links == 1).sum() == 800 and (got.component_id != got.vec_id).sum() == 400
+    assert moved < 8 * x.nbytes  # a copy for each cell that a vector visits would be over 30 times
+
+
+def test_shelves_that_are_reached_hold_all_cells_that_are_visited():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = Grid(means(x[:, :8], 8, 1), means(x[:, 8:], 8, 2))
+    left, right = grid.bounds(x)
+    visits = grid.visits(x, 0.2)
+    for first, last in [(0, 0), (3, 6), (5, 9), (5, 17), (8, 40), (0, 63), (63, 63)]:
+        assert grid.reaches(left, right, first, last, 0.2).tolist() == [any(first <= c <= last for c in v) for v in visits]
