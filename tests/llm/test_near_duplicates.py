@@ -170,7 +170,7 @@ def test_vectors_travel_once_for_each_shelf(spark):
     moved = shuffled() - before
     frame.unpersist()
     assert (got.n_links == 1).sum() == 800 and (got.component_id != got.vec_id).sum() == 400
-    assert moved < 8 * x.nbytes  # a copy for each cell that a vector visits would be over 30 times
+    assert moved < 8 * x.nbytes  # a copy for each cell that a vector visits: 12.5 times
 
 
 def test_shelves_that_are_reached_hold_all_cells_that_are_visited():

@@ -90,3 +90,59 @@ def test_queries_outside_a_group_with_the_lowest_ids(spark, monkeypatch):
     found = rows.groupby("query_id").id.apply(list).to_dict()
     outside = [q for q in found if q >= 2_000]
     assert len(outside) == 40 and recall(x, outside, found) >= 0.95
+
+
+def test_long_lists_of_buckets_do_not_travel(spark):
+    x = np.random.default_rng(11).normal(size=(6_000, 64)).astype(np.float32)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(4).cache()
+    frame.count()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    rows = neighbours.search(frame, F.col("vec_id") % 10 == 0).toPandas()
+    moved = shuffled() - before
+    frame.unpersist()
+    found = rows.groupby("query_id").id.apply(list).to_dict()
+    assert len(rows) == 6_000 and recall(x.astype(float), list(found), found) >= 0.95
+    assert moved < 8 * x.nbytes  # a query with each of its buckets: 17.6 times
+
+
+def test_costs_cover_the_buckets_of_a_list():
+    x = np.random.default_rng(12).normal(size=(3_000, 16))
+    ids = np.arange(len(x))
+    index = neighbours.fit_index(x[:1_000])
+    names = np.stack([neighbours.Index.names(t, np.floor(p).astype(np.int64)) for t, p in enumerate(index.slots(x))])
+    hashes = index.placed(x)[0]
+    asks = ids[1_000::100]
+    base, inside = index.placed(x[asks])
+    plans = list(index.plan(x[asks], neighbours.bounds(x[asks], asks, x[:1_000], ids[:1_000], 10)))
+    assert any(len(p) for p, _ in plans)
+    for i, (listed, costs) in enumerate(plans):
+        at = np.full(len(x), i)
+        seen = neighbours.Index.visited(base[:, at], inside[:, at], np.tile(costs, (len(x), 1)), hashes)
+        assert seen.all() if not len(listed) else (seen >= np.isin(names, listed).any(0)).all()
+
+
+def test_parts_against_brute_force(monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 64)
+    monkeypatch.setattr(neighbours, "ASKS", 16)
+    monkeypatch.setattr(neighbours, "HITS", 256)
+    rng = np.random.default_rng(13)
+    for offset, size in ((0, 1), (1e4, 1e-3), (0, 1e30)):
+        x = offset + size * np.concatenate([np.repeat(rng.normal(size=(1, 8)), 300, 0), rng.normal(size=(400, 8))])
+        ids = rng.permutation(len(x)).astype(np.int64)
+        ids[-5:] = ids[-10:-5]  # keys with two vectors
+        index = neighbours.fit_index(x)
+        asks = np.arange(0, len(x), 9)
+        got = list(neighbours.visited_nearest(index, x[asks], ids[asks], np.full(len(asks), np.inf), np.full((len(asks), 4), np.inf), x, ids, 10))
+        rows = pd.DataFrame({n: np.concatenate([g[c] for g in got]) for c, n in enumerate(("query", "id", "gap"))})
+        for q, own in rows.groupby("query"):
+            mine = asks[ids[asks] == q]
+            if len(mine) > 1 or q in ids[-5:]:
+                continue
+            gap = np.sqrt(((x - x[mine[0]]) ** 2).sum(1))
+            want = pd.DataFrame({"id": ids, "gap": gap})[ids != q].groupby("id").gap.min().reset_index().sort_values(["gap", "id"])[:10]
+            assert own["id"].tolist() == want["id"].tolist() and own.gap.tolist() == want.gap.tolist()
